@@ -19,6 +19,12 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), digests=True)
 
 
+def op8_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovana.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
