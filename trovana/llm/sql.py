@@ -1,3 +1,20 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP9 = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as ws from documents),
+b as (select item_id, {_WORDS} as ws from benchmark),
+iw as (select distinct item_id, array_to_string(ws[k:k + least(10, len(ws)) - 1], ' ') as w, least(10, len(ws)) as n
+       from b, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as t(k) where len(ws) > 0),
+ns as (select distinct n from iw),
+dw as (select r, n, k, array_to_string(ws[k:k + n - 1], ' ') as w from d, ns, unnest(range(1, len(ws) - n + 2)) as t(k) where len(ws) >= n),
+f as (select r, k, dw.n, item_id from dw join iw on dw.w = iw.w and dw.n = iw.n),
+h as (select r, count(distinct p) as n_hit from (select r, unnest(range(k, k + n)) as p from f) group by r),
+i as (select r, count(distinct item_id) as n_items, array_to_string(list_sort(list_distinct(list(cast(item_id as varchar)))), ',') as ids from f group by r)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (r) left join i using (r)
+"""
+
+ORACLE: dict[str, str] = {"op9_decontaminate": OP9}
