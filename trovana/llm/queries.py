@@ -46,6 +46,20 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovana.llm.url_filter import Rule, filter_urls
+
+    rules = (
+        Rule("block", "com", "/en/"),
+        Rule("allow", "example.com", "/en/7"),
+        Rule("allow", "net", "/de/"),
+        Rule("block", "example.net", "/de/8"),
+        Rule("block", "org", "/es/"),
+    )
+    out = filter_urls(table(spark, sf_dir, "pages"), rules)
+    return out.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

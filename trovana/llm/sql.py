@@ -17,4 +17,38 @@ select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bi
 from d left join h using (r) left join i using (r)
 """
 
-ORACLE: dict[str, str] = {"op9_decontaminate": OP9}
+OP5 = r"""
+with p as (select page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                  coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') as path from pages),
+r(verdict, h, s) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+k as (select distinct host, path from p),
+best as (select host, path, arg_max(h || s, length(h || s)) as rule, arg_max(verdict, length(h || s)) as ruled
+         from k join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, s) group by host, path),
+j as (select p.*, rule, ruled,
+             array_to_string(list_transform(str_split(path, '/'), lambda x, i: case when i > 1 then
+               regexp_replace(x, '^([0-9]+|[0-9a-fA-F]{16,}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})([.]|$)', '*\3') else x end), '/') as masked
+      from p left join best using (host, path)),
+c as (select host, masked, count(*) as n, count(ruled) as labelled, count(*) filter (where ruled = 'block') as bad from j group by all),
+st as (select host, masked, n, i - 1 as depth, str_split(masked, '/')[i] as seg, array_to_string(str_split(masked, '/')[1:i - 1], '/') as node
+       from c, unnest(range(1, len(str_split(masked, '/')) + 1)) as t(i)),
+ch as (select host, depth, node, seg, sum(n) as n from st group by all),
+v as (select host, depth, node, count(*) as kids, sum(n) as n from ch group by all having kids > 20 and sum(n) < 3.0 * kids),
+o as (select st.host, masked, st.depth, case when v.kids is null then seg else '*' end as seg from st left join v on st.host = v.host and st.depth = v.depth and st.node = v.node),
+nm as (select host, masked, list(seg order by depth) as t from o group by all),
+tp as (select host, masked, array_to_string(t, '/') as template, array_to_string(t[1:greatest(len(t) - 1, 1)], '/') as parent from nm),
+per as (select host, parent, template, sum(labelled) as labelled, sum(bad) as bad from c join tp using (host, masked) group by all),
+up as (select host, parent, sum(labelled) as pl, sum(bad) as pb from per group by all),
+x as (select per.*, case when labelled > 0 and abs(bad - labelled * (pb / greatest(pl, 1))) > 1.96 * sqrt(labelled * (pb / greatest(pl, 1)) * (1 - pb / greatest(pl, 1)))
+                    then template else parent || '/~' end as branch from per join up using (host, parent)),
+m as (select host, branch, sum(labelled) as bl, sum(bad) as bb from x group by all),
+h as (select host, sum(labelled) as hl, sum(bad) as hb from per group by all),
+g as (select (coalesce(sum(bad), 0) + 1) / (coalesce(sum(labelled), 0) + 2) as overall from per),
+jb as (select host, branch, (bb + 5.0 * ((hb + 5.0 * overall) / (hl + 5.0))) / (bl + 5.0) >= 0.8 and bl > 0 as rejected from m join h using (host), g)
+select page_id, j.host, path, rule, coalesce(ruled, case when rejected then 'block' else 'allow' end) as verdict, template
+from j join tp using (host, masked) join x using (host, parent, template) join jb using (host, branch)
+"""
+
+ORACLE: dict[str, str] = {
+    "op5_url_filter": OP5,
+    "op9_decontaminate": OP9,
+}
