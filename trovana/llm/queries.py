@@ -60,6 +60,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+def op7_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovana.llm.pii import find_personal_data, pii_digest
+
+    return pii_digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
