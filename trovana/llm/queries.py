@@ -32,6 +32,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovana.llm.embedding_dedup import dedup_embeddings
+
+    return dedup_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trovana.llm.secrets import scan_secrets, secret_digest
 

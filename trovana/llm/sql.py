@@ -17,6 +17,20 @@ select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bi
 from d left join h using (r) left join i using (r)
 """
 
+OP1 = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings),
+g as (select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v
+      where label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0),
+ok as (select * from g where n > 0),
+l as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from r join l on r.b = l.a),
+c as (select a as vec_id, min(b) as component_id from r group by a),
+n as (select a as vec_id, count(*) as n_links from l group by a)
+select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id, vec_id = component_id as kept
+from c left join n using (vec_id)
+"""
+
 OP5 = r"""
 with p as (select page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
                   coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') as path from pages),
@@ -49,6 +63,7 @@ from j join tp using (host, masked) join x using (host, parent, template) join j
 """
 
 ORACLE: dict[str, str] = {
+    "op1_embedding_dedup": OP1,
     "op5_url_filter": OP5,
     "op9_decontaminate": OP9,
 }
