@@ -35,6 +35,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/trovana-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # shuffle files of the steps just finished go once their plans are collected, not at the session's end
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,6 +31,18 @@ select vec_id, cast(coalesce(n_links, 0) as bigint) as n_links, component_id, ve
 from c left join n using (vec_id)
 """
 
+OP3 = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[k:k + 4], ' ') as g from w, unnest(range(1, greatest(len(ws) - 3, 2))) as t(k) where len(ws) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from i join n na on a = na.doc_id join n nb on b = nb.doc_id where 100 * c >= 80 * (na.n + nb.n - c)),
+l as (select a, b from e union all select b, a from e),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from r join l on r.b = l.a)
+select w.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id
+from w left join n using (doc_id) join (select a as doc_id, min(b) as component_id from r group by a) using (doc_id)
+"""
+
 OP5 = r"""
 with p as (select page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
                   coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') as path from pages),
@@ -64,6 +76,7 @@ from j join tp using (host, masked) join x using (host, parent, template) join j
 
 ORACLE: dict[str, str] = {
     "op1_embedding_dedup": OP1,
+    "op3_ngram_jaccard": OP3,
     "op5_url_filter": OP5,
     "op9_decontaminate": OP9,
 }
