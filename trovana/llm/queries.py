@@ -38,6 +38,12 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovana.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trovana.llm.ngram_join import near_duplicates
 
