@@ -212,5 +212,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, level: float = 0.7, keep
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(scores, pa.float64())], names=[*keep, "score"])
 
     schema = T.StructType([*(docs.schema[k] for k in keep), T.StructField("score", T.DoubleType())])
-    scored = docs.select(*keep, "text").mapInArrow(run, schema)
+    scored = docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
     return scored.select(*keep, F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= level).cast("int").alias("predicted"))
