@@ -155,36 +155,34 @@ def _settle(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
 
 
 _SPAN = "doc_id long, s long, e long"
-_OUT = "kind int, bucket int, doc_id long, s long, e long, blob binary"
 
 
 def find_anchors(docs: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
-    """kind 0: spans that go, known already; kind 1: a bucket's anchors, packed."""
-    names = ["kind", "bucket", "doc_id", "s", "e", "blob"]
-
-    def batch(kind: int, bucket=None, doc=None, s=None, e=None, blob=None) -> pa.RecordBatch:
-        n = len(doc) if doc is not None else len(bucket)
-        cols = [pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int32()) if bucket is None else pa.array(bucket, pa.int32())]
-        cols += [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (doc, s, e)]
-        return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.binary()) if blob is None else pa.array(blob, pa.binary())], names=names)
+    """(bucket, spans, anchors): packed spans that go for sure, in any bucket, and a bucket's anchors."""
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, c, doc, place, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
         o, later = _settle(h, c, doc)
         gone = o[later]
-        whole = gone[left[gone] + right[gone] >= length - gram]
-        yield batch(0, doc=doc[whole], s=place[whole] - left[whole], e=place[whole] + gram + right[whole])
+        gone = gone[left[gone] + right[gone] >= length - gram]
         rest = o[~later]
         b = (h[rest] >> np.uint64(40)).astype(np.int64) % buckets
         rest = rest[np.argsort(b, kind="stable")]
         b = np.sort(b)
-        cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
         blobs = []
-        for x in np.split(rest, cuts[1:]):
+        for x in np.split(rest, cuts[1:]) if len(b) else []:
             x = x[np.lexsort((place[x], doc[x]))]
             blobs.append(_pack(h[x], c[x], doc[x], place[x], left[x], right[x]))
-        if len(rest):
-            yield batch(1, bucket=b[cuts], blob=blobs)
+        spans = [None] * len(blobs)
+        at = b[cuts].tolist()
+        if len(gone):
+            o = np.argsort(doc[gone], kind="stable")
+            gone = gone[o]
+            at.append(int(doc[gone[0]] % buckets))
+            blobs.append(None)
+            spans.append(_pack_spans(doc[gone], place[gone] - left[gone], place[gone] + gram + right[gone]))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(spans, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "spans", "anchors"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, count = [], 0
@@ -199,7 +197,7 @@ def find_anchors(docs: DataFrame, length: int, gram: int, buckets: int) -> DataF
         if parts:
             yield from flush(parts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _OUT)
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, spans binary, anchors binary")
 
 
 def _pack(h, c, doc, place, left, right) -> bytes:
@@ -211,6 +209,18 @@ def _pack(h, c, doc, place, left, right) -> bytes:
     return len(h).to_bytes(4, "little") + six(h) + six(c) + zstandard.ZstdCompressor(level=1).compress(np.frombuffer(first, np.uint8).tobytes())
 
 
+def _pack_spans(doc, s, e) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([doc, s, e]).astype("<i8").tobytes())
+
+
+def _unpack_spans(blob: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i8").reshape(3, -1)
+
+
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     import zstandard
 
@@ -231,9 +241,17 @@ def meet(found: DataFrame, length: int, gram: int) -> DataFrame:
     """kind 0: spans that go; kind 2: contexts to compare (``bucket``; ``s`` and ``e`` are their place)."""
     names = ["kind", "bucket", "doc_id", "s", "e"]
 
+    def rows(kind: int, bucket: int, doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+        n = len(doc)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int32)), pa.array(doc), pa.array(s), pa.array(e)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for bucket, blobs in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
+            for bucket, known, blobs in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True):
+                for blob in known:
+                    yield rows(0, bucket, *_unpack_spans(blob))
+                if not blobs:
+                    continue
                 h, c, doc, place, left, right = (np.concatenate(p) for p in zip(*map(_unpack, blobs), strict=True))
                 o, later = _settle(h, c, doc)
                 gone = o[later]
@@ -241,20 +259,15 @@ def meet(found: DataFrame, length: int, gram: int) -> DataFrame:
                 rest = o[~later]
                 # hashes that more than one document has, with different contexts
                 hs, ds = h[rest], doc[rest]
-                new = np.r_[True, hs[1:] != hs[:-1]] if len(rest) else np.zeros(0, bool)
+                new = np.r_[True, hs[1:] != hs[:-1]]
                 at = np.flatnonzero(new)
-                if len(at):
-                    group = np.cumsum(new) - 1
-                    mixed = np.minimum.reduceat(ds, at) != np.maximum.reduceat(ds, at)
-                    rest = rest[mixed[group]]
-                for kind, rows in ((0, gone), (2, rest)):
-                    if len(rows):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(rows), kind, np.int32)), pa.array(np.full(len(rows), bucket, np.int32)), pa.array(doc[rows]), pa.array(place[rows] - left[rows]), pa.array(place[rows] + gram + right[rows])],
-                            names=names,
-                        )
-
-    packed = found.where("kind = 1").groupBy("bucket").agg(F.collect_list("blob").alias("blobs"))
+                mixed = np.minimum.reduceat(ds, at) != np.maximum.reduceat(ds, at)
+                rest = rest[mixed[np.cumsum(new) - 1]]
+                for kind, r in ((0, gone), (2, rest)):
+                    if len(r):
+                        yield rows(kind, bucket, doc[r], place[r] - left[r], place[r] + gram + right[r])
+
+    packed = found.groupBy("bucket").agg(F.collect_list("spans").alias("spans"), F.collect_list("anchors").alias("anchors"))
     return packed.mapInArrow(run, "kind int, bucket int, doc_id long, s long, e long")
 
 
@@ -371,17 +384,17 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, digests: b
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes that stay; with ``digests`` ``kept_sha256``)."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    found = materialise(find_anchors(docs, length, gram, 4 * width), "suffix-anchors")
-    met = materialise(meet(found, length, gram), "suffix-met")
-    ours = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b")).repartition(width, "id")
+    met = materialise(meet(find_anchors(docs, length, gram, 4 * width), length, gram), "suffix-met")
+    # both joins read these two columns, so they share the exchange
+    ours = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("b")).repartition(width, "id")
     # bytes of the contexts to compare; one row per document and context
     wanted = met.where("kind = 2").groupBy("doc_id").agg(F.collect_set(F.struct("bucket", "s", "e")).alias("c"))
     cut = ours.select("id", "b").join(wanted, F.col("id") == F.col("doc_id"))
     cut = cut.select("id", "b", F.explode("c").alias("c")).select(F.col("c.bucket").alias("bucket"), F.col("id").alias("doc_id"), F.col("c.s").alias("s"), F.expr("substring(b, cast(c.s + 1 as int), cast(c.e - c.s as int))").alias("b"))
     spans = compare(cut.groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "s", "b")).alias("rows")).select("rows"), length)
-    spans = spans.unionByName(met.where("kind = 0").select("doc_id", "s", "e")).unionByName(found.where("kind = 0").select("doc_id", "s", "e"))
-    by_doc = spans.distinct().groupBy("doc_id").agg(F.collect_list("s").alias("ss"), F.collect_list("e").alias("es")).withColumnRenamed("doc_id", "_d")
-    joined = ours.join(by_doc, F.col("id") == F.col("_d"), "left").select("doc_id", "b", "ss", "es")
+    spans = spans.unionByName(met.where("kind = 0").select("doc_id", "s", "e"))
+    by_doc = spans.groupBy("doc_id").agg(F.collect_list("s").alias("ss"), F.collect_list("e").alias("es")).withColumnRenamed("doc_id", "_d")
+    joined = ours.join(by_doc, F.col("id") == F.col("_d"), "left").select(F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), "b", "ss", "es")
     last = "kept_sha256" if digests else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
