@@ -40,6 +40,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """``materialise``, in buckets by ``key``: joins on it don't move these rows again."""
+    spark = df.sparkSession
+    name = f"trovana_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/trovana-{spark.sparkContext.applicationId}/{name}"
+    df.repartition(buckets, key).write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    spark._jvm.System.gc()
+    return spark.table(name)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete everything ``materialise`` has written in this application; call it once results are stored."""
     path = f"{scratch_root(spark)}/trovana-{spark.sparkContext.applicationId}"

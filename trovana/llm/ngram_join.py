@@ -7,48 +7,58 @@ hash buckets, and differ otherwise. Prefixes under the first order are joined, w
 bounds on size and position; a candidate must then share prefix tokens under every other
 order too before its sets are intersected.
 
-Groups of near copies are never expanded into all pairs. In a first round each list of a
-token is compared with its pivots only, and what links is contracted; a second round
-compares, list by list, the rows outside the largest component with those of other
-components. Pairs inside a component need no comparison, all others get one.
+Groups of near copies are never expanded into all pairs. In two rounds each list of a
+token is compared with pivots only, and what links is contracted; a last round compares,
+list by list, the rows outside the largest component with those of other components.
+Pairs inside a component need no comparison, all others get one.
 
 Defined results: null and empty texts, and those without words, have empty sets, link
 with nothing and are their own component; fewer than ``width`` words are one shingle;
-repeated rows and rows that share an id are one node's members; a null id never names a
-component of others; an empty table gives no rows; texts of any length are whole; extra
-columns are ignored. Set sizes and overlaps are those of 64-bit hashes.
+repeated rows and rows that share an id are one node's members; a row with a null id
+belongs to the texts with its set and never names a component of others; an empty table gives no rows; texts of any length are whole; extra
+columns are ignored. Set sizes are those of 64-bit
+hashes, overlaps those of their upper 48 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovana.llm.common import components, materialise, shuffle_width
+from trovana.llm.common import bucketed, components, materialise, shuffle_width
 
-#: Buckets of the frequency table, sent in slabs; a megabyte reaches the executors, whatever the corpus.
-BITS, SLABS = 20, 64
+#: Buckets of the frequency table, sent in slabs; four megabytes reach the executors, whatever the corpus.
+BITS, SLABS = 22, 256
 ORDERS = 3
-#: Word hashes that a worker remembers.
-MEMORY = 500_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+#: Odd factors of a polynomial over bytes, its inverse, and a number for each byte.
+_R = 0x9E3779B97F4A7C15
+_RINV = pow(_R, -1, 2**64)
+_BYTE = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-_WORDS = _Words()
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    size = 1 << max(n, 1 << 16).bit_length()
+    if size not in _POWERS:
+        _POWERS.clear()
+        pair = []
+        for base in (_R, _RINV):
+            x = np.full(size, np.uint64(base))
+            x[0] = 1
+            pair.append(np.cumprod(x, dtype=np.uint64))
+        _POWERS[size] = tuple(pair)
+    return _POWERS[size]
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -57,28 +67,94 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """The sorted set of a text's shingle hashes."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, ASCII white space only
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
-    size = min(width, n)
-    total = np.full(n - size + 1, np.uint64(size))
-    for k in range(size):
-        total = _scramble(total + h[k : n - size + 1 + k] * _MIX[k % 5])
-    return np.unique(total)
+#: Bytes of text made into sets at once.
+BLOCK = 1_000_000
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of some texts, one after the other, and how many words each has.
+
+    Words are bytes in lower case (A-Z only) between ASCII white space; no word is made as an object.
+    """
+    joined = b" ".join([t or b"" for t in texts]).lower()
+    data = np.frombuffer(joined, np.uint8)
+    n = len(data)
+    power, inverse = _powers(n + 1)
+    word = ~_SPACE[data]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
+    h = _scramble((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    upto = np.searchsorted(begin, ends)
+    return h, np.diff(np.concatenate([[0], upto]))
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted sets of shingle hashes of some texts, one after the other, and where each begins."""
+    h, counts = word_hashes(texts)
+    starts = np.cumsum(counts) - counts
+    n = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
+    full = counts >= width
+    total = np.zeros(int(n.sum()), np.uint64)
+    at = np.cumsum(n) - n
+    if full.any():
+        begin = np.repeat(starts[full], n[full]) + np.arange(int(n[full].sum())) - np.repeat(np.cumsum(n[full]) - n[full], n[full])
+        x = np.full(len(begin), np.uint64(width))
+        for k in range(width):
+            x = _scramble(x + h[begin + k] * _MIX[k % 5])
+        total[np.repeat(full, n)] = x
+    for i in np.flatnonzero((counts > 0) & ~full):
+        x = np.full(1, np.uint64(counts[i]))
+        for k in range(counts[i]):
+            x = _scramble(x + h[starts[i] + k : starts[i] + k + 1] * _MIX[k % 5])
+        total[at[i]] = x[0]
+    for a, z in zip(at.tolist(), (at + n).tolist(), strict=True):
+        total[a:z].sort()
+    new = np.ones(len(total), bool)
+    new[1:] = total[1:] != total[:-1]
+    new[at[n > 0]] = True
+    sums = np.concatenate([[0], np.cumsum(new)])
+    return total[new], np.concatenate([sums[at], sums[-1:]])
+
+
+def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``BLOCK`` bytes."""
+    k = 0
+    while k < len(texts):
+        n, size = k, 0
+        while n < len(texts) and (n == k or size + len(texts[n] or b"") <= BLOCK):
+            size += len(texts[n] or b"")
+            n += 1
+        yield k, n
+        k = n
+
+
+def node_id(tokens: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def in_order(tokens: np.ndarray, classes: np.ndarray, order: int, length: int) -> np.ndarray:
-    """The first ``length`` tokens of a set under a global order: rare classes first, then by a hash of their own."""
+def order_keys(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarray:
+    """Keys of a global order: rare classes first, then by a hash of the order's own.
+
+    The first order takes the classes as they are; the others only tell apart what is several times as
+    frequent as the mean, so that they differ where it matters.
+    """
     rank = _scramble(tokens + np.uint64(order * 0x9E3779B97F4A7C15 % 2**64))
-    return tokens[np.lexsort((rank, classes[_bucket(tokens)]))[:length]]
+    rare = classes[_bucket(tokens)]
+    if order > 1:
+        rare = np.maximum(rare, 140) >> 2
+    return (rare.astype(np.uint64) << np.uint64(56)) | (rank >> np.uint64(8))
+
+
+def in_order(tokens: np.ndarray, classes: np.ndarray, order: int, length: int) -> np.ndarray:
+    """The first ``length`` tokens of a set under an order."""
+    return tokens[np.argsort(order_keys(tokens, classes, order), kind="stable")[:length]]
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -97,28 +173,29 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BITS, np.int32)
         for b in batches:
-            n, node = [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t, width)
-                n.append(len(s))
-                node.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
-                np.add.at(counts, _bucket(s), 1)
+            texts, n, node = b.column(1).to_pylist(), [], []
+            for i, j in blocks(texts):
+                tokens, at = shingle_sets(texts[i:j], width)
+                counts += np.bincount(_bucket(tokens), minlength=1 << BITS).astype(np.int32)
+                for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    n.append(y - x)
+                    node.append(node_id(tokens[x:y]) if y > x else None)
             k = len(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if counts.any():
             parts = counts.reshape(SLABS, -1)
             yield pa.RecordBatch.from_arrays([*[pa.nulls(SLABS, pa.int64())] * 3, pa.array(range(SLABS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, slab int, counts binary")
+    out = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n long, node long, slab int, counts binary")
     return out.withColumn("part", F.spark_partition_id())
 
 
 def frequency_classes(rows: DataFrame) -> np.ndarray:
-    """A class for each bucket: 0 up to 1.4 times the mean count, one more for each further factor of 1.4."""
+    """A class for each bucket, eight to each doubling of its count, 128 being the mean."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums = [sum((np.frombuffer(x.as_py(), np.int64 if len(x.as_py()) == 8 << BITS >> 6 else np.int32).astype(np.int64) for x in blobs), np.int64(0)).tobytes() for blobs in b.column(1)]
+            sums = [sum((np.frombuffer(x.as_py(), np.int64 if len(x.as_py()) == (8 << BITS) // SLABS else np.int32).astype(np.int64) for x in blobs), np.int64(0)).tobytes() for blobs in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.binary())], names=["slab", "counts"])
 
     table = rows.where("slab is not null").select("slab", F.floor(F.col("part") / 256).alias("lot"), "counts")
@@ -129,7 +206,7 @@ def frequency_classes(rows: DataFrame) -> np.ndarray:
     for r in final:
         out[r["slab"]] = np.frombuffer(r["counts"], np.int64)
     flat = out.ravel()
-    return np.clip(np.floor(2 * np.log2(np.maximum(flat, 1) / max(flat.mean(), 1))), 0, 255).astype(np.uint8)
+    return np.clip(np.round(8 * np.log2(np.maximum(flat, 0.5) / max(flat.mean(), 0.5))) + 128, 0, 255).astype(np.uint8)
 
 
 def postings(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
@@ -139,52 +216,101 @@ def postings(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for b in batches:
-            tokens, nodes, sizes, lengths = [], [], [], []
-            for t in b.column(0).to_pylist():
-                s = shingles(t, width)
-                if not len(s):
-                    continue
-                node = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-                if node in known:
-                    continue
-                known.add(node)
-                p = prefix_length(len(s), num, den)
-                tokens.append(in_order(s, classes.value, 1, p))
-                nodes.append(node)
-                sizes.append(len(s))
-                lengths.append(p)
-            if tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(np.concatenate([np.arange(p, dtype=np.int32) for p in lengths]))],
-                    names=names,
-                )
-
-    return docs.where("text is not null").select("text").mapInArrow(run, "token long, node long, n int, pos int")
-
-
-def shared_lists(posts: DataFrame, width: int) -> DataFrame:
-    """The postings of tokens that two nodes or more have, one of them within its index prefix."""
-    p = posts.repartition(width, "token").dropDuplicates(["token", "node"])
-    many = p.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    return p.join(many, "token")
+            texts = b.column(0).to_pylist()
+            for i, j in blocks(texts):
+                tokens, at = shingle_sets(texts[i:j], width)
+                keys = order_keys(tokens, classes.value, 1)
+                some, nodes, sizes, lengths = [], [], [], []
+                for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    node = node_id(tokens[x:y]) if y > x else None
+                    if node is None or node in known:
+                        continue
+                    known.add(node)
+                    p = prefix_length(y - x, num, den)
+                    some.append(tokens[x:y][np.argsort(keys[x:y], kind="stable")[:p]])
+                    nodes.append(node)
+                    sizes.append(y - x)
+                    lengths.append(p)
+                if some:
+                    wide = lambda v, kind: pa.array(np.repeat(np.array(v, kind), lengths))
+                    place = np.concatenate([np.arange(p, dtype=np.int32) for p in lengths])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some).view(np.int64)), wide(nodes, np.int64), wide(sizes, np.int32), pa.array(place)], names=names)
+
+    return docs.where("text is not null").select(F.col("text").cast("binary")).mapInArrow(run, "token long, node long, n int, pos int")
+
+
+def shared_lists(posts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The postings of tokens that several nodes have, as far as the bounds leave them a possible partner.
+
+    A list is summed up by classes of sizes, a few dozen at most: how many sets, the smallest, and the
+    most that one can still share, the token at hand included. One exchange by token serves the
+    duplicates, the sums and the join.
+    """
+    p = posts.repartition(width, "token").dropDuplicates(["token", "node"]).withColumn("size", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int"))
+    rows = p.groupBy("token", "size").agg(F.count("*").alias("c"), F.max(F.col("n") - F.col("pos")).alias("room"), F.min("n").alias("least"))
+    many = rows.groupBy("token").agg(F.sum("c").alias("c"), F.collect_list(F.struct("size", "c", "room", "least")).alias("sizes")).where("c > 1").select("token", "sizes")
+    return p.join(many, "token").where(_partner(num, den)).drop("sizes", "size")
+
+
+def _partner(num: int, den: int):
+    """Sets that link lie in the same class of sizes or the next one, and share no more than the room of both."""
+    need = f"{num} * (n + x.least)"
+    return F.expr(f"exists(sizes, x -> abs(x.size - size) <= 1 and (x.size <> size or x.c > 1) and least(n - pos, x.room) * {num + den}L >= {need})")
+
+
+#: Bits of the filter that thins out the texts before their sets are made: 8 MB, whatever the corpus.
+FILTER_BITS = 26
+
+
+def _filter_bits(ids: DataFrame) -> np.ndarray:
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    words = ids.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("v")).toArrow()
+    out = np.zeros(1 << FILTER_BITS >> 6, np.int64)  # as many rows at most
+    out[words["w"].to_numpy()] = words["v"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of a sorted set, byte by byte; the first bytes are in order and compress."""
+    planes = tokens.astype(">u8").view(np.uint8).reshape(-1, 8).T[:6]
+    return len(tokens).to_bytes(4, "little") + planes[1:].tobytes() + zlib.compress(np.ascontiguousarray(planes[0]).tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    planes = np.zeros((8, n), np.uint8)
+    planes[1:6] = np.frombuffer(blob, np.uint8, 5 * n, 4).reshape(5, n)
+    planes[0] = np.frombuffer(zlib.decompress(blob[4 + 5 * n :]), np.uint8)
+    return np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64)
 
 
 def sets_of(docs: DataFrame, described: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, tokens) of the wanted nodes, made again from one text of each."""
-    one = described.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").select("doc_id").distinct()
+    """(node, tokens) of the wanted nodes, made again from one text of each; some others may be among them.
+
+    A filter of fixed size spares most texts the work; where it is full, all are made, which is right too.
+    """
+    one = described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").select("doc_id")
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(one))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for b in batches:
-            node, blob = [], []
-            for t in b.column(0).to_pylist():
-                s = shingles(t, width)
-                if len(s):
-                    blob.append(s.tobytes())
-                    node.append(int.from_bytes(hashlib.blake2b(blob[-1], digest_size=8).digest(), "little", signed=True))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(blob, pa.binary())], names=["node", "tokens"])
-
-    found = docs.where("text is not null").select("doc_id", "text").join(one, F.col("text").isNotNull() & one["doc_id"].eqNullSafe(docs["doc_id"]), "left_semi")
-    return found.select("text").mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+            slot = b.column(0).to_numpy()
+            hit = (bits.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
+            texts = b.column(1).filter(pa.array(hit.astype(bool))).to_pylist()
+            for i, j in blocks(texts):
+                tokens, at = shingle_sets(texts[i:j], width)
+                node, blob = [], []
+                for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    if y > x and (key := node_id(tokens[x:y])) not in known:
+                        known.add(key)
+                        node.append(key)
+                        blob.append(_packed(tokens[x:y]))
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(blob, pa.binary())], names=["node", "tokens"])
+
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    texts = docs.where("text is not null and doc_id is not null").select(slot, F.col("text").cast("binary"))
+    return texts.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, classes, num: int, den: int) -> DataFrame:
@@ -204,7 +330,7 @@ def verified(pairs: DataFrame, sets: DataFrame, classes, num: int, den: int) ->
                 return prefixes[node, order]
 
             for k, (a, b, ta, tb) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
+                x, y = _unpacked(ta), _unpacked(tb)
                 if all(len(np.intersect1d(prefix(a, x, o), prefix(b, y, o), assume_unique=True)) for o in range(2, ORDERS + 1)):
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     if common >= overlap(len(x), len(y), num, den):
@@ -224,34 +350,80 @@ def _near(x: str, y: str, num: int, den: int):
     return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & (F.least(nx - px, ny - py) >= least)
 
 
+#: Members of a list that travel together; longer lists are dealt by the members' hashes.
+PART, PARTS = 512, 64
+
+
+def mixed_lists(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """Lists with several components: ``comp`` of each row, ``out`` if it isn't the list's largest, and the list's ``size``."""
+    placed = lists.join(groups, lists["node"] == groups["node"], "left").select(lists["*"], F.coalesce("component", lists["node"]).alias("comp"))
+    placed = materialise(placed, "ngram-placed")
+    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("size")).where("comps > 1")
+    return placed.join(main.drop("comps"), "token").withColumn("out", F.col("comp") != F.col("main")).drop("main")
+
+
+def pivot_pairs(rows: DataFrame, pivots: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): each row with the pivot (``p``) of its list, as far as the bounds allow."""
+    x, y = rows.alias("x"), pivots.select("token", "p.*").alias("y")
+    one = x.join(y, "token").where((F.col("x.node") != F.col("y.node")) & _near("x", "y", num, den))
+    return one.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def cross_pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): in each list, the rows outside its largest component with those of other components, each pair once.
+
+    Lists travel as arrays to the rows that they are compared with, and a pair that several lists give
+    is made once.
+    """
+    mixed = mixed.withColumn("part", F.when(F.col("size") > PART, F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(-1))
+    lists = mixed.groupBy("token", "part").agg(F.collect_list(F.struct("node", "n", "pos", "comp", "out")).alias("members"))
+    seekers = mixed.where("out").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xpos"), F.col("comp").alias("xcomp"))
+    met = seekers.join(lists, "token").groupBy("x", "xn", "xcomp", "part").agg(F.collect_list(F.struct("xpos", "members")).alias("lists"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, xn, xcomp, lists in zip(*(b.column(i) for i in range(4)), strict=True):
+                x, xn, xcomp = x.as_py(), xn.as_py(), xcomp.as_py()
+                values = lists.values
+                members = values.field("members")
+                flat = members.flatten()
+                count = np.diff(members.offsets.to_numpy())
+                pos = np.repeat(values.field("xpos").to_numpy(), count)
+                node, n, at, comp, out = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("node", "n", "pos", "comp", "out"))
+                ok = (comp != xcomp) & (~out | (x < node)) & (den * np.minimum(n, xn) >= num * np.maximum(n, xn))
+                ok &= np.minimum(n - at, xn - pos) >= overlap(xn, n.astype(np.int64), num, den)
+                found = np.unique(node[ok])
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, x)), pa.array(np.maximum(found, x))], names=["a", "b"])
+
+    return met.select("x", "xn", "xcomp", "lists").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id reachable by links) of every row."""
     spark: SparkSession = docs.sparkSession
     described = materialise(describe(docs, width), "ngram-described")
     classes = spark.sparkContext.broadcast(frequency_classes(described))
-    lists = materialise(shared_lists(postings(docs, classes, width, num, den), shuffle_width(spark)), "ngram-lists")
-    sets = materialise(sets_of(docs, described, _candidates(lists, num, den), width), "ngram-sets")
-
-    # first round: each list against its pivots
-    pivots = [lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node", F.lit(seed))).alias("p")) for seed in range(2)]
-    found = None
-    for p in pivots:
-        x, y = lists.alias("x"), p.select("token", "p.*").alias("y")
-        one = x.join(y, "token").where((F.col("x.node") != F.col("y.node")) & _near("x", "y", num, den))
-        one = one.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        found = one if found is None else found.unionByName(one)
-    links = materialise(verified(found.distinct(), sets, classes, num, den), "ngram-links")
+    lists = materialise(shared_lists(postings(docs, classes, width, num, den), shuffle_width(spark), num, den), "ngram-lists")
+    sets = bucketed(sets_of(docs, described, lists.select("node").distinct(), width), "node", shuffle_width(spark), "ngram-sets")
+
+    # first round: each list against one pivot, mostly the same in all lists of a group
+    seen = materialise(pivot_pairs(lists, lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node")).alias("p")), num, den), "ngram-pairs")
+    links = materialise(verified(seen, sets, classes, num, den), "ngram-links")
     groups = materialise(components(links, "ngram-components"), "ngram-groups")
 
-    # second round: what lies outside the largest component of each list against all other components
-    placed = lists.join(groups, lists["node"] == groups["node"], "left").select(lists["*"], F.coalesce("component", lists["node"]).alias("comp"))
-    placed = materialise(placed, "ngram-placed")
-    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1").select("token", "main")
-    mixed = placed.join(main, "token").withColumn("out", F.col("comp") != F.col("main"))
-    x, y = mixed.where("out").alias("x"), mixed.alias("y")
-    cross = x.join(y, "token").where((F.col("x.comp") != F.col("y.comp")) & (~F.col("y.out") | (F.col("x.node") < F.col("y.node"))) & _near("x", "y", num, den))
-    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    # second round: rows outside the largest component of a list against a pivot in it, another in each list
+    mixed = materialise(mixed_lists(lists, groups), "ngram-mixed")
+    inner = mixed.where("not out").groupBy("token").agg(F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node", "token")).alias("p"))
+    pairs = materialise(pivot_pairs(mixed.where("out"), inner, num, den).join(seen, ["a", "b"], "left_anti"), "ngram-pairs")
+    links = materialise(links.unionByName(verified(pairs, sets, classes, num, den)), "ngram-links")
+    seen = seen.unionByName(pairs)
+    groups = materialise(components(links, "ngram-components"), "ngram-groups")
+
+    # third round: all pairs that are left
+    mixed = materialise(mixed_lists(mixed.select("token", "node", "n", "pos"), groups), "ngram-mixed")
+    cross = cross_pairs(mixed, num, den).join(seen, ["a", "b"], "left_anti")
     more = materialise(verified(cross, sets, classes, num, den), "ngram-more")
     groups = components(links.unionByName(more), "ngram-components")
 
@@ -262,10 +434,3 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     out = placed.where("comp is not null").join(first, "comp").select("doc_id", "n_shingles", F.col("first").alias("component_id"))
     return out.unionByName(placed.where("comp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
-
-def _candidates(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """Nodes that the bounds leave with a possible partner: in each list, sizes and positions are compared with the extremes."""
-    best = F.col("n") - F.col("pos")
-    ends = lists.groupBy("token").agg(F.max(best).alias("room"))
-    some = lists.join(ends, "token").where(F.least(best, F.col("room")) * (num + den) >= num * (F.col("n") + F.col("n") * num / den))
-    return some.select("node").distinct()
