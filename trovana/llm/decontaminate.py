@@ -99,14 +99,15 @@ def _covered(spans: Column) -> Column:
 
 def _result(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     ids = F.array_sort(F.array_distinct(F.col("_items")))
-    return df.select(
-        *keep,
+    found = F.struct(
         F.col("n_words").cast("long").alias("n_words"),
         F.col("n_hit").cast("long").alias("n_hit"),
         F.size("_items").cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+    # a row of its own for each row: a caller's filter stays above it, instead of taking copies of all expressions down to the scan
+    return df.select(*keep, F.explode(F.array(found)).alias("_found")).select(*keep, "_found.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: tuple[str, ...] = ("doc_id",), max_inline: int = 100_000) -> DataFrame:
