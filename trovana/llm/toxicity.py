@@ -88,10 +88,15 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     """
     docs = [*positive, *unlabelled]
     n_p, n = len(positive), len(docs)
-    sizes = np.array([len(d) for d in docs])
-    flat = np.concatenate(docs) if n else np.zeros(0, np.int32)
-    counts = np.bincount(flat, minlength=SLOTS)
-    in_p = np.bincount(flat[: int(sizes[:n_p].sum())], minlength=SLOTS)
+
+    def shares(part: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(SLOTS, np.int32)
+        for d in part:
+            out[d] += 1  # the slots of a document are distinct
+        return out
+
+    in_p = shares(positive)
+    counts = in_p + shares(unlabelled)
     share = (counts + 0.5) / (n + 1)
     apart = np.abs(in_p / n_p - (counts - in_p) / (n - n_p)) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / (n - n_p)))
     apart[counts < least] = 0
@@ -99,10 +104,9 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     slots = slots[apart[slots] > 0].astype(np.int32)
     column = np.full(SLOTS, -1, np.int32)
     column[slots] = np.arange(len(slots), dtype=np.int32)
-    cols, rows = column[flat], np.repeat(np.arange(n, dtype=np.int32), sizes)
-    del flat
-    held = cols >= 0
-    cols, rows = cols[held], rows[held]
+    # only the chosen slots of each document are kept
+    picked = [(c := column[d])[c >= 0] for d in docs]
+    cols, rows = np.concatenate(picked), np.repeat(np.arange(n, dtype=np.int32), [len(p) for p in picked])
     # a slot's step is scaled by how often it occurs, so that slots of a few documents stay near zero
     w, b = np.zeros(len(slots)), float(np.log(prior / (1 - prior)))
     vel, vb = np.zeros_like(w), 0.0
@@ -185,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, level: float = 0.7, max_positive:
 
     rows = texts.select("kind", F.coalesce("toxic", F.lit(0)).alias("toxic"), "text").mapInArrow(slots, "kind string, toxic int, slots binary").toArrow()
     kinds, toxic = np.array(rows["kind"].to_pylist()), np.array(rows["toxic"].to_pylist())
-    found = [np.frombuffer(x, np.int32) for x in rows["slots"].to_pylist()]
+    # views into the received buffers, not copies
+    found = [np.frombuffer(x.as_buffer(), np.int32) for chunk in rows["slots"].chunks for x in chunk]
     pick = lambda k: [found[i] for i in np.flatnonzero(kinds == k)]
     if not (kinds == "p").any() or not (kinds == "u").any():
         return None
