@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trovana.plans.compiler import fenced
+
 INDEX, DESCEND, PRUNE = "index", "skipButDescend", "prune"
 
 #: The default patterns, in order.
@@ -180,7 +182,7 @@ def last_rule(rules: list[Rule], rels: Column, is_directory: Column) -> Column:
 def with_decision(df: DataFrame, roots: list[str], patterns: tuple[str, ...] | list[str] = DEFAULT_PATTERNS) -> DataFrame:
     """``decision`` (index, skipButDescend, prune) and ``rule`` (the deciding pattern, or null) of each row."""
     rules = compile_rules(patterns)
-    df = df.withColumn("_rels", relative_paths(F.col("path"), roots)).withColumn("_rule", last_rule(rules, F.col("_rels"), F.col("is_directory")))
+    df = fenced(fenced(df, {"_rels": relative_paths(F.col("path"), roots)}), {"_rule": last_rule(rules, F.col("_rels"), F.col("is_directory"))})
     chosen = [i for i, r in enumerate(rules) if not r.negated]
     traversal = [i for i, r in enumerate(rules) if r.traversal]
     excluded = F.col("_rule").isin(chosen) if chosen else F.lit(False)
@@ -193,7 +195,7 @@ def with_decision(df: DataFrame, roots: list[str], patterns: tuple[str, ...] | l
     decision = F.when(F.col("is_directory"), directory).otherwise(F.when(excluded, PRUNE).otherwise(INDEX))
     names = F.array(*[F.lit(r.raw) for r in rules]) if rules else F.array().cast("array<string>")
     rule = F.when(F.col("_rule") >= 0, F.element_at(names, F.greatest(F.col("_rule") + 1, F.lit(1)))) if rules else F.lit(None).cast("string")
-    return df.withColumn("decision", decision).withColumn("rule", rule).drop("_rels", "_rule")
+    return fenced(df, {"decision": decision, "rule": rule}).drop("_rels", "_rule")
 
 
 def _may(r: Rule) -> Column:
