@@ -7,7 +7,7 @@ hash buckets, and differ otherwise. Prefixes under the first order are joined, w
 bounds on size and position; a candidate must then share prefix tokens under every other
 order too before its sets are intersected.
 
-Groups of near copies are never expanded into all pairs. In two rounds each list of a
+Groups of near copies are never expanded into all pairs. In a few rounds each list of a
 token is compared with pivots only, and what links is contracted; a last round compares,
 list by list, the rows outside the largest component with those of other components.
 Pairs inside a component need no comparison, all others get one.
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text made into sets at once.
-BLOCK = 1_000_000
+BLOCK = 500_000
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,15 +120,14 @@ def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.
     return total[new], np.concatenate([sums[at], sums[-1:]])
 
 
-def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``BLOCK`` bytes."""
+def blocks(column: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
+    """A binary column as lists of about ``BLOCK`` bytes, with the place of the first of each; no more is held."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(sizes)
     k = 0
-    while k < len(texts):
-        n, size = k, 0
-        while n < len(texts) and (n == k or size + len(texts[n] or b"") <= BLOCK):
-            size += len(texts[n] or b"")
-            n += 1
-        yield k, n
+    while k < len(sizes):
+        n = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + BLOCK, side="right")))
+        yield k, column.slice(k, n - k).to_pylist()
         k = n
 
 
@@ -173,10 +173,10 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BITS, np.int32)
         for b in batches:
-            texts, n, node = b.column(1).to_pylist(), [], []
-            for i, j in blocks(texts):
-                tokens, at = shingle_sets(texts[i:j], width)
-                counts += np.bincount(_bucket(tokens), minlength=1 << BITS).astype(np.int32)
+            n, node = [], []
+            for _, texts in blocks(b.column(1)):
+                tokens, at = shingle_sets(texts, width)
+                np.add.at(counts, _bucket(tokens), 1)
                 for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     n.append(y - x)
                     node.append(node_id(tokens[x:y]) if y > x else None)
@@ -216,9 +216,8 @@ def postings(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for i, j in blocks(texts):
-                tokens, at = shingle_sets(texts[i:j], width)
+            for _, texts in blocks(b.column(0)):
+                tokens, at = shingle_sets(texts, width)
                 keys = order_keys(tokens, classes.value, 1)
                 some, nodes, sizes, lengths = [], [], [], []
                 for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -297,9 +296,8 @@ def sets_of(docs: DataFrame, described: DataFrame, nodes: DataFrame, width: int)
         for b in batches:
             slot = b.column(0).to_numpy()
             hit = (bits.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
-            texts = b.column(1).filter(pa.array(hit.astype(bool))).to_pylist()
-            for i, j in blocks(texts):
-                tokens, at = shingle_sets(texts[i:j], width)
+            for _, texts in blocks(b.column(1).filter(pa.array(hit.astype(bool)))):
+                tokens, at = shingle_sets(texts, width)
                 node, blob = [], []
                 for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     if y > x and (key := node_id(tokens[x:y])) not in known:
@@ -313,33 +311,45 @@ def sets_of(docs: DataFrame, described: DataFrame, nodes: DataFrame, width: int)
     return texts.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, classes, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: prefixes shared under every order, then the exact overlap."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            prefixes: dict = {}
+#: Sets that one task holds while others stream past, and how many of those it gets.
+HELD, PASSING = 64, 2000
 
-            def prefix(node: int, s: np.ndarray, order: int, prefixes: dict = prefixes) -> np.ndarray:
-                if (node, order) not in prefixes:
-                    prefixes[node, order] = in_order(s, classes.value, order, prefix_length(len(s), num, den))
-                return prefixes[node, order]
 
-            for k, (a, b, ta, tb) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                x, y = _unpacked(ta), _unpacked(tb)
-                if all(len(np.intersect1d(prefix(a, x, o), prefix(b, y, o), assume_unique=True)) for o in range(2, ORDERS + 1)):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if common >= overlap(len(x), len(y), num, den):
-                        keep.append(k)
-                if len(prefixes) > 20_000:
-                    prefixes.clear()
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+def verified(pairs: DataFrame, sets: DataFrame, classes, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) that link, as (a, b): prefixes shared under every order, then the exact overlap.
 
-    return both.mapInArrow(run, "a long, b long")
+    The sets of some dozens of ``x`` are brought together once with each ``y`` that any of them is compared
+    with, so a set travels per block of comparisons, not per pair. Both sides of a task are bounded.
+    """
+    width = shuffle_width(pairs.sparkSession)
+    blocks = max(width, -(-pairs.select("x").distinct().count() // HELD))
+    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int"))
+    rows = dealt.groupBy("block", "y").agg(F.collect_set("x").alias("xs"))
+    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / PASSING).cast("int").alias("parts"))
+    rows = rows.join(sizes, "block").select("block", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"), "y", "xs")
+    passing = rows.join(sets.select(F.col("node").alias("y"), F.col("tokens").alias("ty")), "y").select("block", "part", "y", "xs", "ty")
+    held = dealt.select("block", "x").distinct().join(sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx")), "x").join(sizes, "block")
+    held = held.select(F.col("block").alias("hblock"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hpart"), F.col("x").alias("hx"), F.col("tx").alias("htokens"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        def prefixes(s: np.ndarray) -> list[np.ndarray]:
+            return [in_order(s, classes.value, o, prefix_length(len(s), num, den)) for o in range(2, ORDERS + 1)]
+
+        known = {x: (s := _unpacked(t), prefixes(s)) for x, t in zip(right["hx"].to_pylist(), right["htokens"].to_pylist(), strict=True)}
+        found: list[tuple[int, int]] = []
+        for y, xs, blob in zip(left["y"].to_pylist(), left["xs"].to_pylist(), left["ty"].to_pylist(), strict=True):
+            t = _unpacked(blob)
+            own = prefixes(t)
+            for x in xs:
+                if x not in known:
+                    continue
+                s, others = known[x]
+                if all(len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(own, others, strict=True)):
+                    if len(np.intersect1d(s, t, assume_unique=True)) >= overlap(len(s), len(t), num, den):
+                        found.append((min(x, y), max(x, y)))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return passing.groupBy("block", "part").cogroup(held.groupBy("hblock", "hpart")).applyInArrow(compare, "a long, b long")
 
 
 def _near(x: str, y: str, num: int, den: int):
@@ -350,6 +360,8 @@ def _near(x: str, y: str, num: int, den: int):
     return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & (F.least(nx - px, ny - py) >= least)
 
 
+#: Rounds against pivots after the first.
+ROUNDS = 3
 #: Members of a list that travel together; longer lists are dealt by the members' hashes.
 PART, PARTS = 512, 64
 
@@ -364,14 +376,14 @@ def mixed_lists(lists: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(rows: DataFrame, pivots: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): each row with the pivot (``p``) of its list, as far as the bounds allow."""
+    """(x, y): the pivot (``p``) of a list with each of its rows, as far as the bounds allow."""
     x, y = rows.alias("x"), pivots.select("token", "p.*").alias("y")
     one = x.join(y, "token").where((F.col("x.node") != F.col("y.node")) & _near("x", "y", num, den))
-    return one.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return one.select(F.col("y.node").alias("x"), F.col("x.node").alias("y")).distinct()
 
 
 def cross_pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): in each list, the rows outside its largest component with those of other components, each pair once.
+    """(x, y): in each list, the rows outside its largest component with those of other components, each pair once.
 
     Lists travel as arrays to the rows that they are compared with, and a pair that several lists give
     is made once.
@@ -395,9 +407,15 @@ def cross_pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
                 ok &= np.minimum(n - at, xn - pos) >= overlap(xn, n.astype(np.int64), num, den)
                 found = np.unique(node[ok])
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, x)), pa.array(np.maximum(found, x))], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), x)), pa.array(found)], names=["x", "y"])
 
-    return met.select("x", "xn", "xcomp", "lists").mapInArrow(run, "a long, b long").distinct()
+    return met.select("x", "xn", "xcomp", "lists").mapInArrow(run, "x long, y long").distinct()
+
+
+def unseen(pairs: DataFrame, seen: DataFrame) -> DataFrame:
+    """Pairs that haven't been compared, in either order."""
+    both = seen.unionByName(seen.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    return pairs.join(both, ["x", "y"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -413,17 +431,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     links = materialise(verified(seen, sets, classes, num, den), "ngram-links")
     groups = materialise(components(links, "ngram-components"), "ngram-groups")
 
-    # second round: rows outside the largest component of a list against a pivot in it, another in each list
+    # further rounds: rows outside the largest component of a list against a pivot in it, another in each list and round
     mixed = materialise(mixed_lists(lists, groups), "ngram-mixed")
-    inner = mixed.where("not out").groupBy("token").agg(F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node", "token")).alias("p"))
-    pairs = materialise(pivot_pairs(mixed.where("out"), inner, num, den).join(seen, ["a", "b"], "left_anti"), "ngram-pairs")
-    links = materialise(links.unionByName(verified(pairs, sets, classes, num, den)), "ngram-links")
-    seen = seen.unionByName(pairs)
-    groups = materialise(components(links, "ngram-components"), "ngram-groups")
-
-    # third round: all pairs that are left
-    mixed = materialise(mixed_lists(mixed.select("token", "node", "n", "pos"), groups), "ngram-mixed")
-    cross = cross_pairs(mixed, num, den).join(seen, ["a", "b"], "left_anti")
+    for seed in range(ROUNDS):
+        inner = mixed.where("not out").groupBy("token").agg(F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node", "token", F.lit(seed))).alias("p"))
+        pairs = materialise(unseen(pivot_pairs(mixed.where("out"), inner, num, den), seen), "ngram-pairs")
+        more = materialise(verified(pairs, sets, classes, num, den), "ngram-links")
+        seen = seen.unionByName(pairs)
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        groups = materialise(components(links, "ngram-components"), "ngram-groups")
+        mixed = materialise(mixed_lists(mixed.select("token", "node", "n", "pos"), groups), "ngram-mixed")
+
+    # last round: all pairs that are left
+    cross = materialise(unseen(cross_pairs(mixed, num, den), seen), "ngram-pairs")
     more = materialise(verified(cross, sets, classes, num, den), "ngram-more")
     groups = components(links.unionByName(more), "ngram-components")
 
