@@ -97,7 +97,7 @@ def virtual_rows(df: DataFrame) -> DataFrame:
     """Directories that paths imply but the catalog lacks; their ids can't meet those of real rows."""
     need = exploded(df).select(F.col("ancestor").alias("path")).distinct()
     missing = need.join(df.select("path"), "path", "left_anti").withColumn("is_directory", F.lit(True))
-    return derive(missing, ids=False).withColumn("id", text.stable_id(F.concat(F.lit("att-virtual:"), F.col("path"))))
+    return derive(missing, ids=False).withColumn("id", text.stable_id(F.concat(F.lit("virtual:"), F.col("path"))))
 
 
 def with_virtual(df: DataFrame) -> DataFrame:

@@ -218,7 +218,7 @@ ROOTS_SQL = """
 rt as (select '/' || r_name as root from region where r_name <> (select max(r_name) from region)
        union select min('/' || r_name || '/' || n_name) from nation join region on n_regionkey = r_regionkey),
 att as (select path, arg_max(root, length(root)) as root from cat join rt on starts_with(path, root || '/') group by path),
-roll as (select root, count(*) as n_files, 0 as n_directories, count(*) filter (where is_hidden) as n_hidden, cast(sum(size_bytes) as bigint) as content_bytes, cast(sum(strlen(path)) as bigint) as path_bytes
+roll as (select root, count(*) as n_files, cast(0 as bigint) as n_directories, count(*) filter (where is_hidden) as n_hidden, cast(sum(size_bytes) as bigint) as content_bytes, cast(sum(strlen(path)) as bigint) as path_bytes
          from att join cat using (path) group by root)"""
 
 
