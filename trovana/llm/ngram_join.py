@@ -321,14 +321,18 @@ def verified(pairs: DataFrame, sets: DataFrame, classes, num: int, den: int) ->
     The sets of some dozens of ``x`` are brought together once with each ``y`` that any of them is compared
     with, so a set travels per block of comparisons, not per pair. Both sides of a task are bounded.
     """
-    width = shuffle_width(pairs.sparkSession)
-    blocks = max(width, -(-pairs.select("x").distinct().count() // HELD))
+    blocks = max(shuffle_width(pairs.sparkSession), -(-pairs.select("x").distinct().count() // HELD))
     dealt = pairs.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int"))
     rows = dealt.groupBy("block", "y").agg(F.collect_set("x").alias("xs"))
+    return compared(rows, dealt.select("block", "x").distinct(), sets, classes, num, den)
+
+
+def compared(rows: DataFrame, members: DataFrame, sets: DataFrame, classes, num: int, den: int) -> DataFrame:
+    """The links (a, b) among comparisons given as (block, y, xs); ``members``: (block, x)."""
     sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / PASSING).cast("int").alias("parts"))
     rows = rows.join(sizes, "block").select("block", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"), "y", "xs")
     passing = rows.join(sets.select(F.col("node").alias("y"), F.col("tokens").alias("ty")), "y").select("block", "part", "y", "xs", "ty")
-    held = dealt.select("block", "x").distinct().join(sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx")), "x").join(sizes, "block")
+    held = members.join(sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx")), "x").join(sizes, "block")
     held = held.select(F.col("block").alias("hblock"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hpart"), F.col("x").alias("hx"), F.col("tx").alias("htokens"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -363,7 +367,7 @@ def _near(x: str, y: str, num: int, den: int):
 #: Rounds against pivots after the first.
 ROUNDS = 3
 #: Members of a list that travel together; longer lists are dealt by the members' hashes.
-PART, PARTS = 512, 64
+PART = 512
 
 
 def mixed_lists(lists: DataFrame, groups: DataFrame) -> DataFrame:
@@ -382,34 +386,41 @@ def pivot_pairs(rows: DataFrame, pivots: DataFrame, num: int, den: int) -> DataF
     return one.select(F.col("y.node").alias("x"), F.col("x.node").alias("y")).distinct()
 
 
-def cross_pairs(mixed: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y): in each list, the rows outside its largest component with those of other components, each pair once.
+def cross_blocks(mixed: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(block, y, xs) and (block, x): in each list, the rows outside its largest component, in blocks, with those of other components.
 
-    Lists travel as arrays to the rows that they are compared with, and a pair that several lists give
-    is made once.
+    Lists travel as arrays to the blocks that they are compared with, and what several lists give is
+    made once; no row is made for a pair.
     """
-    mixed = mixed.withColumn("part", F.when(F.col("size") > PART, F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(-1))
+    many = mixed.where("out").select("node").distinct().count()
+    block = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-many // HELD)))).cast("int")
+    mixed = mixed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("size") / PART)))
     lists = mixed.groupBy("token", "part").agg(F.collect_list(F.struct("node", "n", "pos", "comp", "out")).alias("members"))
-    seekers = mixed.where("out").select("token", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xpos"), F.col("comp").alias("xcomp"))
-    met = seekers.join(lists, "token").groupBy("x", "xn", "xcomp", "part").agg(F.collect_list(F.struct("xpos", "members")).alias("lists"))
+    seekers = mixed.where("out").groupBy("token", block.alias("block")).agg(F.collect_list(F.struct("node", "n", "pos", "comp")).alias("seekers"))
+    met = seekers.join(lists, "token").groupBy("block", "part").agg(F.collect_list(F.struct("seekers", "members")).alias("lists"))
+    fields = ("node", "n", "pos", "comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x, xn, xcomp, lists in zip(*(b.column(i) for i in range(4)), strict=True):
-                x, xn, xcomp = x.as_py(), xn.as_py(), xcomp.as_py()
+            for block, lists in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found: dict[int, set[int]] = {}
                 values = lists.values
-                members = values.field("members")
-                flat = members.flatten()
-                count = np.diff(members.offsets.to_numpy())
-                pos = np.repeat(values.field("xpos").to_numpy(), count)
-                node, n, at, comp, out = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("node", "n", "pos", "comp", "out"))
-                ok = (comp != xcomp) & (~out | (x < node)) & (den * np.minimum(n, xn) >= num * np.maximum(n, xn))
-                ok &= np.minimum(n - at, xn - pos) >= overlap(xn, n.astype(np.int64), num, den)
-                found = np.unique(node[ok])
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), x)), pa.array(found)], names=["x", "y"])
-
-    return met.select("x", "xn", "xcomp", "lists").mapInArrow(run, "x long, y long").distinct()
+                for i in range(len(values)):
+                    s, m = (values.field(k)[i].values for k in ("seekers", "members"))
+                    x, xn, xpos, xcomp = (s.field(k).to_numpy() for k in fields)
+                    y, n, pos, comp = (m.field(k).to_numpy() for k in fields)
+                    out = m.field("out").to_numpy(zero_copy_only=False)
+                    for k in range(len(x)):
+                        ok = (comp != xcomp[k]) & (~out | (x[k] < y)) & (den * np.minimum(n, xn[k]) >= num * np.maximum(n, xn[k]))
+                        ok &= np.minimum(n - pos, xn[k] - xpos[k]) >= overlap(int(xn[k]), n.astype(np.int64), num, den)
+                        for node in y[ok].tolist():
+                            found.setdefault(node, set()).add(int(x[k]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int32()), pa.array(list(found), pa.int64()), pa.array([sorted(v) for v in found.values()], pa.list_(pa.int64()))], names=["block", "y", "xs"])
+
+    rows = met.select("block", "lists").mapInArrow(run, "block int, y long, xs array<long>")
+    rows = rows.groupBy("block", "y").agg(F.array_distinct(F.flatten(F.collect_list("xs"))).alias("xs"))
+    return rows, mixed.where("out").select(block.alias("block"), F.col("node").alias("x")).distinct()
 
 
 def unseen(pairs: DataFrame, seen: DataFrame) -> DataFrame:
@@ -445,8 +456,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         mixed = materialise(mixed_lists(mixed.select("token", "node", "n", "pos"), groups), "ngram-mixed")
 
     # last round: all pairs that are left
-    cross = materialise(unseen(cross_pairs(mixed, num, den), seen), "ngram-pairs")
-    more = materialise(verified(cross, sets, classes, num, den), "ngram-more")
+    rows, members = cross_blocks(mixed, num, den)
+    more = materialise(compared(materialise(rows, "ngram-cross"), members, sets, classes, num, den), "ngram-more")
     groups = components(links.unionByName(more), "ngram-components")
 
     rows = described.where("slab is null").select("doc_id", F.col("n").alias("n_shingles"), "node")
