@@ -183,6 +183,16 @@ def test_lines(spark):
     assert drop_recurring_lines(df.limit(0)).count() == 0
 
 
+def test_lines_that_are_most_of_a_document(spark):
+    passage = "\n".join(f"{w} passage that every one of these documents carries, word by word" for w in ("this", "that", "such"))
+    rows = [(i, f"{passage}\nown {chr(97 + i)}{chr(98 + i)}") for i in range(25)] + [(30, passage)]
+    got = {r["doc_id"]: r for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["text"] == rows[0][1] and got[0]["_n_dropped"] == 0
+    for i, text in rows[1:25]:
+        assert got[i]["text"] == text.split("\n")[-1] and got[i]["_n_dropped"] == 3
+    assert got[30]["text"] == "" and got[30]["_n_dropped"] == 3
+
+
 # --- urls
 
 

@@ -6,9 +6,9 @@ place where ``min_values`` lines of a leaf differ, being equal elsewhere, become
 A template that occurs in ``min_docs`` different texts is recurring: its lines go from
 every document but the first (the smallest id) that has it.
 
-A document that would lose more than ``max_share`` of its characters this way is a copy
-of others rather than the host of some common lines; it stays whole, for a
-near-duplicate operator to judge. Exact copies count as one text.
+This holds however much of a document such lines are. Only a caller who names a
+``max_share`` keeps the documents whole that would lose more than this share of their
+characters. Exact copies count as one text.
 
 Defined results: null and empty texts stay as they are; lines without tokens are never
 templates; repeated rows (same id, same text) are treated alike; a null id comes after
@@ -108,7 +108,7 @@ def templates(docs: DataFrame, parsed: DataFrame, depth: int, min_docs: int, min
     return alone.unionByName(joint).groupBy("form").agg(F.min("first").alias("first"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 20, depth: int = 3, min_values: int = 5, max_share: float = 0.5) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 20, depth: int = 3, min_values: int = 5, max_share: float | None = None) -> DataFrame:
     """``docs`` with ``text`` less the lines of recurring templates, and ``_n_lines``, ``_n_dropped``."""
     parsed = materialise(lines(docs, depth), "line-parsed")
     found = templates(docs, parsed, depth, min_docs, min_values)
@@ -117,7 +117,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 20, depth: int = 3, mi
     t = docs.withColumn("_th", F.xxhash64("text")).alias("t")
     joined = t.join(drops, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t._th") == F.col("w.th")), "left")
     rest = [F.col(f"t.`{c}`") for c in docs.columns]
-    joined = joined.select(*rest, F.when(F.col("w._lost") <= max_share * (F.length("t.text") + 1), F.col("w._at")).alias("_at"))
+    at = F.col("w._at") if max_share is None else F.when(F.col("w._lost") <= max_share * (F.length("t.text") + 1), F.col("w._at"))
+    joined = joined.select(*rest, at.alias("_at"))
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("_at"), i)), "\n")
     return joined.select(
