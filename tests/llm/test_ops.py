@@ -193,6 +193,19 @@ def test_lines_that_are_most_of_a_document(spark):
     assert got[30]["text"] == "" and got[30]["_n_dropped"] == 3
 
 
+def test_lines_planted_with_the_defaults(spark):
+    words = lambda k, n: " ".join(hashlib.md5(f"{k} {j}".encode()).hexdigest().translate({48 + d: 103 + d for d in range(10)})[:7] for j in range(n))
+    planted = {n: words(f"planted in {n}", 60) for n in (1, 2, 3, 19)}
+    rows = [(i, "\n".join([words(i, 30), *(p for n, p in planted.items() if i < n), words(-i - 1, 30)])) for i in range(19)]
+    rows += [(50, rows[0][1])]
+    got = {r["doc_id"]: r["text"].split("\n") for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "\n".join(got[0]) == rows[0][1]
+    for i, text in rows[1:19]:
+        assert got[i] == [text.split("\n")[0], text.split("\n")[-1]]
+    # the text that stands once, copies aside, keeps its own line in both
+    assert planted[1] in got[50] and not {planted[2], planted[3], planted[19]} & set(got[50])
+
+
 # --- urls
 
 

@@ -4,7 +4,8 @@ A line goes down the tree by its token count and its leading tokens to a leaf. F
 that vary are generalised in two ways: tokens with digits are wildcards at once, and a
 place where ``min_values`` lines of a leaf differ, being equal elsewhere, becomes one.
 A template that occurs in ``min_docs`` different texts is recurring: its lines go from
-every document but the first (the smallest id) that has it.
+every document but the first (the smallest id) that has it. Two texts are enough by
+default, so that nothing that repeats stays and a line fares alike in any size of table.
 
 This holds however much of a document such lines are. Only a caller who names a
 ``max_share`` keeps the documents whole that would lose more than this share of their
@@ -108,7 +109,7 @@ def templates(docs: DataFrame, parsed: DataFrame, depth: int, min_docs: int, min
     return alone.unionByName(joint).groupBy("form").agg(F.min("first").alias("first"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 20, depth: int = 3, min_values: int = 5, max_share: float | None = None) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 3, min_values: int = 5, max_share: float | None = None) -> DataFrame:
     """``docs`` with ``text`` less the lines of recurring templates, and ``_n_lines``, ``_n_dropped``."""
     parsed = materialise(lines(docs, depth), "line-parsed")
     found = templates(docs, parsed, depth, min_docs, min_values)
