@@ -66,5 +66,14 @@ def test_terms_that_reveal(spark):
     assert sanitised(rows[0][1], got[0]["base"], got[0]["terms"]) == "<TERM> a the <TERM> wrote <TERM> <EMAIL> in the morning 0"
 
 
+def test_copies_count_once(spark):
+    rows = [(i, f"{w} pilot kestrel ann@port.example.com") for i, w in enumerate(("red", "green", "blue"))]
+    rows += [(1000 + i, f"plain words {i}") for i in range(400)]
+    rows += [(2000 + i, rows[0][1]) for i in range(2000)]
+    got = {r["doc_id"]: r for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    words = lambda i: {dict(rows)[i][x["s"] : x["z"]] for x in got[i]["terms"]}
+    assert words(0) == words(1) == words(2) == words(3999) == {"pilot", "kestrel"} and not words(1000)
+
+
 def test_empty_table(spark):
     assert pii_digest(find_personal_data(spark.createDataFrame([], "doc_id long, text string"))).count() == 0

@@ -8,7 +8,8 @@ which always stay.
 
 One pass over the texts yields entities, the words near them and document frequencies
 counted per partition; all that follows joins numbers. Texts are counted, so that exact
-copies count once. Offsets are code points, the end exclusive.
+copies count once: a second pass over one row of each repeated text takes its further
+copies off the words' counts. Offsets are code points, the end exclusive.
 
 Defined results: null and empty texts have no spans; whole texts of any length are read
 in linear time; each row gives one row, repeated ones too; an empty table gives none;
@@ -136,7 +137,7 @@ def extract(docs: DataFrame, text: str, keep: tuple[str, ...], reach: int) -> Da
         for b in batches:
             kept = [b.column(i).type for i in range(len(keep))]
             hashes, bases, nears = [], [], []
-            for t in b.column(len(keep)).to_pylist():
+            for t, th in zip(*(b.column(len(keep) + i).to_pylist() for i in range(2)), strict=True):
                 t = t or ""
                 found = base_spans(t)
                 words.update(set(WORD.findall(t.lower())))
@@ -146,7 +147,7 @@ def extract(docs: DataFrame, text: str, keep: tuple[str, ...], reach: int) -> Da
                     e = _long(entity(k, t[a:z]))
                     for x, y in near_words(t, a, z, reach, taken):
                         rows[e, x] = {"e": e, "t": _long(t[x:y].lower()), "s": x, "z": y}
-                hashes.append(_long(t))
+                hashes.append(th)
                 bases.append([{"k": k, "s": a, "z": z} for k, a, z in found])
                 nears.append(list(rows.values()))
                 if len(words) > COUNTED:
@@ -157,17 +158,42 @@ def extract(docs: DataFrame, text: str, keep: tuple[str, ...], reach: int) -> Da
         if words:
             yield flush(words, kept)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, text, _hash(text)).mapInArrow(run, schema)
 
 
-def disclosing(rows: DataFrame, min_texts: int, min_share: float, min_bits: float) -> DataFrame:
-    """(e, t): the terms that reveal an entity, from counts over all documents."""
+def _hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th")
+
+
+def further_copies(docs: DataFrame, text: str, rows: DataFrame) -> DataFrame:
+    """(t, n): how often ``counts`` has a word beyond once for each different text."""
+    more = materialise(rows.where("base is not null").groupBy("th").agg((F.count("*") - 1).alias("more")).where("more > 0"), "pii-copies")
+    once = docs.select(_hash(text), F.col(text).alias("text")).join(more, "th").groupBy("th", "more").agg(F.first("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words: Counter = Counter()
+            for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for w in set(WORD.findall((t or "").lower())):
+                    words[w] += n
+            yield pa.RecordBatch.from_arrays([pa.array([_long(w) for w in words], pa.int64()), pa.array(words.values(), pa.int64())], names=["t", "n"])
+
+    return once.select("text", "more").mapInArrow(run, "t long, n long")
+
+
+def word_texts(docs: DataFrame, text: str, rows: DataFrame) -> DataFrame:
+    """(t, n_t): the number of different texts with each word."""
+    counted = rows.where("counts is not null").select(F.explode("counts").alias("x")).select("x.t", "x.n")
+    return counted.unionByName(further_copies(docs, text, rows).select("t", (-F.col("n")).alias("n"))).groupBy("t").agg(F.sum("n").alias("n_t"))
+
+
+def disclosing(rows: DataFrame, of_t: DataFrame, min_texts: int, min_share: float, min_bits: float) -> DataFrame:
+    """(e, t): the terms that reveal an entity, from counts over all texts."""
     docs = rows.where("base is not null")
-    n = docs.count()
+    n = docs.select("th").distinct().count()
     seen = docs.where("size(near) > 0").select("th", F.explode("near").alias("x")).select("th", "x.e", "x.t").distinct()
     both = seen.groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_texts)
     of_e = seen.select("th", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    of_t = rows.where("counts is not null").select(F.explode("counts").alias("x")).groupBy("x.t").agg(F.sum("x.n").alias("n_t"))
     pairs = both.join(of_e, "e").join(of_t, "t")
     share = F.col("n_et") / F.greatest("n_t", "n_et")
     bits = F.log2(share * F.lit(float(max(n, 1))) / F.col("n_e"))
@@ -177,7 +203,7 @@ def disclosing(rows: DataFrame, min_texts: int, min_share: float, min_bits: floa
 def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), reach: int = 6, min_texts: int = 3, min_share: float = 0.5, min_bits: float = 6.0) -> DataFrame:
     """``keep`` columns, ``base`` (k, s, z: kind as listed, start, end) and ``terms`` (s, z) of every row."""
     rows = materialise(extract(docs, text, keep, reach).withColumn("_row", F.monotonically_increasing_id()), "pii")
-    told = disclosing(rows, min_texts, min_share, min_bits)
+    told = disclosing(rows, word_texts(docs, text, rows), min_texts, min_share, min_bits)
     near = rows.where("size(near) > 0").select("_row", F.explode("near").alias("x")).select("_row", "x.*")
     terms = near.join(told, ["e", "t"]).groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("s", "z"))).alias("terms"))
     out = rows.where("base is not null").select("_row", *keep, "base").join(terms, "_row", "left")
