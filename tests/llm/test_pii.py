@@ -75,5 +75,18 @@ def test_copies_count_once(spark):
     assert words(0) == words(1) == words(2) == words(3999) == {"pilot", "kestrel"} and not words(1000)
 
 
+def test_terms_far_from_the_entity(spark):
+    filler = "the people wrote letters in the morning " * 20
+    rows = [(i, f"Osprey {w} {filler} ann@port.example.com and later osprey again {filler} osprey") for i, w in enumerate(("red", "green", "blue"))]
+    rows += [(1000 + i, f"{filler} and later again {i}") for i in range(400)]
+    rows += [(2000, "an osprey without the address")]
+    got = {r["doc_id"]: r for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(3):
+        text = rows[i][1]
+        assert [(x["s"], x["z"]) for x in got[i]["terms"]] == [m.span() for m in re.finditer("[Oo]sprey", text)]
+        assert "osprey" not in sanitised(text, got[i]["base"], got[i]["terms"]).lower()
+    assert not got[1000]["terms"] and not got[2000]["terms"]
+
+
 def test_empty_table(spark):
     assert pii_digest(find_personal_data(spark.createDataFrame([], "doc_id long, text string"))).count() == 0

@@ -1,13 +1,14 @@
 """Personal data: fixed patterns, and terms that reveal whom a text is about.
 
 The patterns give the protected entities. Corpus co-occurrence then tells how strongly
-a word near an entity discloses it: of all texts with the word, the share in which it
-stands near this entity, and the bits by which that share exceeds the entity's own.
-Words over both thresholds are reported, to be generalised, beside the base spans,
-which always stay.
-
-One pass over the texts yields entities, the words near them and document frequencies
-counted per partition; all that follows joins numbers. Texts are counted, so that exact
+a word discloses an entity: of all texts with the word, the share that also holds this
+entity, wherever in the text, and the bits by which that share exceeds the entity's own.
+Words over both thresholds are reported, to be generalised, at all their places in all
+texts that hold the entity, beside the base spans, which always stay.
+
+One pass over the texts yields entities, the texts that hold any, and document
+frequencies counted per partition. Only entities and words whose counts alone don't rule
+out both thresholds are paired. Texts are counted, so that exact
 copies count once: a second pass over one row of each repeated text takes its further
 copies off the words' counts. Offsets are code points, the end exclusive.
 
@@ -88,72 +89,61 @@ def _long(data: str) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(data.encode()), "little", signed=True)
 
 
-def near_words(text: str, start: int, end: int, reach: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """The ``reach`` words on either side that touch no base span; only as much of the text is read as they need."""
-    for forward in (False, True):
-        width = 64 * reach
-        while True:
-            a, b = (end, min(len(text), end + width)) if forward else (max(0, start - width), start)
-            found = [(a + m.start(), a + m.end()) for m in WORD.finditer(text[a:b])]
-            cut = b < len(text) if forward else a > 0
-            if cut and found and (found[-1][1] == b if forward else found[0][0] == a):
-                found = found[:-1] if forward else found[1:]
-            if len(found) >= reach or not cut:
-                break
-            width *= 4
-        for x, y in found[:reach] if forward else found[-reach:]:
-            if not any(x < q and p < y for p, q in taken):
-                yield x, y
+def free_words(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The words that touch no base span, in one walk over both."""
+    spans = sorted(taken)
+    far, i = 0, 0
+    for m in WORD.finditer(text):
+        while i < len(spans) and spans[i][0] < m.end():
+            far = max(far, spans[i][1])
+            i += 1
+        if far <= m.start():
+            yield m.span()
 
 
 #: Words counted by a task before it hands the counts on.
 COUNTED = 300_000
 
 
-def extract(docs: DataFrame, text: str, keep: tuple[str, ...], reach: int) -> DataFrame:
-    """Rows of documents (``base``: kind, start, end; ``near``: entity, term, start, end) and of word counts (``counts``)."""
-    near = T.ArrayType(T.StructType([T.StructField("e", T.LongType()), T.StructField("t", T.LongType()), T.StructField("s", T.IntegerType()), T.StructField("z", T.IntegerType())]))
+def extract(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """Rows of documents (``base``: kind, start, end; ``holds``: entities; ``held``: the text, if it has any) and of word counts (``counts``)."""
     base = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("k", "s", "z")]))
     counts = T.ArrayType(T.StructType([T.StructField("t", T.LongType()), T.StructField("n", T.LongType())]))
     fields = [T.StructField(k, docs.schema[k].dataType) for k in keep]
-    schema = T.StructType([*fields, T.StructField("th", T.LongType()), T.StructField("base", base), T.StructField("near", near), T.StructField("counts", counts)])
+    schema = T.StructType([*fields, T.StructField("th", T.LongType()), T.StructField("base", base), T.StructField("holds", T.ArrayType(T.LongType())), T.StructField("held", T.StringType()), T.StructField("counts", counts)])
     kinds = (
         pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("z", pa.int32())])),
-        pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("z", pa.int32())])),
+        pa.list_(pa.int64()),
+        pa.string(),
         pa.list_(pa.struct([("t", pa.int64()), ("n", pa.int64())])),
     )
-    names = [*keep, "th", "base", "near", "counts"]
+    names = [*keep, "th", "base", "holds", "held", "counts"]
 
     def flush(c: Counter, kept: list) -> pa.RecordBatch:
         pairs = [{"t": _long(w), "n": n} for w, n in c.items()]
         parts = [pairs[i : i + 20_000] for i in range(0, len(pairs), 20_000)]
         empty = [pa.nulls(len(parts), k) for k in kept]
         c.clear()
-        return pa.RecordBatch.from_arrays([*empty, pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), kinds[0]), pa.nulls(len(parts), kinds[1]), pa.array(parts, kinds[2])], names=names)
+        return pa.RecordBatch.from_arrays([*empty, pa.nulls(len(parts), pa.int64()), *(pa.nulls(len(parts), k) for k in kinds[:3]), pa.array(parts, kinds[3])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         kept = None
         for b in batches:
             kept = [b.column(i).type for i in range(len(keep))]
-            hashes, bases, nears = [], [], []
+            hashes, bases, holds, held = [], [], [], []
             for t, th in zip(*(b.column(len(keep) + i).to_pylist() for i in range(2)), strict=True):
                 t = t or ""
                 found = base_spans(t)
                 words.update(set(WORD.findall(t.lower())))
-                taken = [(a, z) for _, a, z in found]
-                rows = {}
-                for k, a, z in found:
-                    e = _long(entity(k, t[a:z]))
-                    for x, y in near_words(t, a, z, reach, taken):
-                        rows[e, x] = {"e": e, "t": _long(t[x:y].lower()), "s": x, "z": y}
                 hashes.append(th)
                 bases.append([{"k": k, "s": a, "z": z} for k, a, z in found])
-                nears.append(list(rows.values()))
+                holds.append(list({_long(entity(k, t[a:z])) for k, a, z in found}))
+                held.append(t if found else None)
                 if len(words) > COUNTED:
                     yield flush(words, kept)
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(len(keep))), pa.array(hashes, pa.int64()), pa.array(bases, kinds[0]), pa.array(nears, kinds[1]), pa.nulls(len(hashes), kinds[2])], names=names
+                [*(b.column(i) for i in range(len(keep))), pa.array(hashes, pa.int64()), pa.array(bases, kinds[0]), pa.array(holds, kinds[1]), pa.array(held, kinds[2]), pa.nulls(len(hashes), kinds[3])], names=names
             )
         if words:
             yield flush(words, kept)
@@ -191,21 +181,50 @@ def disclosing(rows: DataFrame, of_t: DataFrame, min_texts: int, min_share: floa
     """(e, t): the terms that reveal an entity, from counts over all texts."""
     docs = rows.where("base is not null")
     n = docs.select("th").distinct().count()
-    seen = docs.where("size(near) > 0").select("th", F.explode("near").alias("x")).select("th", "x.e", "x.t").distinct()
-    both = seen.groupBy("e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_texts)
-    of_e = seen.select("th", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-    pairs = both.join(of_e, "e").join(of_t, "t")
+    held = docs.where("held is not null")
+    # no share of an entity's texts is over min_bits if it stands in more of them
+    of_e = held.select("th", F.explode("holds").alias("e")).distinct().groupBy("e").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= min_texts) & (F.col("n_e") <= n * 2.0**-min_bits))
+    kept = materialise(held.select("th", F.explode("holds").alias("e")).distinct().join(of_e, "e"), "pii-entities")
+    texts = held.groupBy("th").agg(F.first("held").alias("held"), F.first("base").alias("base")).join(kept.groupBy("th").agg(F.max("n_e").alias("most")), "th")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for th, t, base, most in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                words = list({_long(t[x:y].lower()) for x, y in free_words(t, [(x["s"], x["z"]) for x in base])})
+                yield pa.RecordBatch.from_arrays([pa.array([v] * len(words), pa.int64()) for v in (th, most)] + [pa.array(words, pa.int64())], names=["th", "most", "t"])
+
+    # nor is a share over min_share if the word stands in more texts than that
+    words = texts.select("th", "held", "base", "most").mapInArrow(run, "th long, most long, t long").join(of_t, "t").where(F.col("n_t") * min_share <= F.col("most"))
+    both = words.select("th", "t", "n_t").join(kept, "th").where(F.col("n_t") * min_share <= F.col("n_e"))
+    pairs = both.groupBy("e", "t", "n_e", "n_t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_texts)
     share = F.col("n_et") / F.greatest("n_t", "n_et")
     bits = F.log2(share * F.lit(float(max(n, 1))) / F.col("n_e"))
     return pairs.where((share >= min_share) & (bits >= min_bits)).select("e", "t")
 
 
-def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), reach: int = 6, min_texts: int = 3, min_share: float = 0.5, min_bits: float = 6.0) -> DataFrame:
+def places(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """(_row, terms): all places of the terms that reveal an entity of the row's text."""
+    terms = told.groupBy("e").agg(F.collect_list("t").alias("ts"))
+    held = rows.where("held is not null")
+    of_row = held.select("_row", F.explode("holds").alias("e")).join(terms, "e").groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("s", pa.int32()), ("z", pa.int32())]))
+        for b in batches:
+            found = []
+            for t, base, ts in zip(*(b.column(i).to_pylist() for i in range(1, 4)), strict=True):
+                wanted = set(ts)
+                found.append([{"s": x, "z": y} for x, y in free_words(t, [(x["s"], x["z"]) for x in base]) if _long(t[x:y].lower()) in wanted])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["_row", "terms"])
+
+    return held.select("_row", "held", "base").join(of_row, "_row").select("_row", "held", "base", "ts").mapInArrow(run, "_row long, terms array<struct<s:int,z:int>>")
+
+
+def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_texts: int = 3, min_share: float = 0.5, min_bits: float = 6.0) -> DataFrame:
     """``keep`` columns, ``base`` (k, s, z: kind as listed, start, end) and ``terms`` (s, z) of every row."""
-    rows = materialise(extract(docs, text, keep, reach).withColumn("_row", F.monotonically_increasing_id()), "pii")
+    rows = materialise(extract(docs, text, keep).withColumn("_row", F.monotonically_increasing_id()), "pii")
     told = disclosing(rows, word_texts(docs, text, rows), min_texts, min_share, min_bits)
-    near = rows.where("size(near) > 0").select("_row", F.explode("near").alias("x")).select("_row", "x.*")
-    terms = near.join(told, ["e", "t"]).groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("s", "z"))).alias("terms"))
+    terms = places(rows, told)
     out = rows.where("base is not null").select("_row", *keep, "base").join(terms, "_row", "left")
     return out.select(*keep, "base", F.coalesce("terms", F.array().cast("array<struct<s:int,z:int>>")).alias("terms"))
 
