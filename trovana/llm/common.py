@@ -1,11 +1,19 @@
-"""Helpers shared by the corpus operators: tables, scratch space, graph components."""
+"""Helpers shared by the corpus operators: tables, scratch space, memory, joins on hot keys, graph components."""
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import ctypes
+import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,55 +21,207 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- columns
+
+
+def col(name: str) -> Column:
+    """A column by its whole name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, *but: str) -> Column:
+    """All columns of ``df`` but some as one struct, so that no name of theirs can clash with an operator's."""
+    names = [c for c in df.columns if c not in but]
+    return F.struct(*[col(c).alias(c) for c in names]) if names else F.struct(F.lit(None).cast("int").alias("none"))
+
+
+def unpacked(row: str, columns: list[str], **new: Column) -> list[Column]:
+    """The columns that ``packed`` has put into ``row``, in their order, with some put in from elsewhere."""
+    return [(new[c] if c in new else F.col(row).getField(c)).alias(c) for c in columns]
+
+
+def kept_names(keep: tuple[str, ...], results: tuple[str, ...]) -> list[str]:
+    """Names of kept columns in a result: one that a result column has comes under ``kept_`` and its name."""
+    taken, out = {r.lower() for r in results}, []
+    for k in keep:
+        name = k
+        while name.lower() in taken:
+            name = "kept_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+# --- scratch space
+
+_SCOPE: contextvars.ContextVar[str] = contextvars.ContextVar("scratch", default="")
+#: When the driver last collected what is no longer in use.
+_COLLECTED = [0.0]
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``).
+
+    Only a session without other machines may do without the setting: it gets a temporary folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         sc = spark.sparkContext
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="trovana-")
         sc.setCheckpointDir(root)
     return root
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
+def _folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/trovana-{spark.sparkContext.applicationId}{_SCOPE.get()}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _collect(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go once their plans are collected: not more often than every few seconds."""
+    if time.monotonic() - _COLLECTED[0] > 4:
+        spark._jvm.System.gc()
+        _COLLECTED[0] = time.monotonic()
+
+
+def materialise(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared scratch folder (or another ``folder`` there) and read it back.
 
     Cuts the lineage, so losing an executor never replays what lies before, and
     gives the next steps a compressed columnar input of known size.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/trovana-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder or _folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    # shuffle files of the steps just finished go once their plans are collected, not at the session's end
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    _collect(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = (path, None)
+    return out
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
     """``materialise``, in buckets by ``key``: joins on it don't move these rows again."""
     spark = df.sparkSession
     name = f"trovana_{label.replace('-', '_')}_{uuid.uuid4().hex}"
-    path = f"{scratch_root(spark)}/trovana-{spark.sparkContext.applicationId}/{name}"
+    path = f"{_folder(spark)}/{name}"
     df.repartition(buckets, key).write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-    spark._jvm.System.gc()
-    return spark.table(name)
+    _collect(spark)
+    out = spark.table(name)
+    out._scratch = (path, name)
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Delete tables that ``materialise`` or ``bucketed`` has made and nothing reads any more."""
+    for df in dfs:
+        path, name = getattr(df, "_scratch", None) or (None, None)
+        if name:
+            df.sparkSession.sql(f"drop table if exists {name}")
+        if path:
+            _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What is written within goes at the end; results that are to stay are written to the folder outside, which is given."""
+    outside = _folder(spark)
+    token = _SCOPE.set(f"{_SCOPE.get()}/scope-{uuid.uuid4().hex}")
+    try:
+        yield outside
+    finally:
+        path = _folder(spark)
+        _SCOPE.reset(token)
+        _delete(spark, path)
 
 
 def release_scratch(spark: SparkSession) -> None:
     """Delete everything ``materialise`` has written in this application; call it once results are stored."""
-    path = f"{scratch_root(spark)}/trovana-{spark.sparkContext.applicationId}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _delete(spark, f"{scratch_root(spark)}/trovana-{spark.sparkContext.applicationId}")
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# --- memory of Python workers
+
+
+def give_back() -> None:
+    """Return free memory to the system, so that a worker between tasks is as small as a new one."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], object] | None = None):
+    """``run`` for ``mapInArrow``: at a task's end it forgets what it has kept and gives memory back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            give_back()
+
+    return wrapped
+
+
+# --- filters of fixed size
+
+#: Bits of a filter that tells which rows can be wanted: 8 MB, whatever the corpus. Where it is full, it spares nothing, which is right too.
+FILTER_BITS = 26
+
+
+def bit_filter(rows: DataFrame, key: str) -> np.ndarray:
+    """The bits of all values of a long column."""
+    slot = F.pmod(key, F.lit(1 << FILTER_BITS))
+    words = rows.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("v")).toArrow()
+    out = np.zeros(1 << FILTER_BITS >> 6, np.int64)  # as many rows at most
+    out[words["w"].to_numpy()] = words["v"].to_numpy()
+    return out.view(np.uint64)
+
+
+def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values can be among those of the filter; all that are, are."""
+    slot = values & ((1 << FILTER_BITS) - 1)
+    return ((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+# --- joins on keys that few rows or a third of all may have
+
+#: A key is hot if it has more than this share of all rows: so many keys at most are broadcast.
+HOT = 20_000
+
+
+def heavy_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``lookup`` on ``key``, of which ``lookup`` has one row each with the number of its ``rows``.
+
+    Keys with over a ``HOT``-th of the ``total`` rows, fewer than ``HOT`` by that, are broadcast with their lookup
+    rows, so theirs stay where they are; all others are shuffled, none with more than that share.
+    ``count`` is dropped. ``how`` is inner or left.
+    """
+    is_hot = F.col(count) * HOT > max(total, 1)
+    # a table small enough to be broadcast as a whole needs no parting
+    hot = F.broadcast(lookup.where(is_hot).drop(count))
+    near = rows.join(hot, key)
+    rest = rows.join(F.broadcast(lookup.where(is_hot).select(key)), key, "left_anti").join(lookup.where(~is_hot).drop(count), key, how)
+    return near.unionByName(rest)
+
+
+# --- graphs
+
+
 def components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component being its smallest node.
 

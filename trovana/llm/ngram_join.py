@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovana.llm.common import bucketed, components, materialise, shuffle_width
+from trovana.llm.hashing import Rolling, runs, scramble
 
 #: Buckets of the frequency table, sent in slabs; four megabytes reach the executors, whatever the corpus.
 BITS, SLABS = 22, 256
@@ -40,33 +41,8 @@ ORDERS = 3
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-#: Odd factors of a polynomial over bytes, its inverse, and a number for each byte.
-_R = 0x9E3779B97F4A7C15
-_RINV = pow(_R, -1, 2**64)
-_BYTE = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(n, 1 << 16).bit_length()
-    if size not in _POWERS:
-        _POWERS.clear()
-        pair = []
-        for base in (_R, _RINV):
-            x = np.full(size, np.uint64(base))
-            x[0] = 1
-            pair.append(np.cumprod(x, dtype=np.uint64))
-        _POWERS[size] = tuple(pair)
-    return _POWERS[size]
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
 
 #: Bytes of text made into sets at once.
 BLOCK = 500_000
@@ -79,14 +55,8 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """
     joined = b" ".join([t or b"" for t in texts]).lower()
     data = np.frombuffer(joined, np.uint8)
-    n = len(data)
-    power, inverse = _powers(n + 1)
-    word = ~_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
-    begin, end = edge[::2], edge[1::2]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
-    h = _scramble((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    begin, end = runs(~_SPACE[data])
+    h = Rolling(data).of(begin, end)
     ends = np.cumsum([len(t or b"") + 1 for t in texts])
     upto = np.searchsorted(begin, ends)
     return h, np.diff(np.concatenate([[0], upto]))
@@ -104,12 +74,12 @@ def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.
         begin = np.repeat(starts[full], n[full]) + np.arange(int(n[full].sum())) - np.repeat(np.cumsum(n[full]) - n[full], n[full])
         x = np.full(len(begin), np.uint64(width))
         for k in range(width):
-            x = _scramble(x + h[begin + k] * _MIX[k % 5])
+            x = scramble(x + h[begin + k] * _MIX[k % 5])
         total[np.repeat(full, n)] = x
     for i in np.flatnonzero((counts > 0) & ~full):
         x = np.full(1, np.uint64(counts[i]))
         for k in range(counts[i]):
-            x = _scramble(x + h[starts[i] + k : starts[i] + k + 1] * _MIX[k % 5])
+            x = scramble(x + h[starts[i] + k : starts[i] + k + 1] * _MIX[k % 5])
         total[at[i]] = x[0]
     for a, z in zip(at.tolist(), (at + n).tolist(), strict=True):
         total[a:z].sort()
@@ -145,7 +115,7 @@ def order_keys(tokens: np.ndarray, classes: np.ndarray, order: int) -> np.ndarra
     The first order takes the classes as they are; the others only tell apart what is several times as
     frequent as the mean, so that they differ where it matters.
     """
-    rank = _scramble(tokens + np.uint64(order * 0x9E3779B97F4A7C15 % 2**64))
+    rank = scramble(tokens + np.uint64(order * 0x9E3779B97F4A7C15 % 2**64))
     rare = classes[_bucket(tokens)]
     if order > 1:
         rare = np.maximum(rare, 140) >> 2
