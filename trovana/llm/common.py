@@ -163,12 +163,24 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Bytes of a batch that are made into Python objects at once.
+SLICE = 2 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes; a row isn't cut."""
+    for b in batches:
+        step = max(1, b.num_rows * size // max(b.nbytes, 1))
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], object] | None = None):
-    """``run`` for ``mapInArrow``: at a task's end it forgets what it has kept and gives memory back."""
+    """``run`` for ``mapInArrow``: it gets small batches, and at a task's end forgets what it has kept and gives memory back."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(slices(batches))
         finally:
             if forget:
                 forget()
@@ -204,19 +216,25 @@ def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 HOT = 20_000
 
 
-def heavy_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+def heavy_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, total: int, how: str = "inner", hot: int = HOT) -> DataFrame:
     """``rows`` joined with ``lookup`` on ``key``, of which ``lookup`` has one row each with the number of its ``rows``.
 
-    Keys with over a ``HOT``-th of the ``total`` rows, fewer than ``HOT`` by that, are broadcast with their lookup
-    rows, so theirs stay where they are; all others are shuffled, none with more than that share.
-    ``count`` is dropped. ``how`` is inner or left.
+    Hot keys, those with over a ``hot``-th of the ``total`` rows, are broadcast with their lookup rows; if the others
+    have to be shuffled, none has more than that share, and rows that need no lookup any more, or have no key, are dealt
+    by a hash of all they hold. ``count`` is dropped. ``how`` is inner or left.
     """
-    is_hot = F.col(count) * HOT > max(total, 1)
-    # a table small enough to be broadcast as a whole needs no parting
-    hot = F.broadcast(lookup.where(is_hot).drop(count))
-    near = rows.join(hot, key)
-    rest = rows.join(F.broadcast(lookup.where(is_hot).select(key)), key, "left_anti").join(lookup.where(~is_hot).drop(count), key, how)
-    return near.unionByName(rest)
+    is_hot = F.col(count) * hot > max(total, 1)
+    names = [c for c in lookup.columns if c not in (key, count)]
+    found = F.struct(*[col(c).alias(c) for c in names]) if names else F.struct(F.lit(1).alias("one"))
+    some = lookup.where(is_hot).select(col(key), found.alias("_hot"))
+    rest = lookup.where(~is_hot).select(col(key).alias("_key"), F.lit(0).cast("long").alias("_salt"), found.alias("_cold"))
+    done = F.col("_hot").isNotNull() | col(key).isNull()
+    ours = rows.join(F.broadcast(some), key, "left").withColumn("_key", F.when(~done, col(key)))
+    ours = ours.withColumn("_salt", F.when(done, F.xxhash64(*[col(c) for c in rows.columns])).otherwise(0))
+    out = ours.join(rest, ["_key", "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    if how == "inner":
+        out = out.where("_found is not null")
+    return out.select(*[col(c) for c in rows.columns], *[F.col("_found").getField(c).alias(c) for c in names])
 
 
 # --- graphs
