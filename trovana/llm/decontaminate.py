@@ -1,34 +1,38 @@
 """Benchmark decontamination with DataFrame functions only.
 
 A window is ``width`` consecutive words of an item (an item with fewer words is one
-window). Each window's shingles are ordered by rarity over all documents; a document
-can hold the window only where its rarest shingle, the prefix of the containment join,
-occurs. Length and position bound what is left, and each candidate is then compared
-word for word with the item-sized windows.
+window). The shingles of a window are ordered by rarity over all documents; a document can
+hold the window only where its rarest shingle, the prefix of the containment join, occurs.
+The places of the documents' shingles are joined with these prefixes; position and length
+bound what is left, and each candidate is then compared word for word with the window.
 
-Benchmarks of up to ``max_inline`` words, counted first, are matched inside each
-document's row without any shuffle; larger ones go through shuffled equi-joins on the
-prefix shingles. Either way gives the same rows.
+Documents stay where they are as long as the benchmark's text has at most
+``broadcast_bytes``, counted first: its prefixes are then broadcast. A larger one's are
+shuffled, with the hashes and places of the documents' shingles, and candidates fetch
+their words by a join. Steps and rows are the same. Texts are told apart by two 64-bit
+hashes, so equal texts fare alike and are found once.
 
 Defined results: null and empty texts have no words, hits or items; items without
 words are never found; null item ids are left out; items with equal texts all count;
 each row of the documents gives one row, repeated ones too; an empty benchmark hits
-nothing; extra columns are ignored unless named in ``keep``.
+nothing; item ids of any characters are told as they are; texts of any length are whole;
+extra columns are ignored unless named in ``keep``, and a kept column that has a result's
+name comes under ``kept_`` and its name.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovana.llm.common import materialise
+from trovana.llm.common import col, heavy_join, kept_names, materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a shingle; windows of fewer words are their own shingle.
 SHINGLE = 3
+#: Text of a benchmark whose windows are broadcast: some ten times as much in each executor's memory.
+BROADCAST_BYTES = 32_000_000
 
 
 def words(text: Column) -> Column:
@@ -50,38 +54,30 @@ def with_words(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _shingle(ws: Column, at: Column, q: int) -> Column:
-    return F.xxhash64(*[F.element_at(ws, (at + k).cast("int")) for k in range(q)])
-
-
-def _hashes(ws: Column, q: int) -> Column:
-    """The shingle at each place of a text, in order."""
-    n = F.size(ws)
-    return F.when(n >= q, F.transform(F.sequence(F.lit(1), n - q + 1), lambda p: _shingle(ws, p, q))).otherwise(F.array().cast("array<bigint>"))
+    """The shingle of ``q`` words from place ``at`` on, which is counted from 0."""
+    return F.xxhash64(F.lit(q), *[F.get(ws, at + k) for k in range(q)])
 
 
 def windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """One row per distinct window: ``w`` (its words joined by a space), ``len``, ``items`` and its shingles ``hs``."""
+    """One row per distinct window: ``w`` (its words joined by a space), ``len``, ``items``, the words ``q`` of a shingle and its shingles ``hs``."""
     b = with_words(benchmark.select("item_id", "text")).where("size(_words) > 0 and item_id is not null")
     n = F.size("_words")
     b = b.withColumn("len", F.least(F.lit(width), n)).withColumn("at", F.explode(F.sequence(F.lit(1), n - F.col("len") + 1)))
     b = b.withColumn("ws", F.slice("_words", F.col("at"), F.col("len")))
     one = b.groupBy("ws", "len").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    ws = F.col("ws")
-    return one.select(F.array_join(ws, " ").alias("w"), "len", "items", F.least(F.lit(SHINGLE), F.col("len")).alias("q"), F.when(F.col("len") == 1, _hashes(ws, 1)).when(F.col("len") == 2, _hashes(ws, 2)).otherwise(_hashes(ws, SHINGLE)).alias("hs"))
-
-
-def _in(name: str, values) -> str:
-    """A membership test in SQL, which Spark turns into one hash set."""
-    return f"{name} in ({', '.join(f'{v}L' for v in sorted(values))})" if values else "false"
-
-
-def _texts(values) -> str:
-    """String literals; words hold no ASCII character that needs an escape."""
-    return ", ".join(f"'{v}'" for v in sorted(values))
+    hashes = lambda q: F.transform(F.sequence(F.lit(0), F.col("len") - q), lambda p: _shingle(F.col("ws"), p, q))
+    hs = F.when(F.col("len") >= SHINGLE, hashes(SHINGLE))
+    for q in range(1, SHINGLE):
+        hs = hs.when(F.col("len") == q, hashes(q))
+    return one.select(F.array_join("ws", " ").alias("w"), "len", "items", F.least(F.lit(SHINGLE), F.col("len")).alias("q"), hs.alias("hs"))
 
 
-def _hash_sql(q: int, p: str = "p") -> str:
-    return f"xxhash64({', '.join(f'element_at(_words, cast({p} + {k} as int))' for k in range(q))})"
+def places(docs: DataFrame, widths: list[int], *carried: str) -> DataFrame:
+    """(pos, h) of all shingles of some widths of the documents, with some of their columns."""
+    at = docs.select(*carried, *(["_words"] if "_words" not in carried else []), F.posexplode("_words").alias("pos", "_word"))
+    hashes = [F.when(F.col("pos") + q <= F.size("_words"), _shingle(F.col("_words"), F.col("pos"), q)) for q in widths]
+    h = hashes[0] if len(hashes) == 1 else F.explode(F.array(*hashes))
+    return at.select(*carried, "pos", h.alias("h"))
 
 
 def _covered(spans: Column) -> Column:
@@ -97,97 +93,56 @@ def _covered(spans: Column) -> Column:
     )
 
 
-def _result(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    ids = F.array_sort(F.array_distinct(F.col("_items")))
-    found = F.struct(
-        F.col("n_words").cast("long").alias("n_words"),
-        F.col("n_hit").cast("long").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-    )
-    # a row of its own for each row: a caller's filter stays above it, instead of taking copies of all expressions down to the scan
-    return df.select(*keep, F.explode(F.array(found)).alias("_found")).select(*keep, "_found.*")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: tuple[str, ...] = ("doc_id",), max_inline: int = 100_000) -> DataFrame:
-    """``keep`` columns, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated`` for every row of ``docs``."""
-    w = windows(benchmark, width)
+def occurrences(docs: DataFrame, benchmark: DataFrame, width: int, broadcast_bytes: int) -> DataFrame:
+    """(_key, rows, n_hit, items) of the texts that hold windows; ``docs`` has ``_key`` and ``_words``."""
     size = benchmark.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    ours = docs.select(*[F.col(k) for k in keep], F.col("text").alias("_text"))
-    if size > 6 * max_inline:
-        return _joined(with_words(ours, "_text"), w, keep)
-    found = w.collect()  # at most one window a word of a benchmark whose size was just checked
-    return _inline(with_words(ours, "_text"), found, keep)
-
-
-def _inline(docs: DataFrame, found: list, keep: tuple[str, ...]) -> DataFrame:
-    ws = F.col("_words")
-    every = defaultdict(set)
-    for r in found:
-        every[r["q"]].update(r["hs"])
+    small = size <= broadcast_bytes
+    side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    w = materialise(windows(benchmark, width), "decontaminate-windows")
+    widths = sorted(r["q"] for r in w.select("q").distinct().collect()) or [SHINGLE]  # SHINGLE values at most
+    shingles = w.select("w", F.size("hs").alias("n"), F.posexplode("hs").alias("offset", "h"))
     # rarity: in how many places of all documents each shingle of the benchmark stands
-    counts: dict[int, dict[int, int]] = {}
-    for q, hs in sorted(every.items()):
-        hits = docs.where(F.size(ws) >= q).select(F.explode(F.expr(f"filter(transform(sequence(1, size(_words) - {q - 1}), p -> {_hash_sql(q)}), h -> {_in('h', hs)})")).alias("h"))
-        counts[q] = {r["h"]: r["count"] for r in hits.groupBy("h").count().collect()}  # at most as many as the benchmark's shingles
-    prefix, places, texts = defaultdict(set), defaultdict(set), defaultdict(list)
-    for r in found:
-        c = counts[r["q"]]
-        if all(h in c for h in r["hs"]):  # else it can't occur anywhere
-            _, h, offset = min((c[h], h, k) for k, h in enumerate(r["hs"]))
-            prefix[r["q"]].add(h)
-            places[r["q"]].add((offset, r["len"]))
-            for item in r["items"]:
-                texts[item].append(r["w"])
-    known = sorted({x for t in texts.values() for x in t})
-    spans = F.array().cast("array<struct<start:int,len:int,w:string>>")
-    docs = docs.withColumn("n_words", F.size("_words"))
-    for q in sorted(prefix):
-        at = F.when(
-            F.size(ws) >= q,
-            F.expr(f"filter(sequence(1, size(_words) - {q - 1}), p -> {_in(_hash_sql(q), prefix[q])})"),
-        ).otherwise(F.array().cast("array<int>"))
-        docs = docs.withColumn(f"_at{q}", at)
-        pairs = ", ".join(f"named_struct('o', {o}, 'n', {n})" for o, n in sorted(places[q]))
-        # position and length bounds: the whole window must lie within the text
-        near = F.expr(
-            f"flatten(transform(_at{q}, p -> transform(filter(array({pairs}), x -> p - x.o >= 1 and p - x.o + x.n - 1 <= n_words), "
-            "x -> named_struct('start', p - x.o, 'len', x.n, 'w', array_join(slice(_words, p - x.o, x.n), ' ')))))"
-        )
-        docs = docs.withColumn(f"_near{q}", F.when(F.size(f"_at{q}") > 0, near).otherwise(spans))
-        spans = F.concat(spans, F.expr(f"filter(_near{q}, x -> x.w in ({_texts(known)}))"))
-    docs = docs.withColumn("_found", F.array_sort(F.array_distinct(spans)))
-    some = F.size("_found") > 0
-    here = F.col("_found.w")
-    items = F.expr("array(" + ", ".join(f"named_struct('i', '{i}', 'w', array({_texts(t)}))" for i, t in sorted(texts.items())) + ")") if texts else None
-    none = F.array().cast("array<string>")
-    got = none if items is None else F.when(some, F.transform(F.filter(items, lambda x: F.arrays_overlap(x["w"], here)), lambda x: x["i"])).otherwise(none)
-    return _result(docs.withColumn("n_hit", F.when(some, _covered(F.col("_found"))).otherwise(0)).withColumn("_items", got), keep)
-
-
-def _joined(docs: DataFrame, w: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The same by equi-joins, for benchmarks without a small bound."""
-    docs = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-words")
-    w = materialise(w.withColumn("_win", F.monotonically_increasing_id()), "decontaminate-windows")
-    ws = F.col("_words")
-    parts = None
-    for q in range(1, SHINGLE + 1):
-        one = docs.select("_row", F.size(ws).alias("n_words"), F.posexplode(_hashes(ws, q)).alias("pos", "h")).withColumn("q", F.lit(q))
-        one = one.join(w.where(F.col("q") == q).select(F.explode("hs").alias("h")).distinct(), "h", "left_semi")
-        parts = one if parts is None else parts.unionByName(one)
-    hits = materialise(parts, "decontaminate-hits")
-    rarity = hits.groupBy("q", "h").count()
-    shingles = w.select("_win", "len", "q", F.size("hs").alias("n"), F.posexplode("hs").alias("offset", "h"))
-    rare = shingles.join(rarity, ["q", "h"]).groupBy("_win", "len", "q", "n").agg(F.min(F.struct("count", "h", "offset")).alias("r"), F.count("*").alias("known"))
-    prefix = rare.where("known = n").select("_win", "len", "q", "n", F.col("r.h").alias("h"), F.col("r.offset").alias("offset"))
-    near = hits.join(prefix, ["q", "h"]).withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0 and start + len <= n_words")
-    near = near.select("_row", "_win", "len", "q", "n", "start").distinct()
-    check = near.join(shingles.select("_win", "offset", "h"), "_win").withColumn("pos", F.col("start") + F.col("offset"))
-    full = check.join(hits.select("_row", "q", "pos", "h"), ["_row", "q", "pos", "h"]).groupBy("_row", "_win", "start", "len", "n").count().where("count = n")
-    spans = full.join(w.select("_win", "items"), "_win").groupBy("_row").agg(
-        F.array_sort(F.collect_set(F.struct("start", "len"))).alias("_found"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items")
+    rarity = materialise(places(docs, widths).select("h").join(side(shingles.select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("places")), "decontaminate-rarity")
+    # a window with a shingle that stands nowhere can't occur
+    first = shingles.join(rarity, "h").groupBy("w", "n").agg(F.min(F.struct("places", "h", "offset")).alias("r"), F.count("*").alias("known")).where("known = n")
+    prefix = materialise(first.select("w", F.col("r.h").alias("h"), F.col("r.offset").alias("offset")).join(w.select("w", "len", "items"), "w"), "decontaminate-prefixes")
+
+    start = F.col("pos") - F.col("offset")
+    near = (start >= 0) & (start + F.col("len") <= F.col("_n"))
+    same = F.array_join(F.slice("_words", F.col("start") + 1, F.col("len")), " ") == F.col("w")
+    ours = docs.withColumn("_n", F.size("_words"))
+    if small:
+        found = places(ours, widths, "_key", "_n", "_words").join(side(prefix), "h").where(near).withColumn("start", start).where(same)
+    else:
+        cand = places(ours, widths, "_key", "_n").join(prefix, "h").where(near).withColumn("start", start).groupBy("_key", "start", "len", "w", "items").agg(F.count("*").alias("times"))
+        texts = ours.join(cand.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"]).select("_key", "_words")
+        found = cand.join(texts, "_key").where(same).withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    spans = found.groupBy("_key", "start", "len", "items").agg(F.count("*").alias("rows"))
+    per = spans.groupBy("_key").agg(F.max("rows").alias("rows"), F.array_sort(F.collect_set(F.struct("start", "len"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return materialise(per.select("_key", "rows", _covered(F.col("at")).alias("n_hit"), "items"), "decontaminate-found")
+
+
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, keep: tuple[str, ...] = ("doc_id",), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``keep`` columns, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated`` for every row of ``docs``."""
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    text = docs.select(key.alias("_key"), F.col("text").alias("_text"))
+    found = occurrences(with_words(text, "_text"), benchmark, width, broadcast_bytes)
+    names = kept_names(keep, RESULTS)
+    # kept columns travel under numbers, so that none can clash
+    rows = docs.select(*[col(k).alias(f"k{i}") for i, k in enumerate(keep)], key.alias("_text"), F.size(_trimmed(words(F.col("text")))).alias("_n"))
+    total = found.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    out = heavy_join(rows, found.withColumnRenamed("_key", "_text"), "_text", "rows", total, "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    result = F.struct(
+        F.col("_n").cast("long").alias("n_words"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
     )
-    out = docs.select("_row", *keep, F.size(ws).alias("n_words")).join(spans, "_row", "left")
-    out = out.withColumn("n_hit", F.when(F.col("_found").isNotNull(), _covered(F.col("_found"))).otherwise(0))
-    return _result(out.withColumn("_items", F.coalesce("_items", F.array().cast("array<string>"))), keep)
+    # a row of its own for each row: a caller's filter stays above it, instead of taking copies of all expressions down to the scan
+    out = out.select(*[F.col(f"k{i}") for i in range(len(keep))], F.explode(F.array(result)).alias("_found"))
+    return out.select(*[F.col(f"k{i}").alias(n) for i, n in enumerate(names)], "_found.*")
