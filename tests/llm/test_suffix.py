@@ -52,6 +52,16 @@ def test_hard_texts(spark):
     assert mine(spark, rows) == brute(rows)
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    a, x, y = word(80), word(60), word(200)
+    rows = [(1, a), (2, a + x), (2, y), (2, y), (3, y[20:120] + a), (None, a + y), (None, x + y), (None, x + x)]
+    got = mine(spark, rows)
+    assert got == brute(rows)
+    assert sum(r[2] for r in got if r[0] == 2) == 80
+
+
 def test_long_text_is_cut_with_overlaps(spark):
     rnd = random.Random(5)
     long = "".join(rnd.choice("abcdefgh") for _ in range(2_300_000))

@@ -6,8 +6,9 @@ substrings of ``gram`` bytes within it, gram + w - 1 = length, which is the same
 the string stands. Anchors meet by hash, with a digest of all bytes that a string around
 them can have (the context):
 
-* of anchors with equal contexts, all but those of the smallest document lose the whole
-  context, at once;
+* equal contexts are one entry of the suffix array: all but those of the smallest document
+  lose the whole context, which needs no order. Contexts are equal if 96 bits of two hashes
+  and the lengths are;
 * where contexts differ, one of each kind goes on, with its bytes. An enhanced suffix
   array (suffixes in order, lengths of common prefixes) is built of them, and a stack
   scan of its common-prefix intervals yields the maximal repeats: intervals whose
@@ -15,11 +16,12 @@ them can have (the context):
   Occurrences outside an interval's smallest document lose the repeat.
 
 Equal contexts are reduced inside each task before anything is sent, so a passage that a
-third of all documents share is a row per task. Texts move once, by id.
+third of all documents share is a row per task. Anchors are dealt to buckets whose number
+follows the size of the texts, so that a task's share doesn't grow with them. Texts move once.
 
 Defined results: a null text is empty; null ids come after all others, and their rows
-don't match each other; rows of one id are not earlier than each other, and, if their
-texts differ, each loses the places found for that id; texts of any length are whole, cut
+don't match each other; rows of one id are not earlier than each other, whatever their
+texts, and rows with one id and text fare alike; texts of any length are whole, cut
 for the work only, with overlaps; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -33,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovana.llm.common import materialise, shuffle_width
+from trovana.llm.common import lean, materialise, shuffle_width
 
 #: Bytes hashed at once; anchors held by a task before they are reduced and handed on.
 PIECE, HELD = 1 << 20, 400_000
+#: Bytes of text that a bucket's anchors stand for.
+BUCKET = 16 << 20
 NULL_ID = 2**63 - 1
 _RNG = np.random.default_rng(7)
 _TABLE = _RNG.integers(0, 2**63, 257, dtype=np.uint64) | np.uint64(1)
@@ -112,12 +116,12 @@ class Anchors:
         self.hash = h[self.at] if len(self.at) else np.zeros(0, np.uint64)
 
 
-def anchored(ids: list[int], texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(hash, context, id, place, left, right) of the anchors of whole texts, in blocks."""
+def anchored(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, context, number of the text, place, left, right) of the anchors of whole texts, in blocks."""
     lap = 2 * length
 
     def work(parts: list[tuple[int, bytes, int, int, int]]) -> tuple[np.ndarray, ...]:
-        """parts: (id, bytes, offset in the text, first and last place to report)."""
+        """parts: (number of the text, bytes, offset in the text, first and last place to report)."""
         sizes = np.array([len(p[1]) for p in parts])
         starts = np.concatenate([[0], np.cumsum(sizes)])
         a = Anchors(np.frombuffer(b"".join(p[1] for p in parts), np.uint8), starts, length, gram)
@@ -129,7 +133,7 @@ def anchored(ids: list[int], texts: list[bytes], length: int, gram: int) -> Iter
 
     held: list[tuple[int, bytes, int, int, int]] = []
     size = 0
-    for i, t in zip(ids, texts, strict=True):
+    for i, t in enumerate(texts):
         if len(t) < length:
             continue
         for s in range(0, len(t), PIECE):
@@ -154,65 +158,66 @@ def _settle(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
     return o, doc > least
 
 
-_SPAN = "doc_id long, s long, e long"
+_SPAN = "who long, s long, e long"
 
 
 def find_anchors(docs: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
     """(bucket, spans, anchors): packed spans that go for sure, in any bucket, and a bucket's anchors."""
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        h, c, doc, place, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, c, doc, who, place, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
         o, later = _settle(h, c, doc)
         gone = o[later]
         gone = gone[left[gone] + right[gone] >= length - gram]
         rest = o[~later]
-        b = (h[rest] >> np.uint64(40)).astype(np.int64) % buckets
+        b = (h[rest] >> np.uint64(32)).astype(np.int64) % buckets
         rest = rest[np.argsort(b, kind="stable")]
         b = np.sort(b)
         cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
         blobs = []
         for x in np.split(rest, cuts[1:]) if len(b) else []:
-            x = x[np.lexsort((place[x], doc[x]))]
-            blobs.append(_pack(h[x], c[x], doc[x], place[x], left[x], right[x]))
+            x = x[np.lexsort((place[x], who[x], doc[x]))]
+            blobs.append(_pack(h[x], c[x], doc[x], who[x], place[x], left[x], right[x]))
         spans = [None] * len(blobs)
         at = b[cuts].tolist()
         if len(gone):
-            o = np.argsort(doc[gone], kind="stable")
-            gone = gone[o]
-            at.append(int(doc[gone[0]] % buckets))
+            gone = gone[np.argsort(who[gone], kind="stable")]
+            at.append(int(who[gone[0]] % buckets))
             blobs.append(None)
-            spans.append(_pack_spans(doc[gone], place[gone] - left[gone], place[gone] + gram + right[gone]))
+            spans.append(_pack_spans(who[gone], place[gone] - left[gone], place[gone] + gram + right[gone]))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(spans, pa.binary()), pa.array(blobs, pa.binary())], names=["bucket", "spans", "anchors"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, count = [], 0
         for x in batches:
-            ids = [NULL_ID if i is None else i for i in x.column(0).to_pylist()]
-            for found in anchored(ids, [(t or "").encode() for t in x.column(1).to_pylist()], length, gram):
-                parts.append(found)
-                count += len(found[0])
+            ids, keys = (x.column(i).to_numpy() for i in (0, 1))
+            for h, c, row, *rest in anchored(x.column(2).to_pylist(), length, gram):
+                parts.append((h, c, ids[row], keys[row], *rest))
+                count += len(h)
                 if count >= HELD:
                     yield from flush(parts)
                     parts, count = [], 0
         if parts:
             yield from flush(parts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, spans binary, anchors binary")
+    return docs.select("id", "who", "b").mapInArrow(lean(run, _POWERS.clear), "bucket int, spans binary, anchors binary")
 
 
-def _pack(h, c, doc, place, left, right) -> bytes:
-    """Columns one after the other; hashes keep 48 of their bits, the bucket holding some more."""
+def _pack(h, c, doc, who, place, left, right) -> bytes:
+    """Columns one after the other, documents once each; hashes keep 48 of their bits."""
     import zstandard
 
     six = lambda x: np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-    first = np.concatenate([doc[:1], np.diff(doc)]).astype("<i8").tobytes() + place.astype("<i8").tobytes() + left.astype(np.uint8).tobytes() + right.astype(np.uint8).tobytes()
-    return len(h).to_bytes(4, "little") + six(h) + six(c) + zstandard.ZstdCompressor(level=1).compress(np.frombuffer(first, np.uint8).tobytes())
+    at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (who[1:] != who[:-1])])
+    runs = np.diff(np.r_[at, len(doc)])
+    first = np.concatenate([doc[at][:1], np.diff(doc[at])]).astype("<i8").tobytes() + runs.astype("<i4").tobytes() + place.astype("<i8").tobytes() + left.astype(np.uint8).tobytes() + right.astype(np.uint8).tobytes()
+    return len(h).to_bytes(4, "little") + len(at).to_bytes(4, "little") + six(h) + six(c) + who[at].astype("<i8").tobytes() + zstandard.ZstdCompressor(level=1).compress(first)
 
 
-def _pack_spans(doc, s, e) -> bytes:
+def _pack_spans(who, s, e) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([doc, s, e]).astype("<i8").tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([who, s, e]).astype("<i8").tobytes())
 
 
 def _unpack_spans(blob: bytes) -> np.ndarray:
@@ -224,35 +229,38 @@ def _unpack_spans(blob: bytes) -> np.ndarray:
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     import zstandard
 
-    n = int.from_bytes(blob[:4], "little")
+    n, docs = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
 
     def six(at: int) -> np.ndarray:
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
         return wide.view("<u8").ravel()
 
-    rest = zstandard.ZstdDecompressor().decompress(blob[4 + 12 * n :])
-    doc, place = np.cumsum(np.frombuffer(rest, "<i8", n)), np.frombuffer(rest, "<i8", n, 8 * n)
-    left, right = np.frombuffer(rest, np.uint8, n, 16 * n), np.frombuffer(rest, np.uint8, n, 17 * n)
-    return six(4), six(4 + 6 * n), doc, place, left.astype(np.int64), right.astype(np.int64)
+    rest = zstandard.ZstdDecompressor().decompress(blob[8 + 12 * n + 8 * docs :])
+    runs = np.frombuffer(rest, "<i4", docs, 8 * docs)
+    doc, who = np.repeat(np.cumsum(np.frombuffer(rest, "<i8", docs)), runs), np.repeat(np.frombuffer(blob, "<i8", docs, 8 + 12 * n), runs)
+    place = np.frombuffer(rest, "<i8", n, 12 * docs)
+    left, right = np.frombuffer(rest, np.uint8, n, 12 * docs + 8 * n), np.frombuffer(rest, np.uint8, n, 12 * docs + 9 * n)
+    return six(8), six(8 + 6 * n), doc, who, place, left.astype(np.int64), right.astype(np.int64)
 
 
 def meet(found: DataFrame, length: int, gram: int) -> DataFrame:
     """kind 0: spans that go; kind 2: contexts to compare (``bucket``; ``s`` and ``e`` are their place)."""
-    names = ["kind", "bucket", "doc_id", "s", "e"]
+    names = ["kind", "bucket", "doc", "who", "s", "e"]
 
-    def rows(kind: int, bucket: int, doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
-        n = len(doc)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int32)), pa.array(doc), pa.array(s), pa.array(e)], names=names)
+    def rows(kind: int, bucket: int, doc: np.ndarray, who: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+        n = len(who)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int32)), pa.array(doc), pa.array(who), pa.array(s), pa.array(e)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for bucket, known, blobs in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True):
                 for blob in known:
-                    yield rows(0, bucket, *_unpack_spans(blob))
+                    who, begin, end = _unpack_spans(blob)
+                    yield rows(0, bucket, np.zeros(len(who), np.int64), who, begin, end)
                 if not blobs:
                     continue
-                h, c, doc, place, left, right = (np.concatenate(p) for p in zip(*map(_unpack, blobs), strict=True))
+                h, c, doc, who, place, left, right = (np.concatenate(p) for p in zip(*map(_unpack, blobs), strict=True))
                 o, later = _settle(h, c, doc)
                 gone = o[later]
                 gone = gone[left[gone] + right[gone] >= length - gram]
@@ -265,10 +273,10 @@ def meet(found: DataFrame, length: int, gram: int) -> DataFrame:
                 rest = rest[mixed[np.cumsum(new) - 1]]
                 for kind, r in ((0, gone), (2, rest)):
                     if len(r):
-                        yield rows(kind, bucket, doc[r], place[r] - left[r], place[r] + gram + right[r])
+                        yield rows(kind, bucket, doc[r], who[r], place[r] - left[r], place[r] + gram + right[r])
 
     packed = found.groupBy("bucket").agg(F.collect_list("spans").alias("spans"), F.collect_list("anchors").alias("anchors"))
-    return packed.mapInArrow(run, "kind int, bucket int, doc_id long, s long, e long")
+    return packed.mapInArrow(lean(run), "kind int, bucket int, doc long, who long, s long, e long")
 
 
 def suffix_array(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -332,13 +340,13 @@ def repeats(lcp: np.ndarray, before: np.ndarray, doc: np.ndarray, least: int) ->
 
 
 def compare(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans that go, from the contexts of each bucket (``rows``: doc_id, s, bytes)."""
+    """Spans that go, from the contexts of each bucket (``rows``: doc, who, s, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in batch.column(0):
                 values = rows.values
-                doc, s = values.field("doc_id").to_numpy(), values.field("s").to_numpy()
+                doc, who, s = (values.field(k).to_numpy() for k in ("doc", "who", "s"))
                 texts = values.field("b").to_pylist()
                 sizes = np.array([len(t) for t in texts])
                 starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -375,26 +383,29 @@ def compare(contexts: DataFrame, length: int) -> DataFrame:
                 if where:
                     m, size = np.concatenate(where), np.concatenate(ends)
                     begin = s[owner[m]] + at[m] - starts[owner[m]]
-                    yield pa.RecordBatch.from_arrays([pa.array(d[m]), pa.array(begin), pa.array(begin + size)], names=["doc_id", "s", "e"])
+                    yield pa.RecordBatch.from_arrays([pa.array(who[owner[m]]), pa.array(begin), pa.array(begin + size)], names=["who", "s", "e"])
 
-    return contexts.mapInArrow(run, _SPAN)
+    return contexts.mapInArrow(lean(run, _POWERS.clear), _SPAN)
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, digests: bool = False) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes that stay; with ``digests`` ``kept_sha256``)."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    met = materialise(meet(find_anchors(docs, length, gram, 4 * width), length, gram), "suffix-met")
-    # both joins read these two columns, so they share the exchange
-    ours = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("b")).repartition(width, "id")
+    # a row is told by its id and text
+    ours = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("who"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    met = materialise(meet(find_anchors(ours, length, gram, max(4 * width, -(-size // BUCKET))), length, gram), "suffix-met")
+    # both joins read these columns, so they share the exchange
+    ours = ours.select("doc_id", "who", "b").repartition(width, "who")
     # bytes of the contexts to compare; one row per document and context
-    wanted = met.where("kind = 2").groupBy("doc_id").agg(F.collect_set(F.struct("bucket", "s", "e")).alias("c"))
-    cut = ours.select("id", "b").join(wanted, F.col("id") == F.col("doc_id"))
-    cut = cut.select("id", "b", F.explode("c").alias("c")).select(F.col("c.bucket").alias("bucket"), F.col("id").alias("doc_id"), F.col("c.s").alias("s"), F.expr("substring(b, cast(c.s + 1 as int), cast(c.e - c.s as int))").alias("b"))
-    spans = compare(cut.groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "s", "b")).alias("rows")).select("rows"), length)
-    spans = spans.unionByName(met.where("kind = 0").select("doc_id", "s", "e"))
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list("s").alias("ss"), F.collect_list("e").alias("es")).withColumnRenamed("doc_id", "_d")
-    joined = ours.join(by_doc, F.col("id") == F.col("_d"), "left").select(F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), "b", "ss", "es")
+    wanted = met.where("kind = 2").groupBy(F.col("who").alias("_w")).agg(F.collect_set(F.struct("bucket", "doc", "s", "e")).alias("c"))
+    cut = ours.join(wanted, F.col("who") == F.col("_w")).select("who", "b", F.explode("c").alias("c"))
+    cut = cut.select("c.bucket", "c.doc", "who", "c.s", F.expr("substring(b, cast(c.s + 1 as int), cast(c.e - c.s as int))").alias("b"))
+    spans = compare(cut.groupBy("bucket").agg(F.collect_list(F.struct("doc", "who", "s", "b")).alias("rows")).select("rows"), length)
+    spans = spans.unionByName(met.where("kind = 0").select("who", "s", "e"))
+    by_doc = spans.groupBy(F.col("who").alias("_w")).agg(F.collect_list("s").alias("ss"), F.collect_list("e").alias("es"))
+    joined = ours.join(by_doc, F.col("who") == F.col("_w"), "left").select("doc_id", "b", "ss", "es")
     last = "kept_sha256" if digests else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,4 +436,4 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, digests: b
                 [x.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.string() if digests else pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", last]
             )
 
-    return joined.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {'string' if digests else 'binary'}")
+    return joined.mapInArrow(lean(run), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {'string' if digests else 'binary'}")
