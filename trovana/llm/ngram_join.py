@@ -14,10 +14,11 @@ Pairs inside a component need no comparison, all others get one.
 
 Defined results: null and empty texts, and those without words, have empty sets, link
 with nothing and are their own component; fewer than ``width`` words are one shingle;
-repeated rows and rows that share an id are one node's members; a row with a null id
-belongs to the texts with its set and never names a component of others; an empty table gives no rows; texts of any length are whole; extra
-columns are ignored. Set sizes are those of 64-bit
-hashes, overlaps those of their upper 48 bits.
+repeated rows are one node's members; rows that share an id are told apart by their texts; a
+row with a null id belongs to the texts with its set, links them like any other and never
+names a component; an empty table gives no rows; texts of any length are whole; extra
+columns are ignored. Set sizes are those of 64-bit hashes, overlaps those of their upper
+48 bits: of 3 * 10^6 pairs of sets of 10^4 shingles, one has an overlap that is too large by one.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovana.llm.common import bucketed, components, materialise, shuffle_width
-from trovana.llm.hashing import Rolling, runs, scramble
+from trovana.llm.common import bit_filter, bucketed, components, discard, heavy_join, in_filter, lean, materialise, shuffle_width
+from trovana.llm.hashing import Rolling, forget, runs, scramble
 
 #: Buckets of the frequency table, sent in slabs; four megabytes reach the executors, whatever the corpus.
 BITS, SLABS = 22, 256
@@ -137,26 +138,26 @@ def overlap(nx, ny, num: int, den: int):
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of documents (``doc_id``, ``n``, ``node``) and of bucket counts (``slab``, ``part``, ``counts``)."""
-    names = ["doc_id", "n", "node", "slab", "counts"]
+    """Rows of documents (``doc_id``, ``th``: the text's hash, ``n``, ``node``) and of bucket counts (``slab``, ``part``, ``counts``)."""
+    names = ["doc_id", "th", "n", "node", "slab", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BITS, np.int32)
         for b in batches:
             n, node = [], []
-            for _, texts in blocks(b.column(1)):
+            for _, texts in blocks(b.column(2)):
                 tokens, at = shingle_sets(texts, width)
                 np.add.at(counts, _bucket(tokens), 1)
                 for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     n.append(y - x)
                     node.append(node_id(tokens[x:y]) if y > x else None)
             k = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if counts.any():
             parts = counts.reshape(SLABS, -1)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(SLABS, pa.int64())] * 3, pa.array(range(SLABS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(SLABS, pa.int64())] * 4, pa.array(range(SLABS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    out = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n long, node long, slab int, counts binary")
+    out = docs.select("doc_id", F.xxhash64("text"), F.col("text").cast("binary")).mapInArrow(lean(run, forget), "doc_id long, th long, n long, node long, slab int, counts binary")
     return out.withColumn("part", F.spark_partition_id())
 
 
@@ -170,8 +171,8 @@ def frequency_classes(rows: DataFrame) -> np.ndarray:
 
     table = rows.where("slab is not null").select("slab", F.floor(F.col("part") / 256).alias("lot"), "counts")
     # in two steps, so that no task holds the counts of all partitions
-    step = table.groupBy("slab", "lot").agg(F.collect_list("counts").alias("c")).select("slab", "c").mapInArrow(add, "slab int, counts binary")
-    final = step.groupBy("slab").agg(F.collect_list("counts").alias("c")).select("slab", "c").mapInArrow(add, "slab int, counts binary").collect()
+    step = table.groupBy("slab", "lot").agg(F.collect_list("counts").alias("c")).select("slab", "c").mapInArrow(lean(add), "slab int, counts binary")
+    final = step.groupBy("slab").agg(F.collect_list("counts").alias("c")).select("slab", "c").mapInArrow(lean(add), "slab int, counts binary").collect()
     out = np.zeros((SLABS, (1 << BITS) // SLABS))
     for r in final:
         out[r["slab"]] = np.frombuffer(r["counts"], np.int64)
@@ -179,6 +180,10 @@ def frequency_classes(rows: DataFrame) -> np.ndarray:
     return np.clip(np.round(8 * np.log2(np.maximum(flat, 0.5) / max(flat.mean(), 0.5))) + 128, 0, 255).astype(np.uint8)
 
 
+#: Nodes that a task remembers, so as to send each once; what it sends again is dropped later.
+KNOWN = 200_000
+
+
 def postings(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFrame:
     """(token, node, n, pos): the prefix of each distinct set of a partition under the first order."""
     names = ["token", "node", "n", "pos"]
@@ -194,6 +199,8 @@ def postings(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFr
                     node = node_id(tokens[x:y]) if y > x else None
                     if node is None or node in known:
                         continue
+                    if len(known) >= KNOWN:
+                        known.clear()
                     known.add(node)
                     p = prefix_length(y - x, num, den)
                     some.append(tokens[x:y][np.argsort(keys[x:y], kind="stable")[:p]])
@@ -205,7 +212,7 @@ def postings(docs: DataFrame, classes, width: int, num: int, den: int) -> DataFr
                     place = np.concatenate([np.arange(p, dtype=np.int32) for p in lengths])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some).view(np.int64)), wide(nodes, np.int64), wide(sizes, np.int32), pa.array(place)], names=names)
 
-    return docs.where("text is not null").select(F.col("text").cast("binary")).mapInArrow(run, "token long, node long, n int, pos int")
+    return docs.where("text is not null").select(F.col("text").cast("binary")).mapInArrow(lean(run, forget), "token long, node long, n int, pos int")
 
 
 def shared_lists(posts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -227,18 +234,6 @@ def _partner(num: int, den: int):
     return F.expr(f"exists(sizes, x -> abs(x.size - size) <= 1 and (x.size <> size or x.c > 1) and least(n - pos, x.room) * {num + den}L >= {need})")
 
 
-#: Bits of the filter that thins out the texts before their sets are made: 8 MB, whatever the corpus.
-FILTER_BITS = 26
-
-
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    words = ids.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("v")).toArrow()
-    out = np.zeros(1 << FILTER_BITS >> 6, np.int64)  # as many rows at most
-    out[words["w"].to_numpy()] = words["v"].to_numpy()
-    return out.view(np.uint64)
-
-
 def _packed(tokens: np.ndarray) -> bytes:
     """The upper 48 bits of a sorted set, byte by byte; the first bytes are in order and compress."""
     planes = tokens.astype(">u8").view(np.uint8).reshape(-1, 8).T[:6]
@@ -258,27 +253,27 @@ def sets_of(docs: DataFrame, described: DataFrame, nodes: DataFrame, width: int)
 
     A filter of fixed size spares most texts the work; where it is full, all are made, which is right too.
     """
-    one = described.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").select("doc_id")
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(one))
+    one = described.where("node is not null").groupBy("node").agg(F.min("th").alias("th")).join(nodes, "node", "left_semi").select("th")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(one, "th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for b in batches:
-            slot = b.column(0).to_numpy()
-            hit = (bits.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
-            for _, texts in blocks(b.column(1).filter(pa.array(hit.astype(bool)))):
+            hit = in_filter(bits.value, b.column(0).to_numpy())
+            for _, texts in blocks(b.column(1).filter(pa.array(hit))):
                 tokens, at = shingle_sets(texts, width)
                 node, blob = [], []
                 for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     if y > x and (key := node_id(tokens[x:y])) not in known:
+                        if len(known) >= KNOWN:
+                            known.clear()
                         known.add(key)
                         node.append(key)
                         blob.append(_packed(tokens[x:y]))
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(blob, pa.binary())], names=["node", "tokens"])
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    texts = docs.where("text is not null and doc_id is not null").select(slot, F.col("text").cast("binary"))
-    return texts.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+    texts = docs.where("text is not null").select(F.xxhash64("text"), F.col("text").cast("binary"))
+    return texts.mapInArrow(lean(run, forget), "node long, tokens binary").dropDuplicates(["node"])
 
 
 #: Sets that one task holds while others stream past, and how many of those it gets.
@@ -338,6 +333,8 @@ def _near(x: str, y: str, num: int, den: int):
 ROUNDS = 3
 #: Members of a list that travel together; longer lists are dealt by the members' hashes.
 PART = 512
+#: Shares into which the lists that a block of seekers meets are dealt.
+LISTS = 16
 
 
 def mixed_lists(lists: DataFrame, groups: DataFrame) -> DataFrame:
@@ -360,14 +357,15 @@ def cross_blocks(mixed: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
     """(block, y, xs) and (block, x): in each list, the rows outside its largest component, in blocks, with those of other components.
 
     Lists travel as arrays to the blocks that they are compared with, and what several lists give is
-    made once; no row is made for a pair.
+    made once; no row is made for a pair. The lists that a block meets are dealt by their tokens.
     """
     many = mixed.where("out").select("node").distinct().count()
     block = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-many // HELD)))).cast("int")
     mixed = mixed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("size") / PART)))
     lists = mixed.groupBy("token", "part").agg(F.collect_list(F.struct("node", "n", "pos", "comp", "out")).alias("members"))
     seekers = mixed.where("out").groupBy("token", block.alias("block")).agg(F.collect_list(F.struct("node", "n", "pos", "comp")).alias("seekers"))
-    met = seekers.join(lists, "token").groupBy("block", "part").agg(F.collect_list(F.struct("seekers", "members")).alias("lists"))
+    slab = F.pmod(F.xxhash64("token"), F.lit(LISTS)).alias("slab")
+    met = seekers.join(lists, "token").groupBy("block", "part", slab).agg(F.collect_list(F.struct("seekers", "members")).alias("lists"))
     fields = ("node", "n", "pos", "comp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +386,7 @@ def cross_blocks(mixed: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int32()), pa.array(list(found), pa.int64()), pa.array([sorted(v) for v in found.values()], pa.list_(pa.int64()))], names=["block", "y", "xs"])
 
-    rows = met.select("block", "lists").mapInArrow(run, "block int, y long, xs array<long>")
+    rows = met.select("block", "lists").mapInArrow(lean(run), "block int, y long, xs array<long>")
     rows = rows.groupBy("block", "y").agg(F.array_distinct(F.flatten(F.collect_list("xs"))).alias("xs"))
     return rows, mixed.where("out").select(block.alias("block"), F.col("node").alias("x")).distinct()
 
@@ -414,6 +412,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     # further rounds: rows outside the largest component of a list against a pivot in it, another in each list and round
     mixed = materialise(mixed_lists(lists, groups), "ngram-mixed")
+    discard(lists)
     for seed in range(ROUNDS):
         inner = mixed.where("not out").groupBy("token").agg(F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node", "token", F.lit(seed))).alias("p"))
         pairs = materialise(unseen(pivot_pairs(mixed.where("out"), inner, num, den), seen), "ngram-pairs")
@@ -422,18 +421,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         if not more.limit(1).count():
             break
         links = links.unionByName(more)
+        old = groups, mixed
         groups = materialise(components(links, "ngram-components"), "ngram-groups")
         mixed = materialise(mixed_lists(mixed.select("token", "node", "n", "pos"), groups), "ngram-mixed")
+        discard(*old)
 
     # last round: all pairs that are left
     rows, members = cross_blocks(mixed, num, den)
-    more = materialise(compared(materialise(rows, "ngram-cross"), members, sets, classes, num, den), "ngram-more")
-    groups = components(links.unionByName(more), "ngram-components")
+    cross = materialise(rows, "ngram-cross")
+    more = materialise(compared(cross, members, sets, classes, num, den), "ngram-more")
+    groups = materialise(components(links.unionByName(more), "ngram-components"), "ngram-groups")
+    discard(cross, mixed, sets)
 
     rows = described.where("slab is null").select("doc_id", F.col("n").alias("n_shingles"), "node")
-    placed = rows.join(groups.withColumnRenamed("node", "g"), F.col("node") == F.col("g"), "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("comp"))
+    per_node = rows.groupBy("node").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least")).where("node is not null")
+    placed = per_node.join(groups, "node", "left").select("node", "rows", "least", F.coalesce("component", "node").alias("comp"))
     placed = materialise(placed, "ngram-members")
-    first = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("first"))
-    out = placed.where("comp is not null").join(first, "comp").select("doc_id", "n_shingles", F.col("first").alias("component_id"))
-    return out.unionByName(placed.where("comp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
+    # a component is one lookup row for each of its nodes, and a node one for all of its rows
+    first = placed.groupBy("comp").agg(F.min("least").alias("first"), F.count("*").alias("nodes"))
+    named = materialise(heavy_join(placed, first, "comp", "nodes", placed.count()).select("node", "rows", "first"), "ngram-firsts")
+    out = heavy_join(rows, named, "node", "rows", described.count(), "left")
+    # texts without words are their own component
+    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
