@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovana.llm.common import components, materialise
+from trovana.llm.common import components, heavy_join, lean, materialise
 
 #: Classes of a block; at most so many centroids are fitted over all labels, from so many rows.
 BLOCK, MAX_CELLS, SAMPLE = 1024, 4096, 40_000
+#: A vector is hot if it has more than this share of all rows.
+HOT = 2000
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -119,7 +121,7 @@ def assign(classes: DataFrame, cells: dict, threshold: float) -> DataFrame:
             picked = b.take(pa.array(take, pa.int64()))
             yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(cell, pa.int32()), pa.array(visitor, pa.bool_())], names=["cls", "label", "dim", "n", "v", "cell", "visitor"])
 
-    return classes.select("cls", "label", "dim", "n", "v").mapInArrow(run, "cls long, label string, dim int, n long, v array<double>, cell int, visitor boolean")
+    return classes.select("cls", "label", "dim", "n", "v").mapInArrow(lean(run), "cls long, label string, dim int, n long, v array<double>, cell int, visitor boolean")
 
 
 def linked(a: np.ndarray, b: np.ndarray | None, na: np.ndarray, nb: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray] | None:
@@ -181,7 +183,7 @@ def block_links(placed: DataFrame, threshold: float, block: int) -> DataFrame:
                     some = links > 0
                     yield pa.RecordBatch.from_arrays([pa.array(every[some]), pa.array(links[some].astype(np.int64)), pa.array(every[root][some])], names=["cls", "links", "root"])
 
-    return pairs.select("blocks").mapInArrow(run, "cls long, links long, root long")
+    return pairs.select("blocks").mapInArrow(lean(run), "cls long, links long, root long")
 
 
 def dedup_embeddings(embeddings: DataFrame, threshold: float = 0.98, target: int = 512, block: int = BLOCK) -> DataFrame:
@@ -194,7 +196,9 @@ def dedup_embeddings(embeddings: DataFrame, threshold: float = 0.98, target: int
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")), "embedding-components")
     per = classes.join(links, "cls", "left").join(groups.select(F.col("node").alias("cls"), "component"), "cls", "left")
-    per = per.select("label", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
-    good = rows.where("ok").join(per, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    vector = F.struct("label", "v").alias("vector")
+    per = per.select(vector, "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+    # a vector that many rows have is broadcast, so that its rows stay where they are
+    good = heavy_join(rows.where("ok").select("vec_id", vector), materialise(per, "embedding-classes"), "vector", "n", rows.count(), hot=HOT).select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
