@@ -1,5 +1,7 @@
+import base64
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -24,8 +26,10 @@ def brute(text):
     for k, c in enumerate(CLASSES):
         for m in re.finditer(c.pattern, text):
             w = m[0]
-            best = max(entropy(w[i : i + c.window]) for i in range(len(w) - c.window + 1))
-            if best >= c.bits and not re.search(ALLOW, w) and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+            cuts = [0, *(x for a in re.finditer(ALLOW, w) for x in a.span()), len(w)]
+            pieces = [w[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+            best = max((entropy(p[i : i + c.window]) for p in pieces for i in range(len(p) - c.window + 1)), default=0)
+            if best >= c.bits - 1e-9 and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
                 more.append((m.start(), 3 + k, m.end(), c.kind))
     return sorted(base), sorted(base + more)
 
@@ -44,6 +48,9 @@ TEXTS = [
     "tokentoken=token=tokentoken secret=secret=12345678",
     "x" * 200_000 + " passwd:abcdefgh",
     "q1W2e3R4t5Y6u7I8o9P0a1S2d3F4g5H6",
+    "keys h7k2m9x4q8w3z5v1n6b0c9 and H7K2M9X4Q8W3Z5V1N6B0C9 or www.q1W2e3R4t5Y6u7I8o9P0a1S2 done",
+    "x=" + base64.b64encode(random.Random(1).randbytes(150_000)).decode() + " end",
+    " ".join(hashlib.md5(bytes([i % 251, i // 251])).hexdigest() for i in range(5_000)),
 ]
 
 

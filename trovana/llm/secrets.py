@@ -2,21 +2,27 @@
 
 Three patterns give the base spans. Beside them, candidate strings are scanned with a
 sliding window whose Shannon entropy is kept by incremental counts, for each character
-class by itself; candidates that an allow-list explains are suppressed. Base spans are
-never suppressed. A text is handled in its own row: nothing is shuffled.
+class by itself. What an allow-list explains is taken out of a candidate first; it is
+reported if a window of what is left is dense. Base spans are never suppressed. A text is
+handled in its own row: nothing is shuffled.
 
 Offsets are code points, the end exclusive. Defined results: null and empty texts have
-no spans; texts of any length are scanned whole; repeated rows give equal rows; extra
-columns are ignored unless named in ``keep``.
+no spans; texts and candidates of any length are scanned whole, each character at a cost
+that doesn't grow with them; repeated rows give equal rows; an empty table gives none; extra
+columns are ignored unless named in ``keep``, and a kept column that has a result's name
+comes under ``kept_`` and its name.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trovana.llm.common import col, kept_names
+
 #: The base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{12,}"
@@ -46,15 +52,23 @@ CLASSES = (
         20,
         3.7,
     ),
+    CharacterClass("entropy_lower", "(?<![A-Za-z0-9+/_=-])(?=[a-f0-9]*[g-z])(?=[a-z]*[0-9])[a-z0-9]{20,}(?![A-Za-z0-9+/_=-])", "abcdefghijklmnopqrstuvwxyz0123456789", 20, 3.7),
+    CharacterClass("entropy_upper", "(?<![A-Za-z0-9+/_=-])(?=[0-9]*[A-Z])(?=[A-Z]*[0-9])[A-Z0-9]{20,}(?![A-Za-z0-9+/_=-])", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.5),
 )
 #: What is no secret although it varies: placeholders, alphabets in order, paths and addresses, runs of one character.
 ALLOW = r"(?i)(example|sample|placeholder|dummy|changeme|xxxx|your[_-]?|0123456789|abcdefgh|qwerty|https?|www|/[a-z]{2,}/[a-z]{2,}/|(.)\2{5})"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda around it would compute an expression for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _matches(text: Column, pattern: str, test: Column, group: int = 0) -> Column:
     """array<struct<start, end, w, g>> of the leftmost non-overlapping matches, from the pieces between them.
 
-    ``test`` must hold wherever the pattern matches.
+    ``test`` must hold wherever the pattern matches. Places are summed up in blocks of about the root of
+    the number of matches, as each step of a sum copies what it has gathered.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
@@ -76,46 +90,69 @@ def _matches(text: Column, pattern: str, test: Column, group: int = 0) -> Column
             .alias("out"),
         )
 
-    return F.when(test & text.rlike(pattern), F.aggregate(steps, state, step, lambda s: s["out"])).otherwise(F.array().cast(kind))
-
-
-def max_entropy(word: Column, c: CharacterClass) -> Column:
-    """The largest Shannon entropy of a window over a word, in bits.
-
-    Each step adds one character and, once the window is full, takes one away; the counts and the sum
-    of count * log2(count) change by these two alone.
-    """
-    size = len(c.alphabet)
-    w = c.window
-
-    def term(n: Column) -> Column:
-        return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
+    def moved(s: Column, block: Column) -> Column:
+        there = F.transform(block["out"], lambda x: F.struct((x["start"] + s["at"]).alias("start"), (x["end"] + s["at"]).alias("end"), x["w"].alias("w"), x["g"].alias("g")))
+        return F.struct((s["at"] + block["at"]).alias("at"), F.concat(s["out"], F.array(there)).alias("out"))
 
-    def put(counts: Column, k: Column, by: int) -> Column:
-        return F.when(k > 0, F.concat(F.slice(counts, 1, k - 1), F.array(F.element_at(counts, F.greatest(k, F.lit(1))) + by), F.slice(counts, k + 1, size))).otherwise(counts)
+    def summed(all_steps: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(all_steps))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(all_steps) - 1) / side).cast("int")), lambda b: F.aggregate(F.slice(all_steps, b * side + 1, side), state, step))
+        return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), moved, lambda s: s["out"]))
 
-    def at(counts: Column, k: Column) -> Column:
-        return F.when(k > 0, F.element_at(counts, F.greatest(k, F.lit(1)))).otherwise(0)
+    return F.when(test & text.rlike(pattern), let(steps, summed)).otherwise(F.array().cast(kind))
 
-    places = F.transform(F.split(word, ""), lambda ch: F.when(ch == "", 0).otherwise(F.instr(F.lit(c.alphabet), ch)))
-    pairs = F.transform(places, lambda k, i: F.struct(k.alias("k"), F.when(i >= w, F.element_at(places, F.greatest(i + 1 - w, F.lit(1)))).otherwise(0).alias("gone"), i.alias("i")))
-    state = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
-    def step(s: Column, x: Column) -> Column:
-        n, more = s["counts"], at(s["counts"], x["k"])
-        added = put(n, x["k"], 1)
-        less = at(added, x["gone"])
-        total = s["sum"] + term(more + 1) - term(more) + F.when(x["gone"] > 0, term(less - 1) - term(less)).otherwise(0.0)
-        bits = F.when(x["i"] >= w - 1, F.lit(float(w)) - total / w - (w - _log2(w))).otherwise(0.0)
-        return F.struct(put(added, x["gone"], -1).alias("counts"), total.alias("sum"), F.greatest(s["best"], bits).alias("best"))
+#: Bits of a count in a state, which bounds a window to 31 characters; counts of a long.
+COUNT_BITS, PER_LONG = 5, 12
 
-    return F.aggregate(F.filter(pairs, lambda x: x["k"] > 0), state, step, lambda s: s["best"])
 
+def max_entropy(word: Column, c: CharacterClass) -> Column:
+    """The largest Shannon entropy of a window over a word, in bits; 0 if the word is shorter.
 
-def _log2(n: int) -> float:
-    import math
+    Each step adds one character and, once the window is full, takes one away; the counts, a few bits
+    each in some longs, and the sum of count * log2(count) change by these two alone.
+    """
+    w, longs = c.window, -(-len(c.alphabet) // PER_LONG)
+    if w >= 1 << COUNT_BITS:
+        raise ValueError("a window has at most 31 characters")
+    terms = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(w + 2)])
 
-    return math.log2(n)
+    def term(n: Column) -> Column:
+        return F.get(terms, n)
+
+    def count(s: Column, k: Column) -> Column:
+        held = s["c0"]
+        for j in range(1, longs):
+            held = F.when(F.floor(k / PER_LONG) == j, s[f"c{j}"]).otherwise(held)
+        return F.call_function("shiftrightunsigned", held, (k % PER_LONG * COUNT_BITS).cast("int")).bitwiseAND(F.lit(31)).cast("int")
+
+    def changed(s: Column, k: Column, by: int) -> list[Column]:
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), (k % PER_LONG * COUNT_BITS).cast("int"))
+        return [F.when(F.floor(k / PER_LONG) == j, s[f"c{j}"] + by * one).otherwise(s[f"c{j}"]).alias(f"c{j}") for j in range(longs)]
+
+    state = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(longs)], F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+
+    def scan(places: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            gone, new = F.get(places, i - w), F.get(places, i)
+            taken = let(
+                s,
+                lambda s: F.when(i < w, s).otherwise(
+                    let(count(s, gone), lambda n: F.struct(*changed(s, gone, -1), (s["sum"] + term(n - 1) - term(n)).alias("sum"), s["best"].alias("best")))
+                ),
+            )
+            return let(
+                taken,
+                lambda s: let(
+                    s["sum"] + let(count(s, new), lambda n: term(n + 1) - term(n)),
+                    lambda total: F.struct(*changed(s, new, 1), total.alias("sum"), F.when(i >= w - 1, F.greatest(s["best"], F.lit(math.log2(w)) - total / w)).otherwise(s["best"]).alias("best")),
+                ),
+            )
+
+        return F.when(F.size(places) >= w, F.aggregate(F.sequence(F.lit(0), F.size(places) - 1), state, step, lambda s: s["best"])).otherwise(F.lit(0.0))
+
+    # one character after the other, as its place in the alphabet; the last piece of the split is empty
+    return let(F.filter(F.transform(F.split(word, ""), lambda ch: F.when(ch == "", -1).otherwise(F.instr(F.lit(c.alphabet), ch) - 1)), lambda k: k >= 0), scan)
 
 
 def _spans(found: Column, kind: str, order: int) -> Column:
@@ -133,7 +170,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     base span lies.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    ours = docs.select(*[F.col(k) for k in keep], t.alias("_t"))
+    own = kept_names(keep, ("base", "found", "_t", "_base", *(f"_c{k}" for k in range(len(classes)))))
+    ours = docs.select(*[col(k).alias(n) for k, n in zip(keep, own, strict=True)], t.alias("_t"))
     t, low = F.col("_t"), F.lower("_t")
     test = low.contains(WORDS[0])
     for w in WORDS[1:]:
@@ -143,13 +181,14 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     more = []
     for k, c in enumerate(classes):
         ours = ours.withColumn(f"_c{k}", _matches(t, c.pattern, F.lit(True)))
-        free = F.filter(F.col(f"_c{k}"), lambda x: ~x["w"].rlike(allow) & ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        more.append(_spans(F.filter(free, _dense(c)), c.kind, 3 + k))
-    return ours.select(*keep, F.col("_base").alias("base"), F.array_sort(F.concat(F.col("_base"), *more)).alias("found"))
+        free = F.filter(F.col(f"_c{k}"), lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        more.append(_spans(F.filter(free, _dense(c, allow)), c.kind, 3 + k))
+    return ours.select(*own, F.col("_base").alias("base"), F.array_sort(F.concat(F.col("_base"), *more)).alias("found"))
 
 
-def _dense(c: CharacterClass):
-    return lambda x: max_entropy(x["w"], c) >= c.bits
+def _dense(c: CharacterClass, allow: str):
+    """Whether a piece of a candidate between what the allow-list explains has a dense window."""
+    return lambda x: F.exists(F.split(x["w"], allow, -1), lambda piece: (F.length(piece) >= c.window) & (max_entropy(piece, c) >= c.bits - 1e-9))
 
 
 def secret_digest(found: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
