@@ -43,7 +43,28 @@ select w.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id
 from w left join n using (doc_id) join (select a as doc_id, min(b) as component_id from r group by a) using (doc_id)
 """
 
-OP5 = r"""
+#: Levels of the path tree that the SQL spells out; no path of the tables has more segments.
+_LEVELS = 6
+
+
+def _op5() -> str:
+    down = "".join(
+        f"""v{d} as (select host, p, count(*) as kids, sum(n) as n from (select host, t[1:{d}] as p, t[{d + 1}] as seg, sum(n) as n from g{d} where len(t) > {d} group by all) group by all having count(*) > 20 and sum(n) < 3.0 * count(*)),
+g{d + 1} as (select g.host, masked, g.n, labelled, bad, case when v.kids is null then t else list_concat(list_concat(t[1:{d}], ['*']), t[{d + 2}:]) end as t
+       from g{d} g left join v{d} v on g.host = v.host and v.p = g.t[1:{d}] and len(g.t) > {d}),
+"""
+        for d in range(_LEVELS)
+    )
+    up = "".join(
+        f"""h{d} as (select host, t[1:{d}] as c, sum(labelled) as l, sum(bad) as b from s{d} where done = 0 and up in ({d}, {d - 1}) group by all),
+q{d} as (select host, c[1:{d - 1}] as p, sum(l) as al, sum(b) as ab from h{d} group by all),
+a{d} as (select h.host, h.c from h{d} h join q{d} q on h.host = q.host and q.p = h.c[1:{d - 1}] where al > 0 and l > 0 and abs(b - l * (ab / al)) > 1.96 * sqrt(l * (ab / al) * (1 - ab / al))),
+s{d - 1} as (select s.host, t, labelled, bad, case when a.c is null and up = {d} and done = 0 then {d - 1} else up end as up, case when a.c is not null then {d} else done end as done
+       from s{d} s left join a{d} a on s.host = a.host and a.c = s.t[1:{d}] and s.done = 0 and s.up in ({d}, {d - 1})),
+"""
+        for d in range(_LEVELS, 0, -1)
+    )
+    return rf"""
 with p as (select page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
                   coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') as path from pages),
 r(verdict, h, s) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
@@ -52,28 +73,21 @@ best as (select host, path, arg_max(h || s, length(h || s)) as rule, arg_max(ver
          from k join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, s) group by host, path),
 j as (select p.*, rule, ruled,
              array_to_string(list_transform(str_split(path, '/'), lambda x, i: case when i > 1 then
-               regexp_replace(x, '^([0-9]+|[0-9a-fA-F]{16,}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})([.]|$)', '*\3') else x end), '/') as masked
+               regexp_replace(x, '^([0-9]+|[0-9a-fA-F]{{16,}}|[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}})([.]|$)', '*\3') else x end), '/') as masked
       from p left join best using (host, path)),
-c as (select host, masked, count(*) as n, count(ruled) as labelled, count(*) filter (where ruled = 'block') as bad from j group by all),
-st as (select host, masked, n, i - 1 as depth, str_split(masked, '/')[i] as seg, array_to_string(str_split(masked, '/')[1:i - 1], '/') as node
-       from c, unnest(range(1, len(str_split(masked, '/')) + 1)) as t(i)),
-ch as (select host, depth, node, seg, sum(n) as n from st group by all),
-v as (select host, depth, node, count(*) as kids, sum(n) as n from ch group by all having kids > 20 and sum(n) < 3.0 * kids),
-o as (select st.host, masked, st.depth, case when v.kids is null then seg else '*' end as seg from st left join v on st.host = v.host and st.depth = v.depth and st.node = v.node),
-nm as (select host, masked, list(seg order by depth) as t from o group by all),
-tp as (select host, masked, array_to_string(t, '/') as template, array_to_string(t[1:greatest(len(t) - 1, 1)], '/') as parent from nm),
-per as (select host, parent, template, sum(labelled) as labelled, sum(bad) as bad from c join tp using (host, masked) group by all),
-up as (select host, parent, sum(labelled) as pl, sum(bad) as pb from per group by all),
-x as (select per.*, case when labelled > 0 and abs(bad - labelled * (pb / greatest(pl, 1))) > 1.96 * sqrt(labelled * (pb / greatest(pl, 1)) * (1 - pb / greatest(pl, 1)))
-                    then template else parent || '/~' end as branch from per join up using (host, parent)),
-m as (select host, branch, sum(labelled) as bl, sum(bad) as bb from x group by all),
-h as (select host, sum(labelled) as hl, sum(bad) as hb from per group by all),
-g as (select (coalesce(sum(bad), 0) + 1) / (coalesce(sum(labelled), 0) + 2) as overall from per),
-jb as (select host, branch, (bb + 5.0 * ((hb + 5.0 * overall) / (hl + 5.0))) / (bl + 5.0) >= 0.8 and bl > 0 as rejected from m join h using (host), g)
-select page_id, j.host, path, rule, coalesce(ruled, case when rejected then 'block' else 'allow' end) as verdict, template
-from j join tp using (host, masked) join x using (host, parent, template) join jb using (host, branch)
+g0 as (select host, masked, count(*) as n, count(ruled) as labelled, count(*) filter (where ruled = 'block') as bad, str_split(masked, '/') as t from j group by all),
+{down}s{_LEVELS} as (select host, t, sum(labelled) as labelled, sum(bad) as bad, len(t) as up, 0 as done from g{_LEVELS} group by all),
+{up}m as (select host, t[1:up] as node, done, sum(labelled) as bl, sum(bad) as bb from s0 group by all),
+hs as (select host, sum(labelled) as hl, sum(bad) as hb from s0 group by all),
+o as (select (coalesce(sum(bad), 0) + 1) / (coalesce(sum(labelled), 0) + 2) as overall from s0),
+jb as (select host, node, done, (bb + 5.0 * ((hb + 5.0 * overall) / (hl + 5.0))) / (bl + 5.0) >= 0.8 and bl > 0 as rejected from m join hs using (host), o)
+select page_id, j.host, path, rule, coalesce(ruled, case when rejected then 'block' else 'allow' end) as verdict, array_to_string(g.t, '/') as template
+from j join g{_LEVELS} g using (host, masked) join s0 on s0.host = j.host and s0.t = g.t join jb on jb.host = j.host and jb.node = s0.t[1:s0.up] and jb.done = s0.done
 """
 
+
+OP5 = _op5()
+
 ORACLE: dict[str, str] = {
     "op1_embedding_dedup": OP1,
     "op3_ngram_jaccard": OP3,
