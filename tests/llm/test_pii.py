@@ -1,7 +1,9 @@
 import hashlib
+import math
+import random
 import re
 
-from trovana.llm.pii import KINDS, base_spans, find_personal_data, pii_digest, sanitised
+from trovana.llm.pii import KINDS, base_spans, entity, find_personal_data, pii_digest, sanitised
 
 PATTERNS = (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -63,7 +65,57 @@ def test_terms_that_reveal(spark):
     words = lambda i: {dict(rows)[i][x["s"] : x["z"]] for x in got[i]["terms"]}
     assert words(0) == {"number", "harbourmaster", "from"} == words(50)
     assert not words(100)
-    assert sanitised(rows[0][1], got[0]["base"], got[0]["terms"]) == "<TERM> a the <TERM> wrote <TERM> <EMAIL> in the morning 0"
+    assert got[100]["sanitised"] is None
+    assert got[0]["sanitised"] == sanitised(rows[0][1], got[0]["base"], got[0]["terms"]) == "<TERM> a the <TERM> wrote <TERM> <EMAIL> in the morning 0"
+
+
+def brute_terms(rows, min_texts=3, min_share=0.5, min_bits=6.0):
+    """{id: spans of revealing words}, by sets of texts."""
+    word = re.compile(r"[^\W\d_]{3,}")
+    texts = {t or "" for _, t in rows}
+    of_w, of_e, pairs = {}, {}, {}
+    free = {}
+    for t in texts:
+        spans = brute(t)
+        for w in {m[0].lower() for m in word.finditer(t.lower())}:
+            of_w.setdefault(w, set()).add(t)
+        es = {entity(k, t[a:z]) for k, a, z in spans}
+        free[t] = [m.span() for m in word.finditer(t) if not any(a < m.end() and m.start() < z for _, a, z in spans)]
+        for e in es:
+            of_e.setdefault(e, set()).add(t)
+            for w in {t[a:z].lower() for a, z in free[t]}:
+                pairs.setdefault((e, w), set()).add(t)
+    told = set()
+    for (e, w), ts in pairs.items():
+        share = len(ts) / max(len(of_w.get(w, ())), len(ts))
+        if len(ts) >= min_texts and share >= min_share and math.log2(share * len(texts) / len(of_e[e])) >= min_bits:
+            told.add((e, w))
+    out = {}
+    for i, t in rows:
+        es = {entity(k, (t or "")[a:z]) for k, a, z in brute(t or "")}
+        out[i] = [(a, z) for a, z in free[t or ""] if any((e, t[a:z].lower()) in told for e in es)]
+    return out
+
+
+def test_terms_equal_brute_force(spark):
+    rnd = random.Random(3)
+    people = [(f"{n}@mail.example", [f"{n}{x}" for x in ("ville", "works", "son")]) for n in ("anna", "boris", "clara", "dario")]
+    common = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    rows = []
+    for i in range(900):
+        ws = [rnd.choice(common) for _ in range(rnd.randint(3, 12))]
+        if rnd.random() < 0.03:
+            address, own = rnd.choice(people)
+            ws += [address, *rnd.sample(own, 2), own[0].upper()]
+            rnd.shuffle(ws)
+        if rnd.random() < 0.01:
+            ws.append(rnd.choice(people)[1][1])
+        rows.append((i, " ".join(ws)))
+    held = [r for r in rows if "@" in r[1]]
+    rows += [(1000 + i, held[0][1]) for i in range(50)] + [(2000, None), (2001, "")]
+    got = {r["doc_id"]: [(x["s"], x["z"]) for x in r["terms"]] for r in find_personal_data(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, held int"), keep=("doc_id", "held")).collect()}
+    want = brute_terms(rows)
+    assert got == want and sum(map(len, want.values())) > 50
 
 
 def test_copies_count_once(spark):

@@ -14,7 +14,8 @@ copies off the words' counts. Offsets are code points, the end exclusive.
 
 Defined results: null and empty texts have no spans; whole texts of any length are read
 in linear time; each row gives one row, repeated ones too; an empty table gives none;
-extra columns are ignored unless named in ``keep``.
+extra columns are ignored unless named in ``keep``, and a kept column that has a result's
+name comes under ``kept_`` and its name.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trovana.llm.common import materialise
+from trovana.llm.common import col, heavy_join, kept_names, lean, materialise
 
 #: The base kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -109,7 +110,8 @@ def extract(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     """Rows of documents (``base``: kind, start, end; ``holds``: entities; ``held``: the text, if it has any) and of word counts (``counts``)."""
     base = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("k", "s", "z")]))
     counts = T.ArrayType(T.StructType([T.StructField("t", T.LongType()), T.StructField("n", T.LongType())]))
-    fields = [T.StructField(k, docs.schema[k].dataType) for k in keep]
+    own = [f"k{i}" for i in range(len(keep))]
+    fields = [T.StructField(n, docs.schema[k].dataType) for n, k in zip(own, keep, strict=True)]
     schema = T.StructType([*fields, T.StructField("th", T.LongType()), T.StructField("base", base), T.StructField("holds", T.ArrayType(T.LongType())), T.StructField("held", T.StringType()), T.StructField("counts", counts)])
     kinds = (
         pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("z", pa.int32())])),
@@ -117,7 +119,7 @@ def extract(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
         pa.string(),
         pa.list_(pa.struct([("t", pa.int64()), ("n", pa.int64())])),
     )
-    names = [*keep, "th", "base", "holds", "held", "counts"]
+    names = [*own, "th", "base", "holds", "held", "counts"]
 
     def flush(c: Counter, kept: list) -> pa.RecordBatch:
         pairs = [{"t": _long(w), "n": n} for w, n in c.items()]
@@ -148,17 +150,17 @@ def extract(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
         if words:
             yield flush(words, kept)
 
-    return docs.select(*keep, text, _hash(text)).mapInArrow(run, schema)
+    return docs.select(*[col(k).alias(n) for n, k in zip(own, keep, strict=True)], col(text).alias("text"), _hash(text)).mapInArrow(lean(run), schema)
 
 
 def _hash(text: str):
-    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th")
+    return F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("th")
 
 
 def further_copies(docs: DataFrame, text: str, rows: DataFrame) -> DataFrame:
     """(t, n): how often ``counts`` has a word beyond once for each different text."""
     more = materialise(rows.where("base is not null").groupBy("th").agg((F.count("*") - 1).alias("more")).where("more > 0"), "pii-copies")
-    once = docs.select(_hash(text), F.col(text).alias("text")).join(more, "th").groupBy("th", "more").agg(F.first("text").alias("text"))
+    once = docs.select(_hash(text), col(text).alias("text")).join(more, "th").groupBy("th", "more").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,7 +170,7 @@ def further_copies(docs: DataFrame, text: str, rows: DataFrame) -> DataFrame:
                     words[w] += n
             yield pa.RecordBatch.from_arrays([pa.array([_long(w) for w in words], pa.int64()), pa.array(words.values(), pa.int64())], names=["t", "n"])
 
-    return once.select("text", "more").mapInArrow(run, "t long, n long")
+    return once.select("text", "more").mapInArrow(lean(run), "t long, n long")
 
 
 def word_texts(docs: DataFrame, text: str, rows: DataFrame) -> DataFrame:
@@ -194,7 +196,9 @@ def disclosing(rows: DataFrame, of_t: DataFrame, min_texts: int, min_share: floa
                 yield pa.RecordBatch.from_arrays([pa.array([v] * len(words), pa.int64()) for v in (th, most)] + [pa.array(words, pa.int64())], names=["th", "most", "t"])
 
     # nor is a share over min_share if the word stands in more texts than that
-    words = texts.select("th", "held", "base", "most").mapInArrow(run, "th long, most long, t long").join(of_t, "t").where(F.col("n_t") * min_share <= F.col("most"))
+    # and the words of a two-hundredth of all texts are broadcast: no more than two hundred times a text's words
+    words = texts.select("th", "held", "base", "most").mapInArrow(lean(run), "th long, most long, t long")
+    words = heavy_join(words, of_t.withColumn("texts", F.col("n_t")), "t", "texts", n, hot=200).where(F.col("n_t") * min_share <= F.col("most"))
     both = words.select("th", "t", "n_t").join(kept, "th").where(F.col("n_t") * min_share <= F.col("n_e"))
     pairs = both.groupBy("e", "t", "n_e", "n_t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_texts)
     share = F.col("n_et") / F.greatest("n_t", "n_et")
@@ -203,40 +207,52 @@ def disclosing(rows: DataFrame, of_t: DataFrame, min_texts: int, min_share: floa
 
 
 def places(rows: DataFrame, told: DataFrame) -> DataFrame:
-    """(_row, terms): all places of the terms that reveal an entity of the row's text."""
-    terms = told.groupBy("e").agg(F.collect_list("t").alias("ts"))
+    """(_row, terms, sanitised): all places of the terms that reveal an entity of the row's text, and the text without them."""
     held = rows.where("held is not null")
-    of_row = held.select("_row", F.explode("holds").alias("e")).join(terms, "e").groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"))
+    holds = held.select("_row", F.explode("holds").alias("e"))
+    counts = holds.groupBy("e").agg(F.count("*").alias("rows"))
+    terms = told.groupBy("e").agg(F.collect_list("t").alias("ts")).join(counts, "e")
+    of_row = heavy_join(holds, materialise(terms, "pii-terms"), "e", "rows", rows.count()).groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("s", pa.int32()), ("z", pa.int32())]))
         for b in batches:
-            found = []
+            found, clean = [], []
             for t, base, ts in zip(*(b.column(i).to_pylist() for i in range(1, 4)), strict=True):
-                wanted = set(ts)
-                found.append([{"s": x, "z": y} for x, y in free_words(t, [(x["s"], x["z"]) for x in base]) if _long(t[x:y].lower()) in wanted])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["_row", "terms"])
+                wanted = set(ts or ())
+                found.append([{"s": x, "z": y} for x, y in free_words(t, [(x["s"], x["z"]) for x in base]) if _long(t[x:y].lower()) in wanted] if wanted else [])
+                clean.append(sanitised(t, base, found[-1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind), pa.array(clean, pa.string())], names=["_row", "terms", "sanitised"])
 
-    return held.select("_row", "held", "base").join(of_row, "_row").select("_row", "held", "base", "ts").mapInArrow(run, "_row long, terms array<struct<s:int,z:int>>")
+    return held.select("_row", "held", "base").join(of_row, "_row", "left").select("_row", "held", "base", "ts").mapInArrow(lean(run), "_row long, terms array<struct<s:int,z:int>>, sanitised string")
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_texts: int = 3, min_share: float = 0.5, min_bits: float = 6.0) -> DataFrame:
-    """``keep`` columns, ``base`` (k, s, z: kind as listed, start, end) and ``terms`` (s, z) of every row."""
+    """``keep`` columns, ``base`` (k, s, z: kind as listed, start, end), ``terms`` (s, z) and ``sanitised`` of every row.
+
+    ``sanitised`` is the text with entities named by their kind and revealing terms generalised; null where there are none,
+    and the text stays as it is.
+    """
     rows = materialise(extract(docs, text, keep).withColumn("_row", F.monotonically_increasing_id()), "pii")
     told = disclosing(rows, word_texts(docs, text, rows), min_texts, min_share, min_bits)
-    terms = places(rows, told)
-    out = rows.where("base is not null").select("_row", *keep, "base").join(terms, "_row", "left")
-    return out.select(*keep, "base", F.coalesce("terms", F.array().cast("array<struct<s:int,z:int>>")).alias("terms"))
+    own = [f"k{i}" for i in range(len(keep))]
+    out = rows.where("base is not null").select("_row", *own, "base").join(places(rows, told), "_row", "left")
+    names = kept_names(keep, ("base", "terms", "sanitised"))
+    return out.select(*[F.col(k).alias(n) for k, n in zip(own, names, strict=True)], "base", F.coalesce("terms", F.array().cast("array<struct<s:int,z:int>>")).alias("terms"), "sanitised")
 
 
 def pii_digest(found: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Counts per base kind, the digest of the base spans and all spans as text."""
+    """Counts per base kind, the digest of the base spans, all spans as text, and a digest of the sanitised text."""
     names = F.array(*map(F.lit, KINDS))
     line = F.array_join(F.transform("base", lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["z"])), ",")
     terms = F.array_join(F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["s"], x["z"])), ",")
     both = F.concat_ws(",", F.nullif(line, F.lit("")), F.nullif(terms, F.lit("")))
     return found.select(
-        *keep, *(_count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(line.cast("binary"), 256).alias("base_sha256"), both.alias("spans")
+        *keep,
+        *(_count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)),
+        F.sha2(line.cast("binary"), 256).alias("base_sha256"),
+        both.alias("spans"),
+        F.sha2(F.col("sanitised").cast("binary"), 256).alias("sanitised_sha256"),
     )
 
 
