@@ -5,7 +5,7 @@ from matcher import explain
 
 from trovana.functions.fuzzy import boundary, osa
 from trovana.operators import catalog
-from trovana.operators.search import Catalog, SearchRequest, candidates, search, total
+from trovana.operators.search import Catalog, SearchRequest, candidates, preview_skip_reason, retry_stale, search, total
 from trovana.plans import glob
 from trovana.plans.query import apps_query, highlight, parse
 
@@ -47,7 +47,17 @@ def test_order_and_limits(files):
     assert search(df, SearchRequest("", limit=5)).count() == 5
     c = Catalog(df)
     assert c.total("!log") == 0
-    assert c.preview("log", "name").count() <= c.total("log")
+    for text in ("log", 'log path:"a"', "path:src log", "!cat log|app", "lo", "src/ma"):
+        seen, every = ({r["path"] for r in x.collect()} for x in (c.preview(text, "name"), c.search(text, limit=10**6)))
+        parts = [r for r in rows if r["path"] in every]
+        assert seen <= every and (text != 'log path:"a"' or seen == {r["path"] for r in parts if "log" in r["normalized_name"] or "log" in r["normalized_path"].rsplit("/", 1)[0]})
+    assert c.preview("").count() == len(rows)
+
+
+def test_preview_rules():
+    assert [preview_skip_reason(*a) for a in (("app:x", "name"), (" ", "name"), ("x", "size"), ("x", "name", True), ("x", "modified"))] == ["applicationSearch", "emptyQuery", "unsupportedSort", "alreadyDisplayed", None]
+    assert retry_stale(True, 1, 2, True, 0, 0, True) and not retry_stale(True, 1, 2, True, 3, 9, True) and retry_stale(True, 1, 2, True, 3, 9, False)
+    assert not retry_stale(True, 2, 2, True, 0, 0, False) and not retry_stale(False, 1, 2, True, 0, 0, False) and not retry_stale(True, None, 2, True, 0, 0, False) and not retry_stale(True, 1, 2, False, 0, 0, False)
 
 
 def test_hidden_ancestors(files, spark):

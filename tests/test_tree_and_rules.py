@@ -79,6 +79,9 @@ CASES = [
     (list(exclusion.DEFAULT_PATTERNS), "p/.git/objects/aa", False, "prune"),
     (list(exclusion.DEFAULT_PATTERNS), "p/build/x/y.tmp1", False, "prune"),
     (list(exclusion.DEFAULT_PATTERNS), "src/main.swift", False, "index"),
+    (list(exclusion.DEFAULT_PATTERNS), "Library/Caches/x/y", False, "prune"),
+    (list(exclusion.DEFAULT_PATTERNS), ".Trash/old", False, "prune"),
+    (list(exclusion.DEFAULT_PATTERNS), "me/.cache", True, "prune"),
 ]
 
 
@@ -89,8 +92,8 @@ def test_rules(spark, patterns, rel, is_directory, want):
     assert Walker(["/root"], patterns).decision(f"/root/{rel}", is_directory) == want
 
 
-def test_fifty_six_defaults_and_migration():
-    assert len(exclusion.compile_rules()) == len(exclusion.DEFAULT_PATTERNS)
+def test_fifty_nine_defaults_and_migration():
+    assert len(exclusion.compile_rules()) == len(exclusion.DEFAULT_PATTERNS) == 59
     assert exclusion.migrate_defaults(["x", "old/"], {"old/"}, ("x", "new/")) == ["x", "new/"]
 
 
@@ -115,7 +118,13 @@ def test_presentation(spark):
     assert [tuple(r) for r in got] == [("0%", "0.0%"), ("<1%", "0.1%"), ("5%", "5.0%"), ("33%", "33%"), ("<1%", "<0.1%"), ("0%", "0%")]
     roots = spark.createDataFrame([("/a/x/src",), ("/b/x/src",), ("/c/doc",)], "root string")
     assert {r["root"]: r["label"] for r in insights.suffix_labels(roots).collect()} == {"/a/x/src": "a/x/src", "/b/x/src": "b/x/src", "/c/doc": "c/doc"}
-    cells = insights.treemap([3, 0, 1], 0, 0, 8, 4)
-    assert [c[0] for c in cells] == [0, 2] and abs(cells[0][3] * cells[0][4] - 24) < 1e-9
+    assert insights.treemap([3, 0, 1], 0, 0, 8, 4) == [(0, 0, 0, 6, 4), (2, 6, 0, 2, 4)]
+    areas = [w * h for _, _, _, w, h in insights.treemap([60, 20, 20], 0, 0, 100, 50)]
+    assert areas == [3000, 1000, 1000]
+    thirds = insights.treemap([1, 1, 1], 0, 0, 300, 100)
+    assert [c[3] for c in thirds] == [100, 100, 100] and thirds[-1][1] == 200
+    tiny = insights.treemap([9017, 959, 22, 2], 0, 0, 100, 50)
+    assert len(tiny) == 4 and min(c[3] for c in tiny) >= 1 and tiny[-1][1] + tiny[-1][3] == 100
+    assert insights.treemap([1], 0, 0, 0, 5) == []
     merged = insights.interval_union(spark.createDataFrame([(1, 3), (3, 5), (7, 7), (6, 8), (2, 4)], "start long, end long"))
     assert sorted(tuple(r) for r in merged.collect()) == [(1, 5), (6, 8)]

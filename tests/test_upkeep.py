@@ -1,12 +1,13 @@
 import json
 import plistlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from trovana.operators import apps, catalog, changes, diagnostics
-from trovana.operators.search import SearchRequest, search
+from trovana.operators.search import Catalog, SearchRequest, prefix_range, search
 from trovana.sources import logs
-from trovana.sources.snapshot import Store
+from trovana.sources.snapshot import PublishRule, Store, checkpoint_rule
 from trovana.streaming.upkeep import ScopeQueue, Upkeep, cursors, read_changes
 
 
@@ -82,9 +83,48 @@ def test_snapshots(spark, tmp_path):
     store.checkpoint(rows(spark, BASE[:2]), ["/r"], [], ["/r/a"])
     assert store.resumable(["/r"], [], 0) and not store.resumable(["/q"], [], 0)
     assert store.resume()[0].count() == 2
-    (tmp_path / "s/current.json").write_text("{broken")
-    (tmp_path / "s/.current.json.crc").unlink(missing_ok=True)
-    assert store.manifest() is None
+    (tmp_path / "s/manifests/000000000003.json").write_text("{broken")
+    (tmp_path / "s/manifests/.000000000003.json.crc").unlink(missing_ok=True)
+    assert store.manifest().version == 2
+
+
+def test_two_writers_and_orders(spark, tmp_path):
+    store, other = (Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    tree = catalog.with_virtual(rows(spark, BASE))
+    store.write(tree, ["/r"], [], orders=("normalized_name",))
+    assert other._claim(2)
+    with pytest.raises(RuntimeError):
+        store.write(tree, [], [], expected=1)
+    found = prefix_range(store.ordered("normalized_name"), "X")
+    assert [r["path"] for r in found.collect()] == ["/r/a/x.txt"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(normalized_name,x)" in plan
+    paths = [r["path"] for r in store.tree().select("path").collect()]
+    assert paths == sorted(paths, key=lambda p: p[1:].split("/"))
+
+
+def test_row_deltas(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.write(catalog.with_virtual(rows(spark, BASE)), ["/r"], [])
+    gone = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    store.append_rows(rows(spark, [("/r/c/n", False, 4), ("/r/a/x.txt", False, 5)]), gone("/r/b"), 0)
+    store.append_delta(rows(spark, [("/r/a/x.txt", False, 6), ("/r/b/z", False, 9)]), 1)
+    want = [("/r", 0), ("/r/a", 0), ("/r/a/x.txt", 6), ("/r/a/y.txt", 2), ("/r/c/n", 4)]
+    assert state(store.rows()) == want and store.pending() == 5
+    store.append_rows(rows(spark, [("/r/b/z", False, 1), ("/r/a/x.txt", False, 7)]), gone("/r/c"), 2)
+    want = [("/r", 0), ("/r/a", 0), ("/r/a/x.txt", 7), ("/r/a/y.txt", 2), ("/r/b/z", 1)]
+    assert state(store.rows()) == want
+    assert sorted(r["path"] for r in store.tree().where("is_virtual").collect()) == ["/r/b"]
+    assert store.compact().version == 2 and state(store.rows()) == want and store.pending() == 0
+
+
+def test_scans_are_published_in_parts(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    parts = [rows(spark, BASE[:2]), rows(spark, BASE[2:4]), rows(spark, BASE[4:])]
+    found = store.publish(parts, ["/r"], [], PublishRule(4, 1000))
+    assert [m.version for m in found] == [1, 2] and state(store.rows()) == sorted((p, s) for p, _, s in BASE)
+    rule = checkpoint_rule(True)
+    assert not rule.due(24_999) and rule.due(1) and not checkpoint_rule(False).due(99_999)
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -96,13 +136,14 @@ def test_stream_equals_batch(spark, tmp_path):
     lines = [("/r/a/x.txt", 4096, 1), ("/r/a/y.txt", changes.REMOVED, 2), ("/r/b/new", 4096, 3), ("/r/b/z", changes.REMOVED, 4), ("/r/a/x.txt", 4096, 5)]
     for i, e in enumerate(lines):
         (feed / f"{i}.json").write_text(json.dumps(dict(zip(("path", "flags", "event_id"), e, strict=True))) + "\n")
-    upkeep = Upkeep(store, ["/r"], lambda paths: after, [])
+    asked = []
+    upkeep = Upkeep(store, ["/r"], lambda paths: asked.append(1) or after, [], large=3)
     upkeep.start(read_changes(spark, str(feed), files=2), str(tmp_path / "cp"), None).awaitTermination()
     whole = changes.apply_batch(rows(spark, BASE), events(spark, lines), after, ["/r"], [])
     assert state(store.rows()) == state(whole)
-    assert upkeep.last_batch == 2
+    assert upkeep.last_batch == 2 and len(asked) == 3
     upkeep(events(spark, lines), 2)
-    assert state(store.rows()) == state(whole)
+    assert state(store.rows()) == state(whole) and store.manifest().version > 1
 
 
 def test_queue():
@@ -125,6 +166,9 @@ def test_apps(spark):
     assert top("vsc") == [("Visual Studio Code.app", "exact", 9600, True)] and top("acm") == [("Visual Studio Code.app", "prefix", 7596, True)]
     assert apps.words("HTMLParser2Go foo_bar") == ["htmlparser2", "go", "foo", "bar"]
     assert apps.search_apps(found, "").count() == 2
+    whole = Catalog(df)
+    assert [r["name"] for r in whole.search(" App : xco").collect()] == ["Xcode.app"] and whole.total("apps:") == 2 and whole.total("apps:vsc") == 1
+    assert "is_alias" not in whole.search("xcode app:").columns
 
 
 def test_diagnostics(spark, tmp_path):
@@ -146,8 +190,15 @@ def test_diagnostics(spark, tmp_path):
     assert "/secret" not in text and "| search | error | 1 |" in text
     logs.write_events(got, str(tmp_path / "out"))
     assert logs.read_events(spark, str(tmp_path / "out")).count() == 4
-    context = good.limit(1).withColumn("persisted", F.col("fields"))
-    assert diagnostics.with_context(good, context).count() >= 1
+    fuller = F.map_concat("fields", F.create_map(F.lit("more"), F.col("fields")["n"]))
+    context = good.where("level = 'info'").withColumn("persisted", F.col("fields")).withColumn("fields", fuller)
+    told = diagnostics.with_context(good, context.unionByName(context.withColumn("timestamp", F.expr("timestamp + interval 1 second"))))
+    assert [(r["level"], sorted(r["context_fields"])) for r in told.collect()] == [("info", ["more", "n", "p"])]
+    out = diagnostics.export(good, context, "s").collect()
+    assert len(out) == 4 and [r["level"] for r in out if "more" in r["fields"]] == ["info"] and "Ann" not in str(out)
+    arrays = spark.createDataFrame([(["/a/B", "xyz"] * 60,)], "values array<string>").select(F.create_map(F.lit("f"), F.struct(F.lit("pathArray").alias("privacy"), F.lit(None).cast("string").alias("value"), "values")).alias("fields"))
+    field = diagnostics.anonymise(diagnostics.capped(arrays, 3, 5), "s").first()["fields"]["f"]
+    assert field["truncated"] and field["totalCount"] == 120 and len(field["values"]) == 5 and [c for c in field["values"][0] if c == "/"] == ["/", "/"] and len(field["values"][0]) == 3
     (tmp_path / "m.json").write_text('{"started": 3, "routeCounts": {"fullScan": 2}}')
     m = logs.read_metrics(spark, str(tmp_path / "m.json")).first()
     assert (m["started"], m["completed"], m["version"], m["routeCounts"], m["days"]) == (3, 0, 2, {"fullScan": 2}, [])

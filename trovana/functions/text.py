@@ -35,15 +35,16 @@ def _fold_wide(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def fold(text: Column) -> Column:
-    """Folded text, to be stored with the catalog; ASCII rows never leave the JVM's expressions."""
+    """Folded text, to be stored with the catalog; of rows in plain ASCII only a null goes into the Arrow call."""
     plain = F.octet_length(text) == F.length(text)
     return F.when(plain, F.lower(text)).otherwise(_fold_wide(F.when(~plain, text)))
 
 
 def stable_id(path: Column) -> Column:
     """FNV-1a 64 of the UTF-8 path as DECIMAL(20,0), 0 becoming 1: two limbs of 32 bits, so nothing overflows."""
-    raw = F.encode(path, "UTF-8")
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length(path)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long"))
+    # the bytes as characters of the same numbers; the last piece of the split is empty
+    single = F.when(F.octet_length(path) == F.length(path), path).otherwise(F.decode(F.encode(path, "UTF-8"), "ISO-8859-1"))
+    codes = F.transform(F.filter(F.split(single, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
     mask = 0xFFFFFFFF
     start = F.struct(F.lit(14695981039346656037 >> 32).cast("long").alias("hi"), F.lit(14695981039346656037 & mask).cast("long").alias("lo"))
 

@@ -16,8 +16,9 @@ from trovana.operators import catalog, search
 from trovana.plans import compiler
 from trovana.plans.query import parse
 
-#: Parts of a bundle identifier that say nothing, and the keys that name an application.
+#: Parts of a bundle identifier that say nothing.
 IGNORED = frozenset(("com", "org", "net", "io", "app", "apps"))
+#: The keys of a property list that name an application.
 NAME_KEYS = ("CFBundleDisplayName", "CFBundleName", "CFBundleExecutable")
 
 ALIASES = "array<struct<value:string,source:string>>"
@@ -131,12 +132,11 @@ def alias_match(text: str) -> Column:
     return F.when(best["exact"], _ranked("exact", best["score"], reason("exactly matched"), True)).when(best.isNotNull(), _ranked("prefix", best["score"], reason("starts with"), True))
 
 
-def search_apps(apps: DataFrame, text: str = "", sort: str = "relevance", ascending: bool = True, limit: int = search.LIMIT) -> DataFrame:
-    """Applications by name, by the query language, or by alias; the best of the three counts."""
+def app_matches(apps: DataFrame, text: str) -> DataFrame:
+    """Applications by name, by the query language, or by alias, unordered; the best of the three counts."""
     text = text.strip()
     if not text:
-        found = apps.withColumn("match", F.lit(None).cast(compiler.MATCH)).withColumn("score", F.lit(0)).withColumn("is_alias", F.lit(False))
-        return found.orderBy(*search.ordering(found, sort, ascending, True, direction_counts=True)).limit(limit)
+        return apps.withColumn("match", F.lit(None).cast(compiler.MATCH)).withColumn("score", F.lit(0)).withColumn("is_alias", F.lit(False))
     plain = search.explained(apps, parse(text)).select("path", F.col("match").alias("_m"))
     rows = apps.join(plain, "path", "left")
     by_query = F.when(F.col("_m").isNotNull(), F.struct(*[F.col(f"_m.{c}").alias(c) for c in ("rank", "bin", "score", "class", "field", "reason", "spans")], F.lit(False).alias("alias")))
@@ -145,5 +145,10 @@ def search_apps(apps: DataFrame, text: str = "", sort: str = "relevance", ascend
     ranked = [F.when(m.isNotNull(), F.struct(m["rank"].alias("rank"), m["bin"].alias("bin"), m["score"].alias("score"), F.lit(-i).alias("turn"), *[m[c].alias(c) for c in ("class", "field", "reason", "spans", "alias")]).cast(shape)) for i, m in enumerate(turns) if i == 1 or fold_text(text)]
     rows = rows.withColumn("_best", F.greatest(*ranked)).where("_best is not null")
     match = F.struct(*[F.col(f"_best.{c}").alias(c) for c in ("rank", "bin", "score", "class", "field", "reason", "spans")]).cast(compiler.MATCH)
-    found = rows.withColumn("match", match).withColumn("score", F.col("_best.score")).withColumn("is_alias", F.col("_best.alias")).drop("_best", "_m")
-    return found.orderBy(*search.ordering(found, sort, ascending, False, direction_counts=True)).limit(limit)
+    return rows.withColumn("match", match).withColumn("score", F.col("_best.score")).withColumn("is_alias", F.col("_best.alias")).drop("_best", "_m")
+
+
+def search_apps(apps: DataFrame, text: str = "", sort: str = "relevance", ascending: bool = True, limit: int = search.LIMIT) -> DataFrame:
+    """The first applications in order."""
+    found = app_matches(apps, text)
+    return found.orderBy(*search.ordering(found, sort, ascending, not text.strip(), direction_counts=True)).limit(limit)

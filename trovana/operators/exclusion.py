@@ -75,6 +75,9 @@ DEFAULT_PATTERNS = (
     ".pytest_cache/",
     ".mypy_cache/",
     ".ruff_cache/",
+    ".cache/",
+    "Library/Caches/",
+    ".Trash/",
 )
 
 

@@ -111,25 +111,25 @@ def layout_weight(estimated: Column, path_bytes: Column, files: Column, director
 
 
 def treemap(weights: list[float], x: float, y: float, width: float, height: float) -> list[tuple[int, float, float, float, float]]:
-    """Slice and dice: (index, x, y, width, height), halves of about equal weight along the longer side; zero weights are dropped."""
-    live = [(i, w) for i, w in enumerate(weights) if w > 0]
+    """(index, x, y, width, height): one slice after the other, in order, off the longer side of what is left.
 
-    def place(part: list[tuple[int, float]], x: float, y: float, w: float, h: float) -> list:
-        if not part:
-            return []
-        if len(part) == 1:
-            return [(part[0][0], x, y, max(w, 1), max(h, 1))]
-        total = sum(p[1] for p in part)
-        k, run = 1, part[0][1]
-        while k < len(part) - 1 and run + part[k][1] <= total / 2:
-            run += part[k][1]
-            k += 1
-        f = run / total
-        if w >= h:
-            return place(part[:k], x, y, w * f, h) + place(part[k:], x + w * f, y, w * (1 - f), h)
-        return place(part[:k], x, y, w, h * f) + place(part[k:], x, y + h * f, w, h * (1 - f))
-
-    return place(live, x, y, width, height) if width > 0 and height > 0 else []
+    A slice has its share of the remaining weight in whole units, one at least, and leaves one for each of those
+    behind it where there is room; the last one takes the rest. Zero weights are dropped.
+    """
+    live = [(i, w) for i, w in enumerate(weights) if w > 0]
+    out, rest = [], sum(w for _, w in live)
+    for behind, (i, w) in zip(range(len(live) - 1, -1, -1), live, strict=True):
+        side = max(width, height)
+        if min(width, height) <= 0:
+            break
+        most = side - behind if side > behind else side
+        cut = side if not behind else min(most, max(1, side * w // rest))
+        across = width >= height
+        out.append((i, x, y, cut, height) if across else (i, x, y, width, cut))
+        x, width = (x + cut, width - cut) if across else (x, width)
+        y, height = (y, height) if across else (y + cut, height - cut)
+        rest -= w
+    return out
 
 
 def suffix_labels(roots: DataFrame) -> DataFrame:

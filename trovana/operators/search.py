@@ -12,9 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trovana.functions.text import fold_text
 from trovana.operators import catalog
 from trovana.plans import compiler
-from trovana.plans.query import Query, parse
+from trovana.plans.query import Query, apps_query, literal, parse
 
 SORTS = ("relevance", "name", "path", "modified", "created", "size", "extension", "kind", "volume", "root")
 LIMIT = 2000
@@ -73,15 +74,18 @@ def explained(df: DataFrame, query: Query) -> DataFrame:
     return rows.withColumn("match", compiler.combined(query, F.col("_top"))).drop("_dir", "_top", *near, *clauses)
 
 
-def candidates(df: DataFrame, request: SearchRequest) -> DataFrame:
-    """All matching rows, unordered, with ``match`` and ``score``; ``count()`` of it is the total."""
+def candidates(df: DataFrame, request: SearchRequest, query: Query | None = None) -> DataFrame:
+    """All matching rows, unordered, with ``match`` and ``score``; ``count()`` of it is the total.
+
+    ``query`` stands for the request's text, if given.
+    """
     if "is_virtual" in df.columns:
         df = df.where("not is_virtual")
     if not request.include_hidden:
         if "is_visible" not in df.columns:
             df = catalog.with_visibility(df)
         df = df.where("is_visible")
-    query = parse(request.query)
+    query = parse(request.query) if query is None else query
     if query.empty:
         return df.withColumn("match", F.lit(None).cast(compiler.MATCH)).withColumn("score", F.lit(0))
     return explained(df, query).withColumn("score", F.col("match.score"))
@@ -89,9 +93,12 @@ def candidates(df: DataFrame, request: SearchRequest) -> DataFrame:
 
 def search(df: DataFrame, request: SearchRequest) -> DataFrame:
     """The first ``limit`` rows in order; 0 gives none, as for a request that only counts."""
-    found = candidates(df, request)
-    keys = ordering(found, request.sort, request.ascending, parse(request.query).empty)
-    return found.orderBy(*keys).limit(request.limit)
+    return found_rows(df, request, parse(request.query))
+
+
+def found_rows(df: DataFrame, request: SearchRequest, query: Query) -> DataFrame:
+    found = candidates(df, request, query)
+    return found.orderBy(*ordering(found, request.sort, request.ascending, query.empty)).limit(request.limit)
 
 
 def total(df: DataFrame, request: SearchRequest) -> int:
@@ -104,23 +111,57 @@ class Catalog:
     def __init__(self, rows: DataFrame, roots: DataFrame | None = None):
         self.rows = catalog.with_root(rows, roots) if roots is not None else rows
 
+    def applications(self, plists: DataFrame | None = None) -> DataFrame:
+        """The application bundles among the rows, with their aliases."""
+        from trovana.operators import apps
+
+        return apps.with_aliases(apps.bundles(self.rows), plists)
+
     def search(self, text: str = "", sort: str = "relevance", ascending: bool = True, include_hidden: bool = True, limit: int = LIMIT) -> DataFrame:
+        """A query that begins with ``app:`` searches the applications by what follows."""
+        wanted = apps_query(text)
+        if wanted is not None:
+            from trovana.operators import apps
+
+            return apps.search_apps(self.applications(), wanted, sort, ascending, limit)
         return search(self.rows, SearchRequest(text, sort, ascending, include_hidden, limit))
 
     def total(self, text: str = "", include_hidden: bool = True) -> int:
+        wanted = apps_query(text)
+        if wanted is not None:
+            from trovana.operators import apps
+
+            return apps.app_matches(self.applications(), wanted).count()
         return total(self.rows, SearchRequest(text, include_hidden=include_hidden))
 
-    def preview(self, text: str, sort: str = "relevance", limit: int = LIMIT) -> DataFrame:
-        """Only what built-in expressions decide: no near matches, so its count is a lower bound of the total."""
-        query = parse(text)
-        literal = tuple(tuple(t for t in terms if t.mode != "fuzzy" or t.field != "any") or terms for terms in query.positive)
-        plain = Query(literal, query.negative)
-        if any(t.mode == "fuzzy" and t.field in ("any", "name", "path") for terms in plain.positive for t in terms):
-            f = compiler.Fields
-            rows = self.rows
-            for terms in query.positive:
-                rows = rows.where(compiler.any_of([f.folded_name.contains(t.token) if t.field in ("any", "name", "path") else compiler.term_possible(t) for t in terms]))
-            found = explained(rows, query)
-        else:
-            found = explained(self.rows, query)
-        return found.withColumn("score", F.col("match.score")).orderBy(*ordering(found, sort, True, query.empty)).limit(limit)
+    def preview(self, text: str, sort: str = "relevance", ascending: bool = True, include_hidden: bool = True, limit: int = LIMIT) -> DataFrame:
+        """Only what built-in expressions decide: the query without near matches, so its rows are among the search's."""
+        return found_rows(self.rows, SearchRequest(text, sort, ascending, include_hidden, limit), literal(parse(text)))
+
+
+#: The columns by which a preview can be sorted, and why one is skipped.
+PREVIEW_SORTS = ("relevance", "name", "modified")
+
+
+def preview_skip_reason(text: str, sort: str, displayed: bool = False) -> str | None:
+    """Why no preview is run ahead of a search; None if one is."""
+    if apps_query(text) is not None:
+        return "applicationSearch"
+    if not text.strip():
+        return "emptyQuery"
+    if sort not in PREVIEW_SORTS:
+        return "unsupportedSort"
+    return "alreadyDisplayed" if displayed else None
+
+
+def retry_stale(used_candidates: bool, answered: int | None, current: int, scheduled: bool, n_rows: int, n_total: int, indexing: bool) -> bool:
+    """Is a search run again whose answer is of an older snapshot revision? Not while indexing, if it has rows to show."""
+    outdated = used_candidates and scheduled and answered is not None and answered < current
+    return outdated and not (indexing and n_rows > 0 and n_total > 0)
+
+
+def prefix_range(df: DataFrame, prefix: str) -> DataFrame:
+    """Rows whose folded name begins with a folded prefix, as a range that a copy sorted by name is pruned with."""
+    folded = fold_text(prefix)
+    name = F.col("normalized_name")
+    return df.where((name >= folded) & name.startswith(folded))

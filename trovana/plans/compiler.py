@@ -208,13 +208,13 @@ def near_columns(q: Query) -> dict[str, Column]:
     return out
 
 
-def fuzzy_path(token: str, delta: int, turn: int) -> Column:
+def fuzzy_path(token: str, delta: int, turn: int, near: bool = True) -> Column:
     """A token in the directory, weak whatever it is; short tokens also nearly in one of its components."""
     text = Fields.folded_directory()
     start, score = _contained(text, token, 4000)
     reason = _quoted("Path ancestor matched", token)
     plain = F.when(text.contains(token), match("weakPath", score + delta, "ancestorPath", reason, span("ancestorPath", Fields.directory, start, F.lit(len(token))), turn))
-    if len(token) > 3:
+    if len(token) > 3 or not near:
         return plain
     return F.coalesce(plain, _near_match(F.col(near_alias(token, True)), "weakPath", "ancestorPath", reason, delta, turn))
 
@@ -308,7 +308,9 @@ def term_matches(t: Term, turn: int) -> list[Column]:
         segments = lambda base: [structured(token, base, 90, 720, 80, 800, turn)]
         found = {"any": lambda: segments(4100), "name": list, "path": lambda: segments(4500)}
     else:
-        found = {"any": lambda: [fuzzy_name(token, turn), fuzzy_path(token, -400, later)], "name": lambda: [fuzzy_name(token, turn)], "path": lambda: [fuzzy_path(token, 0, turn)]}
+        near = t.mode == "fuzzy"
+        name = fuzzy_name if near else contiguous_name
+        found = {"any": lambda: [name(token, turn), fuzzy_path(token, -400, later, near)], "name": lambda: [name(token, turn)], "path": lambda: [fuzzy_path(token, 0, turn, near)]}
     return [m for m in found[t.field]() if m is not None]
 
 
@@ -326,8 +328,10 @@ def term_possible(t: Term) -> Column:
     if t.mode == "wildcard" or "/" in token or "\\" in token:
         found = term_matches(t, 0)
         return any_of([m.isNotNull() for m in found]) if found else F.lit(False)
-    name = f.folded_name.contains(token) | may_be_near(f.folded_name, token)
-    path = f.folded_directory().contains(token)
+    name, path = f.folded_name.contains(token), f.folded_directory().contains(token)
+    if t.mode == "literal":
+        return {"any": name | path, "name": name, "path": path}[t.field]
+    name = name | may_be_near(f.folded_name, token)
     if len(token) <= 3:
         path = path | may_be_near(f.folded_directory(), token)
     return {"any": name | path, "name": name, "path": path}[t.field]

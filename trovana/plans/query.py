@@ -19,13 +19,13 @@ FIELDS = {
     "ext": ("ext", "extension", "suffix"),
     "kind": ("kind", "type"),
 }
-APPS = ("app:", "apps:", "application:", "applications:")
+APPS = ("app", "apps", "application", "applications")
 _FIELD_OF = {alias: name for name, aliases in FIELDS.items() for alias in aliases}
 
 
 @dataclass(frozen=True)
 class Term:
-    """field: any, name, path, ext or kind; mode: fuzzy, exact or wildcard."""
+    """field: any, name, path, ext or kind; mode: fuzzy, exact or wildcard, or literal: fuzzy without near matches."""
 
     field: str
     token: str
@@ -109,12 +109,18 @@ def parse(text: str) -> Query:
 
 
 def apps_query(text: str) -> str | None:
-    """What follows the prefix of an application query, or None."""
-    low = text.lstrip().lower()
-    for p in APPS:
-        if low.startswith(p):
-            return text.lstrip()[len(p) :].strip()
-    return None
+    """What follows the prefix of an application query, which must come first; None for other queries."""
+    head, colon, rest = text.strip().partition(":")
+    return rest.strip() if colon and head.strip().lower() in APPS else None
+
+
+def literal(query: Query) -> Query:
+    """The query without near matches: what is fuzzy in names and paths must stand there in one piece.
+
+    Negative clauses stay as they are, so that what this finds is part of what the query finds.
+    """
+    plain = lambda terms: tuple(Term(t.field, t.token, "literal") if t.mode == "fuzzy" and t.field in ("any", "name", "path") else t for t in terms)
+    return Query(tuple(map(plain, query.positive)), query.negative)
 
 
 def highlight(text: str) -> str | None:

@@ -33,32 +33,39 @@ def coalesced(events: DataFrame) -> DataFrame:
 class Upkeep:
     """Applies batches to a store.
 
-    ``current`` gives what exists now at and under some paths, as catalog rows: a crawl, or a table.
-    Batches that only touch metadata become deltas; others, and large ones, a new version.
+    ``current`` gives what exists now at and under some paths, as catalog rows: a crawl, or a table. It is asked
+    once for a batch, and its answer written down, so that all that follows sees one state. Batches become deltas
+    of the current version; a new version is made only when these have grown large, and not before the next batch,
+    so that changes are seen at once.
     """
 
-    def __init__(self, store: Store, roots: list[str], current: Callable[[DataFrame], DataFrame], patterns=exclusion.DEFAULT_PATTERNS):
-        self.store, self.roots, self.current, self.patterns = store, roots, current, patterns
+    def __init__(self, store: Store, roots: list[str], current: Callable[[DataFrame], DataFrame], patterns=exclusion.DEFAULT_PATTERNS, large: int = changes.LARGE_DELTA):
+        self.store, self.roots, self.current, self.patterns, self.large = store, roots, current, patterns, large
         self.last_batch = -1
+        self.due = False
 
     def __call__(self, events: DataFrame, batch: int) -> None:
         spark = events.sparkSession
+        if self.due:
+            self.store.compact()
+            self.due = False
         kept = changes.indexable(events, self.roots, self.patterns).select("path").distinct()
         if not kept.limit(1).count():
             self.last_batch = batch
             return
-        now = exclusion.indexable(self.current(kept), self.roots, self.patterns).select(*catalog.COLUMNS)
-        base = self.store.rows()
-        manifest = self.store.manifest()
-        base = catalog.empty(spark) if base is None else base.select(*catalog.COLUMNS)
-        gone = kept.join(now.select("path"), "path", "left_anti")
-        same, other = changes.split_changes(base, now)
-        structural = other.limit(1).count() > 0 or catalog.under(base, gone).limit(1).count() > 0
-        if manifest is not None and not structural and same.count() <= changes.LARGE_DELTA:
-            self.store.append_delta(same, batch)
-        else:
-            rows = changes.upsert(changes.without_subtrees(base, gone), now)
-            self.store.write(catalog.with_virtual(rows), self.roots, list(self.patterns), expected=manifest.version if manifest else None)
+        with self.store.held(kept, f"paths-{batch}") as kept, self.store.held(exclusion.indexable(self.current(kept), self.roots, self.patterns).select(*catalog.COLUMNS), f"now-{batch}") as now:
+            manifest = self.store.manifest()
+            if manifest is None:
+                self.store.write(catalog.with_virtual(changes.upsert(catalog.empty(spark), now)), self.roots, list(self.patterns))
+            else:
+                base = self.store.rows().select(*catalog.COLUMNS)
+                gone = kept.join(now.select("path"), "path", "left_anti")
+                same, other = changes.split_changes(base, now)
+                if other.limit(1).count() or catalog.under(base, gone).limit(1).count():
+                    self.store.append_rows(now, gone, batch)
+                else:
+                    self.store.append_delta(same, batch)
+                self.due = self.store.pending() > self.large
         self.last_batch = batch
 
     def start(self, feed: DataFrame, checkpoint: str, seconds: float | None = BACKGROUND) -> StreamingQuery:
