@@ -229,8 +229,9 @@ def heavy_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, total:
     some = lookup.where(is_hot).select(col(key), found.alias("_hot"))
     rest = lookup.where(~is_hot).select(col(key).alias("_key"), F.lit(0).cast("long").alias("_salt"), found.alias("_cold"))
     done = F.col("_hot").isNotNull() | col(key).isNull()
+    held = [col(c) for c in rows.columns if "map<" not in rows.schema[c].dataType.simpleString()]  # maps have no hash
     ours = rows.join(F.broadcast(some), key, "left").withColumn("_key", F.when(~done, col(key)))
-    ours = ours.withColumn("_salt", F.when(done, F.xxhash64(*[col(c) for c in rows.columns])).otherwise(0))
+    ours = ours.withColumn("_salt", F.when(done, F.xxhash64(*held)).otherwise(0))
     out = ours.join(rest, ["_key", "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     if how == "inner":
         out = out.where("_found is not null")

@@ -78,7 +78,7 @@ def generalised(counts: DataFrame, levels: int, max_children: int, rare: float)
     whole = F.split("masked", "/")
     segs = F.when(F.size(whole) <= levels, whole).otherwise(F.concat(F.slice(whole, 1, levels - 1), F.array(F.array_join(F.slice(whole, F.lit(levels), F.size(whole)), "/"))))
     rows = materialise(counts.withColumn("t", segs), "url-paths")
-    deepest = rows.agg(F.coalesce(F.max(F.size("t")), F.lit(0))).first()[0]
+    total, deepest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("t")), F.lit(0))).first()
     for d in range(deepest):
         here = rows.where(F.size("t") > d).select(node(F.col("t"), F.lit(d)).alias("at"), F.get("t", F.lit(d)).alias("seg"), "n")
         # so many rows, and so many children, has a node
@@ -86,7 +86,7 @@ def generalised(counts: DataFrame, levels: int, max_children: int, rare: float)
         variable = children.groupBy("at").agg(F.count("*").alias("children"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
         variable = variable.where((F.col("children") > max_children) & (F.col("n") < rare * F.col("children"))).select("at", "rows", F.lit(True).alias("open"))
         keyed = rows.withColumn("at", F.when(F.size("t") > d, node(F.col("t"), F.lit(d))))
-        opened = heavy_join(keyed, materialise(variable, "url-variable"), "at", "rows", rows.count(), "left")
+        opened = heavy_join(keyed, materialise(variable, "url-variable"), "at", "rows", total, "left")
         t = F.when(F.col("open"), F.transform("t", lambda x, i: F.when(i == d, F.lit("*")).otherwise(x))).otherwise(F.col("t"))
         new = materialise(opened.withColumn("t", t).drop("at", "open"), "url-paths")
         discard(rows)
@@ -100,7 +100,7 @@ def branches(templates: DataFrame, z: float) -> DataFrame:
     ``up`` is the depth of the node that a template has come to, ``done`` the step at which it became a branch of its own.
     """
     rows = materialise(templates.withColumns({"up": F.size("t"), "done": F.lit(0)}), "url-templates")
-    deepest = rows.agg(F.coalesce(F.max("up"), F.lit(0))).first()[0]
+    total, deepest = rows.agg(F.count("*"), F.coalesce(F.max("up"), F.lit(0))).first()
     for d in range(deepest, 0, -1):
         # children of nodes at depth d - 1, and those nodes as templates themselves
         here = (F.col("done") == 0) & F.col("up").isin(d, d - 1)
@@ -109,10 +109,10 @@ def branches(templates: DataFrame, z: float) -> DataFrame:
         parent = child.groupBy("at").agg(F.sum("labelled").alias("all"), F.sum("bad").alias("all_bad"), F.count("*").alias("children"))
         rate = F.col("all_bad") / F.col("all")
         apart = F.abs(F.col("bad") - F.col("labelled") * rate) > z * F.sqrt(F.col("labelled") * rate * (1 - rate))
-        judged = heavy_join(child, parent.where("all > 0"), "at", "children", rows.count()).where((F.col("labelled") > 0) & apart)
+        judged = heavy_join(child, parent.where("all > 0"), "at", "children", total).where((F.col("labelled") > 0) & apart)
         judged = materialise(judged.select(node(F.col("c"), F.size("c")).alias("own"), "rows", F.lit(True).alias("apart")), "url-apart")
         mine = F.when(here, node(F.col("t"), F.least(F.size("t"), F.lit(d))))
-        new = heavy_join(rows.withColumn("own", mine), judged, "own", "rows", rows.count(), "left")
+        new = heavy_join(rows.withColumn("own", mine), judged, "own", "rows", total, "left")
         up = F.when(F.col("apart").isNull() & (F.col("done") == 0) & (F.col("up") == d), d - 1).otherwise(F.col("up"))
         new = materialise(new.withColumns({"up": up, "done": F.when(F.col("apart"), d).otherwise(F.col("done"))}).drop("own", "apart"), "url-templates")
         discard(rows)
