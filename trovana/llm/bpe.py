@@ -3,11 +3,12 @@
 The words new to a partition are laid out in one array of symbols. An index maps
 each mergeable pair to all its positions; active ranks are taken in ascending
 order, and each merge updates the lists of the pairs to its left and right. A
-word's ids are kept, so each distinct word is merged once per worker.
+word's ids are kept for a while, so that frequent words are merged once in a task.
 
 Defined results: null and empty texts give no tokens and empty strings; a text of
-any length is encoded whole; repeated rows are encoded alike; extra columns of the
-input are ignored unless named in ``keep``.
+any length is encoded whole; repeated rows are encoded alike; an empty table gives no
+rows; extra columns of the input are ignored unless named in ``keep``, and a kept column
+that has a result's name comes under ``kept_`` and its name.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ import pyarrow as pa
 import regex
 import tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words remembered by a worker, and merged together in one index.
-MEMORY, BLOCK = 300_000, 40_000
+from trovana.llm.common import col, kept_names, lean
+
+#: Words remembered by a task, and merged together in one index.
+MEMORY, BLOCK = 100_000, 20_000
 #: A lone surrogate, which no text holds.
 MARK = "\ud800"
 #: Up to this character all Unicode versions agree on letters and cases; a text with others is
@@ -180,8 +184,13 @@ def _model(spec: str) -> BpeModel:
     return _LOADED[key]
 
 
+def _forget() -> None:
+    for m in _LOADED.values():
+        m.known.clear()
+
+
 #: Characters handed to one pass over a block of texts.
-TEXT_BLOCK = 2_000_000
+TEXT_BLOCK = 1_000_000
 
 
 def bpe_codec(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
@@ -194,27 +203,33 @@ def bpe_codec(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tu
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
-    schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.StringType()) for n in names)])
+    results = kept_names(keep, ("n_tokens", *names))
+    # kept columns travel under numbers, so that none can clash
+    ours = docs.select(*[col(k).alias(f"k{i}") for i, k in enumerate(keep)], col(text).alias("t"))
+    own = [f"k{i}" for i in range(len(keep))]
+    schema = T.StructType([ours.schema[k] for k in own] + [T.StructField("n_tokens", T.LongType()), *(T.StructField(n, T.StringType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(spec.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            counts, first, second = [], [], []
+            column = batch.column(len(keep))
             k = 0
-            while k < len(texts):
-                n, chars = k, 0
-                while n < len(texts) and (n == k or chars + len(texts[n]) <= TEXT_BLOCK):
-                    chars += len(texts[n])
-                    n += 1
-                for ids, decoded in model.encode(texts[k:n]):
+            while k < batch.num_rows:
+                texts: list[str] = []
+                chars = 0
+                while k + len(texts) < batch.num_rows and chars < TEXT_BLOCK:
+                    texts.append(column[k + len(texts)].as_py() or "")
+                    chars += len(texts[-1])
+                counts, first, second = [], [], []
+                for ids, decoded in model.encode(texts):
                     counts.append(ids.count(" ") + 1 if ids else 0)
                     first.append(hashlib.sha256(ids.encode()).hexdigest() if digests else ids)
                     second.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
-                k = n
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(keep))), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
-                names=[*keep, "n_tokens", *names],
-            )
-
-    return docs.select(*keep, text).mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(k, len(texts)) for i in range(len(keep))), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
+                    names=[*own, "n_tokens", *names],
+                )
+                k += len(texts)
+
+    found = ours.mapInArrow(lean(run, _forget), schema)
+    return found.select(*[F.col(k).alias(n) for k, n in zip(own, results, strict=True)], "n_tokens", *names)
