@@ -15,7 +15,7 @@ from trovana.llm.decontaminate import decontaminate
 from trovana.llm.embedding_dedup import dedup_embeddings
 from trovana.llm.line_dedup import drop_recurring_lines
 from trovana.llm.ngram_join import near_duplicates
-from trovana.llm.toxicity import calibrate, features, fit_nnpu, margins, toxicity_scores
+from trovana.llm.toxicity import SLOTS, calibrate, choose_slots, features, fit_nnpu, margins, text_margins, toxicity_scores
 from trovana.llm.url_filter import Rule, filter_urls
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -109,6 +109,17 @@ def test_near_duplicates(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_row_without_an_id_links_others(spark):
+    base = [f"w{i}" for i in range(104)]
+    change = lambda ws, at: " ".join("zz" if i in at else w for i, w in enumerate(ws))
+    a, m, z = change(base, {2}), change(base, {2, 50}), change(base, {2, 50, 99, 70})
+    sets = [shingle_set(t) for t in (a, m, z)]
+    like = lambda x, y: len(x & y) / len(x | y)
+    assert like(sets[0], sets[1]) >= 0.8 <= like(sets[1], sets[2]) and like(sets[0], sets[2]) < 0.8
+    got = near_duplicates(spark.createDataFrame([(1, a), (None, m), (3, z), (3, "something else"), (4, "something else")], "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([(1, 100, 1), (None, 100, 1), (3, 100, 1), (3, 1, 3), (4, 1, 3)], key=str)
+
+
 # --- encoding
 
 
@@ -126,11 +137,12 @@ def test_encoding_is_the_librarys(spark):
 # --- decontamination
 
 
-def test_decontamination_both_ways(spark):
+def test_decontamination(spark, monkeypatch):
     rnd = random.Random(6)
     words = [w for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa é 12".split()]
     items = [(i, " ".join(rnd.choice(words) for _ in range(n))) for i, n in enumerate((1, 2, 3, 9, 10, 11, 30))] + [(7, None), (8, "..."), (9, None), (10, "")]
     items.append((11, items[6][1]))
+    items = [(f"it's \\{i}\" ${{x}}" if i in (2, 6) else str(i), t) for i, t in items] + [(None, items[6][1])]
     docs = [(0, None), (1, ""), (2, "ALPHA, beta!"), (3, items[6][1].upper()), (4, items[5][1] + " . " + items[4][1])]
     docs += [(i, "-".join(rnd.choice(words) for _ in range(rnd.randint(1, 60)))) for i in range(5, 40)] + [(41, "zz " * 30_000 + items[6][1]), (3, "other words")]
 
@@ -147,23 +159,27 @@ def test_decontamination_both_ways(spark):
 
     def want(text):
         w, hit, found = split(text), set(), set()
-        for i, t in items:
+        for i, t in items[:-1]:
             x = split(t)
             n = min(10, len(x))
             for k in range(len(x) - n + 1) if x else ():
                 for p in range(len(w) - n + 1):
                     if w[p : p + n] == x[k : k + n]:
                         hit |= set(range(p, p + n))
-                        found.add(str(i))
+                        found.add(i)
         return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, w int")
-    for bound in (100_000, 0):
-        got = sorted(tuple(r) for r in decontaminate(df, bench, max_inline=bound).collect())
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs += [(60, docs[3][1])] * 40
+    df = spark.createDataFrame([(*d, 0, i) for i, d in enumerate(docs)], "doc_id long, text string, w int, n_words int")
+    for longs in (1 << 16, 1):  # a filter that tells, and one that lets everything through
+        monkeypatch.setattr("trovana.llm.decontaminate.FILTER", longs)
+        got = sorted(tuple(r) for r in decontaminate(df, bench).collect())
         assert got == sorted((i, *want(t)) for i, t in docs)
-    for bound in (100_000, -1):
-        assert {r["n_hit"] for r in decontaminate(df, bench.limit(0), max_inline=bound).collect()} == {0}
+    kept = decontaminate(df, bench, keep=("doc_id", "n_words", "w"))
+    assert kept.columns[:4] == ["doc_id", "kept_n_words", "w", "n_words"]
+    assert sorted(r["kept_n_words"] for r in kept.collect()) == list(range(len(docs)))
+    assert {r["n_hit"] for r in decontaminate(df, bench.limit(0)).collect()} == {0}
     assert decontaminate(df.limit(0), bench).count() == 0
 
 
@@ -175,14 +191,77 @@ def test_lines(spark):
     rows += [(20 + i, f"user {n} logged in from home\nthe {n} story goes on for quite a while, in words of {n}") for i, n in enumerate(("ann", "bob", "cat", "dan", "eve", "fay"))]
     rows += [(40, None), (41, ""), (42, "\n\n"), (43, rows[1][1]), (44, rows[1][1]), (45, "served by node 1")]
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, form int")
-    got = {r["doc_id"]: r for r in drop_recurring_lines(df, min_docs=4, depth=1, min_values=5, max_share=0.5).collect()}
+    got = {r["doc_id"]: r for r in drop_recurring_lines(df, min_docs=4).collect()}
     assert len(got) == len(rows) and set(got[0].asDict()) == {"doc_id", "text", "form", "_n_lines", "_n_dropped"}
-    assert got[0]["text"] == rows[0][1] and got[3]["text"] == "\n".join(rows[3][1].split("\n")[::2])
-    assert got[20]["text"] == rows[8][1] and got[23]["text"] == rows[11][1].split("\n")[1]
+    # all three lines of each have fields: one with digits, two with two fields of words
+    assert got[0]["text"] == rows[0][1] and got[3]["text"] == "" and got[43]["text"] == got[44]["text"] == ""
+    assert got[20]["text"] == rows[8][1] and got[23]["text"] == ""
     assert got[40]["text"] is None and got[41]["text"] == "" and got[42]["text"] == "\n\n" and got[45]["text"] == rows[-1][1]
     assert drop_recurring_lines(df.limit(0)).count() == 0
 
 
+def brute_lines(rows, min_docs=2, depth=3, min_values=5, ratio=0.5):
+    """(id, text) rows -> texts without recurring lines, by dictionaries."""
+    star = lambda w: "<*>" if any(c.isdecimal() for c in w) else w
+    form = lambda line: tuple(star(w) for w in line.split())
+    docs = [(i, t, [form(x) for x in (t or "").split("\n")]) for i, t in rows]
+    forms = {f for _, _, fs in docs for f in fs if f}
+    texts = {f: set() for f in forms}
+    first = {f: math.inf for f in forms}
+    for i, t, fs in docs:
+        for f in fs:
+            if f:
+                texts[f].add(t)
+                first[f] = min(first[f], math.inf if i is None else i)
+    leaves = {}
+    for f in forms:
+        for way in range(depth if len(f) > depth else 0):
+            leaves.setdefault((len(f), way, f[:way], f[way + 1 : depth]), set()).add(f)
+    members = {}
+    for leaf, fs in leaves.items():
+        count = {}
+        places = {f: [(k, f[k]) for k in range(len(f)) if k >= depth or k == leaf[1]] for f in fs}
+        for ps in places.values():
+            for p in ps:
+                count[p] = count.get(p, 0) + 1
+        for f, ps in places.items():
+            m = sorted((count[p] for p in ps), reverse=True)[(len(ps) + 1) // 2 - 1]
+            shape = tuple(p if count[p] >= ratio * m else None for p in ps)
+            if len(fs) >= min_values and m >= min_values and None in shape:
+                members.setdefault((leaf, shape), set()).add(f)
+    least = {f: first[f] for f in forms if len(texts[f]) >= min_docs}
+    for fs in members.values():
+        if len(fs) >= min_values and len(set().union(*(texts[f] for f in fs))) >= min_docs:
+            for f in fs:
+                least[f] = min(least.get(f, math.inf), min(first[x] for x in fs))
+    keep = lambda i, f: f not in least or least[f] in (i, math.inf)
+    return sorted(((i, "\n".join(x for x, f in zip(t.split("\n"), fs, strict=True) if keep(i, f)) if t else t) for i, t, fs in docs), key=str)
+
+
+def test_lines_equal_brute_force(spark, testdata):
+    rnd = random.Random(8)
+    pick = lambda p: "".join(rnd.choice(p) for _ in range(rnd.randint(2, 9)))
+    makers = [
+        lambda: f"session opened for {pick('abc')} at gate {pick('rome')} by {pick('xyz')} desk",
+        lambda: f"user {pick('abcdef')} logged {pick('ghijkl')} {pick('mnop')} in from {pick('qrst')} this fine day as usual",
+        lambda: "the " + " ".join(pick("aeiou") for _ in range(rnd.randint(1, 12))),
+        lambda: f"the {rnd.choice(['cat', 'dog'])} sat on mat number {rnd.randint(1, 99)} with {rnd.choice(['ann', 'bob', 'cat', 'dan', 'eve', 'fay', 'gil'])}",
+        lambda: rnd.choice(["a line of several documents", "\t another\u00a0one ", "", " ", "x", "7", "Ж１ d"]),
+    ]
+    rows = [(i, "\n".join(rnd.choice(makers)() for _ in range(rnd.randint(1, 9)))) for i in range(150)]
+    rows += [(None, rows[3][1]), (None, "only nameless\nwith two"), (None, "only nameless\nand three"), rows[5], (5, rows[6][1]), (200, None), (201, ""), (202, "x" * 300_000 + "\n" + "y " * 50_000)]
+    df = spark.createDataFrame([(*r, 1, "e") for r in rows], "doc_id long, text string, th int, _n_lines string")
+    got = drop_recurring_lines(df)
+    assert got.columns == ["doc_id", "text", "th", "kept__n_lines", "_n_lines", "_n_dropped"]
+    out = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert out == brute_lines(rows)
+    holds = lambda x: sum(x in (t or "") for _, t in out)
+    assert holds("session opened") == 1 and holds("this fine day") == 1 and holds("only nameless") == 2
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{testdata}/sf0.001/documents.parquet").collect()]
+    got = sorted(((r["doc_id"], r["text"]) for r in drop_recurring_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
+    assert got == brute_lines(docs)
+
+
 def test_lines_that_are_most_of_a_document(spark):
     passage = "\n".join(f"{w} passage that every one of these documents carries, word by word" for w in ("this", "that", "such"))
     rows = [(i, f"{passage}\nown {chr(97 + i)}{chr(98 + i)}") for i in range(25)] + [(30, passage)]
@@ -223,6 +302,98 @@ def test_urls(spark):
     assert filter_urls(df.limit(0), rules).count() == 0
 
 
+def brute_verdicts(pages, max_children=20, rare=3.0, z=1.96, weight=5.0, purity=0.8):
+    """(host, segments of the masked path, label) of each page -> {(host, segments): (template, rejected)}."""
+    counts = {}
+    for host, segs, label in pages:
+        n, labelled, bad = counts.get((host, segs), (0, 0, 0))
+        counts[host, segs] = n + 1, labelled + (label is not None), bad + (label == "block")
+    t = {k: k[1] for k in counts}
+    for d in range(max(len(x) for x in t.values())):
+        kids = {}
+        for (host, segs), x in t.items():
+            if len(x) > d:
+                c = kids.setdefault((host, x[:d]), {})
+                c[x[d]] = c.get(x[d], 0) + counts[host, segs][0]
+        wild = {k for k, c in kids.items() if len(c) > max_children and sum(c.values()) < rare * len(c)}
+        t = {k: (*x[:d], "*", *x[d + 1 :]) if len(x) > d and (k[0], x[:d]) in wild else x for k, x in t.items()}
+
+    class Node:
+        def __init__(self):
+            self.kids, self.own = {}, None
+
+    roots, stats = {}, {}
+    for k, x in t.items():
+        at = roots.setdefault(k[0], Node())
+        for seg in x:
+            at = at.kids.setdefault(seg, Node())
+        at.own = (k[0], x)
+        a = stats.get((k[0], x), (0, 0))
+        stats[k[0], x] = a[0] + counts[k][1], a[1] + counts[k][2]
+    branch, ids = {}, iter(range(10**9))
+
+    def total(ts):
+        return sum(stats[x][0] for x in ts), sum(stats[x][1] for x in ts)
+
+    def settle(ts):
+        i = next(ids)
+        for x in ts:
+            branch[x] = i
+
+    def main(at):
+        """The templates below a node that are one with it; the others are settled."""
+        groups = [main(c) for c in at.kids.values()] + ([[at.own]] if at.own else [])
+        n, b = total([x for g in groups for x in g])
+        out = []
+        for g in groups:
+            gn, gb = total(g)
+            if n and gn and abs(gb - gn * (b / n)) > z * math.sqrt(gn * (b / n) * (1 - b / n)):
+                settle(g)
+            else:
+                out += g
+        return out
+
+    for root in roots.values():
+        settle(main(root))
+    alln, allb = total(stats)
+    out = {}
+    for k, x in t.items():
+        bn, bb = total([y for y in stats if branch[y] == branch[k[0], x]])
+        hn, hb = total([y for y in stats if y[0] == k[0]])
+        base = (hb + weight * (allb + 1) / (alln + 2)) / (hn + weight)
+        out[k] = "/".join(x), bn > 0 and (bb + weight * base) / (bn + weight) >= purity
+    return out
+
+
+def test_url_tree_equals_brute_force(spark):
+    rnd = random.Random(9)
+    rules = (Rule("block", "bad.com", "/u/"), Rule("allow", "bad.com", "/ok/"), Rule("block", "h.com", "/x/b"), Rule("allow", "h.com", "/x/a"), Rule("allow", "h.com", "/x/b"), Rule("block", "h.com", "/spam"))
+    word = lambda: "".join(rnd.choice("ghijklm") for _ in range(5))
+    urls = []
+    for host in ("bad.com", "h.com", "x.h.com", "other.org"):
+        names = [word() for _ in range(60)]
+        for _ in range(250):
+            urls.append(f"http://{host}/" + rnd.choice([
+                f"u/{rnd.choice(names)}/post/{word()}", f"ok/{rnd.randint(1, 9)}", f"x/{rnd.choice('abc')}{rnd.choice('de')}/{rnd.choice('fgh')}", "x", "x/a",
+                f"spam/{rnd.choice('pq')}", f"spam{rnd.randint(0, 2)}/{rnd.choice('pq')}/{rnd.choice('rs')}/t", "", f"{word()}/deep/" + "/".join(word() for _ in range(4)),
+            ]))
+    urls += [None, "nothing", "http://deep.org/" + "a/" * 3000 + "z"] + [urls[0]] * 50
+    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, host int")
+    got = {r["page_id"]: r for r in filter_urls(df, rules, keep=("page_id", "host"), levels=5).collect()}
+    assert len(got) == len(urls) and got[0]["kept_host"] == 1
+    label = {r["page_id"]: next((x.verdict for x in sorted(rules, key=lambda x: -len(x.name)) if x.name == r["rule"]), None) for r in got.values()}
+    segs = lambda p: tuple("*" if k and s.isdigit() else s for k, s in enumerate(p.split("/")))
+    key = {i: (r["host"], s if len(s := segs(r["path"])) <= 5 else (*s[:4], "/".join(s[4:]))) for i, r in got.items()}
+    want = brute_verdicts([(*key[i], label[i]) for i in got])
+    for i, r in got.items():
+        template, rejected = want[key[i]]
+        assert r["template"] == template, urls[i]
+        assert r["verdict"] == (label[i] or ("block" if rejected else "allow")), urls[i]
+    assert got[0]["template"] and any(r["template"] == "/u/*/post/*" for r in got.values())
+    assert {label[i] for i, u in enumerate(urls) if u and u.startswith("http://h.com/x/b")} == {"block"}
+    assert any(r["rule"] is None and r["verdict"] == "block" for r in got.values())
+
+
 # --- toxicity
 
 
@@ -250,10 +421,23 @@ def test_risk_estimator_beats_naive_labels():
     text = lambda toxic: " ".join([rnd.choice("abcdefghijklmnop") * 4 for _ in range(30)] + ["vile"] * toxic)
     p = [features(text(1)) for _ in range(60)]
     u = [features(text(rnd.random() < 0.3)) for _ in range(600)]
-    model = fit_nnpu(p, u, 0.3)
-    test = [features(text(i % 2)) for i in range(200)]
+    count = lambda docs: np.bincount(np.concatenate(docs), minlength=SLOTS)
+    slots = choose_slots(count(p), count(u), len(p), len(u))
+    places = lambda docs: [np.flatnonzero(np.isin(slots, d)) for d in docs]
+    model = fit_nnpu(places(p), places(u), 0.3, slots)
+    texts = [text(i % 2) for i in range(200)]
+    test = places([features(t) for t in texts])
     model = calibrate(model, margins(model, test), np.arange(200) % 2, 0.7)
     assert ((model.score(margins(model, test)) >= 0.7) == (np.arange(200) % 2)).mean() > 0.99
+    assert np.allclose(text_margins(model, model.dense(), [*texts, None]), [*margins(model, test), model.bias])
+
+
+def test_features_are_words_and_beginnings():
+    words = lambda *ws: set().union(*(set(features(w).tolist()) for w in ws))
+    assert set(features("Vile, vile\u2014words; naïve\u00a0x1y").tolist()) == words("vile", "words", "naïve", "x", "y")
+    long = "ab " * 400_000 + "c" * 1_200_000 + " de"
+    assert set(features(long).tolist()) == words("ab", "c" * 1_200_000, "de")
+    assert len(features(None)) == len(features("12 _ —")) == 0
 
 
 # --- pipeline
@@ -305,3 +489,23 @@ def test_pipeline_stage_by_stage(spark, small):
             break
         after.write.parquet(f"{small}/{name}.out")
         docs = spark.read.parquet(f"{small}/{name}.out")
+
+
+def test_stages_with_odd_tables(spark, small):
+    import corpus_pipeline as c
+
+    rows = [(i, f"a text of its own, number {chr(97 + i)}{chr(98 + i)}, with words that {chr(99 + i)} has\nand a line of all", "en", "s", 5) for i in range(12)]
+    rows += [(20, None, None, None, None), (21, "", "en", "s", 0), (22, "long " * 60_000 + "x" * 300_000, "en", "s", 1), (None, rows[0][1], "en", "s", 5), (3, "another text for an id that stands twice", "en", "s", 3), rows[4]]
+    clashing = ("score", "held_out", "n_words", "contaminated", "_at", "th", "key", "rest", "row", "ids", "n_tokens", "node", "_n_dropped", "a`b.c")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *(f"1 as `{x.replace('`', '``')}`" for x in clashing))
+    for name, stage in c.STAGES:
+        got = stage(spark, docs, small)
+        assert name == "bpe_encoding" or got.columns == docs.columns
+        ids = sorted((r["doc_id"] for r in got.collect()), key=str)
+        if name == "ngram_jaccard":  # one row of each id, and the row without one
+            assert ids == sorted([*range(12), 20, 21, 22, None], key=str)
+        else:
+            assert ids == sorted((r[0] for r in rows), key=str)
+        if name == "line_dedup":
+            assert {r["doc_id"]: r["text"].count("a line of all") for r in got.where("doc_id < 12 and doc_id <> 3").collect()} == {i: int(i == 0) for i in range(12) if i != 3}
+        assert stage(spark, docs.limit(0), small).count() == 0

@@ -1,19 +1,29 @@
 """Line deduplication over a log-template tree of fixed depth.
 
-A line goes down the tree by its token count and its leading tokens to a leaf. Fields
-that vary are generalised in two ways: tokens with digits are wildcards at once, and a
-place where ``min_values`` lines of a leaf differ, being equal elsewhere, becomes one.
-A template that occurs in ``min_docs`` different texts is recurring: its lines go from
-every document but the first (the smallest id) that has it. Two texts are enough by
-default, so that nothing that repeats stays and a line fares alike in any size of table.
-
-This holds however much of a document such lines are. Only a caller who names a
-``max_share`` keeps the documents whole that would lose more than this share of their
-characters. Exact copies count as one text.
+A line goes down the tree by its token count and its ``depth`` leading tokens, each of
+which may take the wildcard branch of its node instead, one on each way: so a line comes
+to ``depth`` leaves. Tokens with digits are wildcards at once. In a leaf, lines that
+differ in fields meet by their constant tokens. A token counts as often as different lines
+of the leaf have it at its place. The constant tokens of a template are about equally
+frequent, those of its fields are rarer: half or more of the places that the way to the
+leaf doesn't fix must reach the line's typical count, and a place with less than ``ratio``
+of it is a field. All fields of a line are found at once, however many they are. The
+typical count must be ``min_values``, and so many lines of the leaf must share the template.
+Two fields of words among the leading tokens keep lines apart: that is the fixed depth.
+
+A line or template that stands in ``min_docs`` different texts is recurring: its lines go
+from every document but the first (the smallest id) that has it, however much of a
+document such lines are. Two texts are enough by default, so that nothing that repeats
+stays and a line fares alike in any size of table. Exact copies count as one text.
+
+Texts are moved once, to where their lines are dropped; a filter of fixed size tells a
+task which of its lines can be in a leaf of several lines.
 
 Defined results: null and empty texts stay as they are; lines without tokens are never
 templates; repeated rows (same id, same text) are treated alike; a null id comes after
-all others; documents of an empty table give no rows; other columns pass through.
+all others, and a template that only rows without an id have stays; documents of an empty
+table give no rows; lines and texts of any length are read whole, in linear time; other
+columns pass through, those with a result's name under ``kept_`` and their name.
 """
 
 from __future__ import annotations
@@ -21,109 +31,147 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovana.llm.common import materialise
+from trovana.llm.common import bit_filter, discard, heavy_join, in_filter, kept_names, lean, materialise, packed
 
-VARIABLE = re.compile(r"\S*\d\S*")
+DIGIT = re.compile(r"\d")
 STAR = "<*>"
+#: Lines of wide leaves that a task remembers, so as to send each once.
+SEEN = 200_000
 
 
 def _long(data: str) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(data.encode()), "little", signed=True)
 
 
-def parse(line: str, depth: int) -> tuple[list[str], int, int] | None:
-    """Masked tokens, leaf and form of a line; None without tokens."""
-    tokens = VARIABLE.sub(STAR, line).split()
-    if not tokens:
-        return None
-    return tokens, _long(f"{len(tokens)}\n" + "\n".join(tokens[:depth])), _long("\n".join(tokens))
+def masked(tokens: list[str]) -> list[str]:
+    return [STAR if DIGIT.search(t) else t for t in tokens]
+
+
+def leaves_of(tokens: list[str], depth: int) -> list[int]:
+    """The leaf that a line comes to with the wildcard branch at each of its leading tokens."""
+    lead = masked(tokens[:depth])
+    return [_long(f"{len(tokens)} {k}\n" + "\n".join([*lead[:k], *lead[k + 1 :]])) for k in range(len(lead))]
 
 
 def lines(docs: DataFrame, depth: int) -> DataFrame:
-    """A row for each form in a document: id, text's hash, leaf, form, its line numbers and characters."""
+    """A row for each form (a line with its masks) in a document: id, text's hash, leaves, form and its line numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
             for doc_id, th, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 seen: dict[int, list] = {}
                 for n, line in enumerate(text.split("\n")):
-                    got = parse(line, depth)
-                    if got:
-                        row = seen.setdefault(got[2], [doc_id, th, got[1], got[2], [], 0])
-                        row[4].append(n)
-                        row[5] += len(line) + 1
+                    tokens = line.split()
+                    if tokens:
+                        if DIGIT.search(line):
+                            tokens = masked(tokens)
+                        form = _long("\n".join(tokens))
+                        if form in seen:
+                            seen[form][4].append(n)
+                        else:
+                            seen[form] = [doc_id, th, leaves_of(tokens, depth), form, [n]]
                 for row in seen.values():
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "th", "leaf", "form", "at", "chars"])
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "th", "leaves", "form", "at"])
 
-    return docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, leaf long, form long, at array<int>, chars long")
+    return docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(lean(run), "doc_id long, th long, leaves array<long>, form long, at array<int>")
 
 
-def variants(docs: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
-    """(form, variant): each form with one place behind the leading tokens left open.
-
-    ``wanted`` has one (doc_id, th, form, n) for each form, n being one of its lines.
-    """
-    by_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list("n").alias("ns"))
-    texts = docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("th"), "text").alias("t")
-    found = texts.join(by_doc.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.th") == F.col("w.th"))).select("w.ns", "t.text")
+def shapes(docs: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
+    """(form, leaf, places): the forms of some leaves, each place that the leaf leaves open as a hash of leaf, place and token."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(leaves, "leaf"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            forms, open_at = [], []
-            for ns, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts = text.split("\n")
-                for n in set(ns):
-                    tokens, _, form = parse(parts[n], depth)
-                    for k in range(depth, len(tokens)):
-                        forms.append(form)
-                        open_at.append(_long("\n".join([*tokens[:k], STAR, *tokens[k + 1 :]])))
-            yield pa.RecordBatch.from_arrays([pa.array(forms, pa.int64()), pa.array(open_at, pa.int64())], names=["form", "variant"])
-
-    return found.mapInArrow(run, "form long, variant long").distinct()
-
-
-def templates(docs: DataFrame, parsed: DataFrame, depth: int, min_docs: int, min_values: int) -> DataFrame:
-    """(form, first): the forms that belong to a recurring template, and the first document of it."""
+            rows: list[tuple[int, int, list[int]]] = []
+            split = [tokens for text in b.column(0).to_pylist() for line in text.split("\n") if len(tokens := line.split()) > depth]
+            leaf = np.array([leaves_of(t, depth) for t in split], np.int64).reshape(len(split), depth)
+            hit = in_filter(bits.value, leaf)
+            for k in np.flatnonzero(hit.any(axis=1)).tolist():
+                tokens = masked(split[k])
+                form = _long("\n".join(tokens))
+                if form not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(form)
+                    for way in np.flatnonzero(hit[k]).tolist():
+                        at = int(leaf[k, way])
+                        rows.append((form, at, [_long(f"{at} {i} {t}") for i, t in enumerate(tokens) if i == way or i >= depth]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["form", "leaf", "places"])
+
+    return docs.where("text <> ''").select("text").mapInArrow(lean(run), "form long, leaf long, places array<long>").dropDuplicates(["form", "leaf"])
+
+
+def fields(found: DataFrame, min_values: int, ratio: float) -> DataFrame:
+    """(form, template): the forms with fields, from the places of all forms of their leaves.
+
+    A place names its leaf, so the constant places alone tell a template. Tokens that are too rare to be constant
+    anywhere need no lookup.
+    """
+    size = F.size("places").alias("size")
+    total = found.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    places = found.select("form", "leaf", size, F.explode("places").alias("place"))
+    counts = places.groupBy("place").agg(F.count("*").alias("c")).where(F.col("c") >= ratio * min_values)
+    counts = materialise(counts, "line-places")
+    known = heavy_join(places, counts.withColumn("n", F.col("c")), "place", "n", total)
+    row = known.groupBy("form", "leaf", "size").agg(F.sort_array(F.collect_list(F.struct("c", "place")), asc=False).alias("ps"))
+    # the count that half of the places or more reach
+    row = row.withColumn("m", F.get("ps", ((F.col("size") + 1) / 2).cast("int") - 1)["c"]).where(F.col("m") >= min_values)
+    constant = F.transform(F.filter("ps", lambda p: p["c"] >= ratio * F.col("m")), lambda p: p["place"])
+    row = row.withColumn("constant", F.array_sort(constant)).where(F.size("constant") < F.col("size"))
+    return row.select("form", F.xxhash64("leaf", "constant").alias("template"))
+
+
+def templates(docs: DataFrame, parsed: DataFrame, depth: int, min_docs: int, min_values: int, ratio: float) -> DataFrame:
+    """(form, n, first): the forms that belong to a recurring line or template, their rows, and the first document of it."""
     # texts are counted, not rows, so that copies count once
-    per_text = parsed.groupBy("form", "leaf", "th").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", F.col("at")[0].alias("n"))).alias("one"))
-    forms = materialise(per_text.groupBy("form", "leaf").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.min(F.struct("one", "th")).alias("one")), "line-forms")
-    alone = forms.where(F.col("texts") >= min_docs).select("form", "first")
-    wide = forms.groupBy("leaf").agg(F.count("*").alias("forms")).where(F.col("forms") >= min_values).select("leaf")
-    wanted = forms.join(wide, "leaf", "left_semi").select(F.col("one.one.doc_id").alias("doc_id"), F.col("one.th").alias("th"), F.col("one.one.n").alias("n"))
-    open_forms = materialise(variants(docs, wanted, depth), "line-variants")
-    fields = open_forms.groupBy("variant").agg(F.count("*").alias("values")).where(F.col("values") >= min_values).select("variant")
-    member = open_forms.join(fields, "variant").join(forms.select("form", "texts", "first"), "form")
-    # a text with several values of a field counts once
-    upper = member.groupBy("variant").agg(F.sum("texts").alias("most"), F.min("first").alias("first")).where(F.col("most") >= min_docs)
-    exact = member.select("variant", "form").join(upper.select("variant", "first"), "variant").join(parsed.select("form", "th").distinct(), "form").groupBy("variant", "first").agg(F.countDistinct("th").alias("texts"))
-    joint = member.select("variant", "form").join(exact.where(F.col("texts") >= min_docs).select("variant", "first"), "variant").select("form", "first")
-    return alone.unionByName(joint).groupBy("form").agg(F.min("first").alias("first"))
-
-
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 3, min_values: int = 5, max_share: float | None = None) -> DataFrame:
+    per_text = parsed.groupBy("form", "th").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("leaves").alias("leaves"))
+    forms = materialise(per_text.groupBy("form").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first"), F.first("leaves").alias("leaves")), "line-forms")
+    alone = forms.where(F.col("texts") >= min_docs).select("form", "n", "first")
+    wide = forms.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("forms")).where(F.col("forms") >= min_values).select("leaf")
+    found = materialise(shapes(docs, wide, depth), "line-shapes")
+    member = materialise(fields(found, min_values, ratio).join(forms.select("form", "texts", "n", "first"), "form"), "line-members")
+    upper = member.groupBy("template").agg(F.count("*").alias("values"), F.sum("texts").alias("most"), F.min("first").alias("first")).where((F.col("values") >= min_values) & (F.col("most") >= min_docs))
+    # a text with several lines of a template counts once
+    wanted = materialise(heavy_join(member.select("form", "n", "template"), upper.select("template", "first", "values"), "template", "values", member.count()), "line-wanted")
+    texts = heavy_join(parsed.select("form", "th"), wanted.select("form", "template", "n"), "form", "n", parsed.count()).select("template", "th").distinct().groupBy("template").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs)
+    sizes = wanted.groupBy("template").agg(F.count("*").alias("values")).join(texts, "template").select("template", "values")
+    joint = heavy_join(wanted, sizes, "template", "values", wanted.count()).select("form", "n", "first")
+    out = materialise(alone.unionByName(joint).groupBy("form").agg(F.max("n").alias("n"), F.min("first").alias("first")).where("first is not null"), "line-recurring")
+    discard(forms, found, member, wanted)
+    return out
+
+
+RESULTS = ("_n_lines", "_n_dropped")
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 3, min_values: int = 5, ratio: float = 0.5) -> DataFrame:
     """``docs`` with ``text`` less the lines of recurring templates, and ``_n_lines``, ``_n_dropped``."""
-    parsed = materialise(lines(docs, depth), "line-parsed")
-    found = templates(docs, parsed, depth, min_docs, min_values)
-    later = parsed.join(found, "form").where("doc_id is null or doc_id <> first")
-    drops = later.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("at")).alias("_at"), F.sum("chars").alias("_lost")).alias("w")
-    t = docs.withColumn("_th", F.xxhash64("text")).alias("t")
-    joined = t.join(drops, F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t._th") == F.col("w.th")), "left")
-    rest = [F.col(f"t.`{c}`") for c in docs.columns]
-    at = F.col("w._at") if max_share is None else F.when(F.col("w._lost") <= max_share * (F.length("t.text") + 1), F.col("w._at"))
-    joined = joined.select(*rest, at.alias("_at"))
+    ours = docs.select("doc_id", "text")
+    parsed = materialise(lines(ours, depth), "line-parsed")
+    found = templates(ours, parsed, depth, min_docs, min_values, ratio)
+    later = heavy_join(parsed, found, "form", "n", parsed.count()).where("doc_id is null or doc_id <> first")
+    drops = later.groupBy(F.xxhash64("doc_id", "th").alias("key")).agg(F.flatten(F.collect_list("at")).alias("at"))
+    texts = docs.select("doc_id", "text", packed(docs, "doc_id", "text").alias("rest"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
+    t = texts.join(drops, "key", "left")
     parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("_at"), i)), "\n")
-    return joined.select(
-        *[F.when(F.col("_at").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "at")
+    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    text = F.when(F.col("at").isNull(), F.col("text")).otherwise(kept)
+    names = kept_names(tuple(docs.columns), RESULTS)
+    own = {"doc_id": F.col("doc_id"), "text": text}
+    return t.select(
+        *[own.get(c, F.col("rest").getField(c)).alias(n) for c, n in zip(docs.columns, names, strict=True)],
         F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(parts)).cast("long").alias("_n_lines"),
-        F.size(F.coalesce("_at", F.array().cast("array<int>"))).cast("long").alias("_n_dropped"),
+        F.size(F.coalesce("at", F.array().cast("array<int>"))).cast("long").alias("_n_dropped"),
     )
