@@ -100,7 +100,7 @@ def places(docs: DataFrame, hashes: DataFrame, widths: list[int], around: int, *
     and after, ``lead`` of them before; with some columns of ``docs``."""
     test = _filter(hashes)
     # in steps, so that what several expressions read is made once
-    parts = docs.select(*carried, "_words", word_hashes(F.col("_words")).alias("_w")).where("size(_words) > 0")
+    parts = docs.select(*carried, "_words", word_hashes(F.col("_words")).alias("_w"))
     parts = parts.select(*carried, "_words", *[_hashes(F.col("_w"), q).alias(f"_h{q}") for q in widths])
     found = []
     for q in widths:
