@@ -109,6 +109,21 @@ def test_near_duplicates(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_shuffles_of_a_written_table_go(spark):
+    from trovana.llm.common import bucketed, discard, materialise
+
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for k in range(files.size()) if (f := files.apply(k).getName()).startswith("shuffle_")}
+
+    before = held()
+    rows = spark.range(1000).selectExpr("id % 70 as node", "id").groupBy("node").count()
+    made = materialise(rows, "test-shuffles"), bucketed(rows, "node", 4, "test-shuffles")
+    assert not held() - before
+    assert all(m.count() == 70 for m in made)
+    discard(*made)
+
+
 def test_a_row_without_an_id_links_others(spark):
     base = [f"w{i}" for i in range(104)]
     change = lambda ws, at: " ".join("zz" if i in at else w for i, w in enumerate(ws))

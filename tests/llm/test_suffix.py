@@ -86,3 +86,11 @@ def test_maximal_repeats_are_the_branching_ones():
     before = np.where(at[order] > starts[owner[order]], data[np.maximum(at[order] - 1, 0)].astype(int), -1)
     found = {suffixes[a][:n]: z - a + 1 for a, z, n, _ in repeats(lcp, before, owner[order], 3)}
     assert found == {b"banana": 2, b"banan": 3, b"ana": 5} or found == {b"banana": 2, b"banan": 3, b"ana": 5, b"anan": 3}, found
+
+
+def test_texts_move_once(spark):
+    a = "".join(random.Random(5).choice("abcdefgh ") for _ in range(300))
+    df = spark.createDataFrame([(1, a), (2, "x" + a[40:200]), (3, a[100:] + "y")], "doc_id long, text string")
+    out = remove_repeats(df, digests=True)
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()

@@ -93,6 +93,21 @@ def _collect(spark: SparkSession) -> None:
         _COLLECTED[0] = time.monotonic()
 
 
+#: Spark's setting to delete a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write within go as it ends; collecting garbage misses them, as Spark's event queue holds the last plan."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialise(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder (or another ``folder`` there) and read it back.
 
@@ -101,19 +116,27 @@ def materialise(df: DataFrame, label: str, folder: str | None = None) -> DataFra
     """
     spark = df.sparkSession
     path = f"{folder or _folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _passing_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _collect(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = (path, None)
     return out
 
 
-def bucketed(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
-    """``materialise``, in buckets by ``key``: joins on it don't move these rows again."""
+def bucketed(df: DataFrame, key: str, buckets: int, label: str, unique: bool = False) -> DataFrame:
+    """``materialise``, in buckets by ``key``: joins on it don't move these rows again.
+
+    With ``unique`` one row of each key stays, chosen where the buckets are, so that rows move once.
+    """
     spark = df.sparkSession
     name = f"trovana_{label.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{_folder(spark)}/{name}"
-    df.repartition(buckets, key).write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    rows = df.repartition(buckets, key)
+    if unique:
+        rows = rows.dropDuplicates([key])
+    with _passing_shuffles(spark):
+        rows.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
     _collect(spark)
     out = spark.table(name)
     out._scratch = (path, name)

@@ -246,18 +246,18 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 
 def meet(found: DataFrame, length: int, gram: int) -> DataFrame:
     """kind 0: spans that go; kind 2: contexts to compare (``bucket``; ``s`` and ``e`` are their place)."""
-    names = ["kind", "bucket", "doc", "who", "s", "e"]
+    names = ["kind", "bucket", "who", "s", "e"]
 
-    def rows(kind: int, bucket: int, doc: np.ndarray, who: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    def rows(kind: int, bucket: int, who: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
         n = len(who)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int32)), pa.array(doc), pa.array(who), pa.array(s), pa.array(e)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int32)), pa.array(who), pa.array(s), pa.array(e)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for bucket, known, blobs in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True):
                 for blob in known:
                     who, begin, end = _unpack_spans(blob)
-                    yield rows(0, bucket, np.zeros(len(who), np.int64), who, begin, end)
+                    yield rows(0, bucket, who, begin, end)
                 if not blobs:
                     continue
                 h, c, doc, who, place, left, right = (np.concatenate(p) for p in zip(*map(_unpack, blobs), strict=True))
@@ -273,10 +273,10 @@ def meet(found: DataFrame, length: int, gram: int) -> DataFrame:
                 rest = rest[mixed[np.cumsum(new) - 1]]
                 for kind, r in ((0, gone), (2, rest)):
                     if len(r):
-                        yield rows(kind, bucket, doc[r], who[r], place[r] - left[r], place[r] + gram + right[r])
+                        yield rows(kind, bucket, who[r], place[r] - left[r], place[r] + gram + right[r])
 
     packed = found.groupBy("bucket").agg(F.collect_list("spans").alias("spans"), F.collect_list("anchors").alias("anchors"))
-    return packed.mapInArrow(lean(run), "kind int, bucket int, doc long, who long, s long, e long")
+    return packed.mapInArrow(lean(run), "kind int, bucket int, who long, s long, e long")
 
 
 def suffix_array(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -396,12 +396,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, digests: b
     ours = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("who"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     met = materialise(meet(find_anchors(ours, length, gram, max(4 * width, -(-size // BUCKET))), length, gram), "suffix-met")
-    # both joins read these columns, so they share the exchange
+    # both joins read all of these columns (the first one makes ``doc`` of ``doc_id``), so they share one exchange
     ours = ours.select("doc_id", "who", "b").repartition(width, "who")
     # bytes of the contexts to compare; one row per document and context
-    wanted = met.where("kind = 2").groupBy(F.col("who").alias("_w")).agg(F.collect_set(F.struct("bucket", "doc", "s", "e")).alias("c"))
-    cut = ours.join(wanted, F.col("who") == F.col("_w")).select("who", "b", F.explode("c").alias("c"))
-    cut = cut.select("c.bucket", "c.doc", "who", "c.s", F.expr("substring(b, cast(c.s + 1 as int), cast(c.e - c.s as int))").alias("b"))
+    wanted = met.where("kind = 2").groupBy(F.col("who").alias("_w")).agg(F.collect_set(F.struct("bucket", "s", "e")).alias("c"))
+    cut = ours.join(wanted, F.col("who") == F.col("_w")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "who", "b", F.explode("c").alias("c"))
+    cut = cut.select("c.bucket", "doc", "who", "c.s", F.expr("substring(b, cast(c.s + 1 as int), cast(c.e - c.s as int))").alias("b"))
     spans = compare(cut.groupBy("bucket").agg(F.collect_list(F.struct("doc", "who", "s", "b")).alias("rows")).select("rows"), length)
     spans = spans.unionByName(met.where("kind = 0").select("who", "s", "e"))
     by_doc = spans.groupBy(F.col("who").alias("_w")).agg(F.collect_list("s").alias("ss"), F.collect_list("e").alias("es"))
