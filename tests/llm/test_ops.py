@@ -277,6 +277,13 @@ def test_lines_equal_brute_force(spark, testdata):
     assert got == brute_lines(docs)
 
 
+def test_texts_move_without_the_lines(spark):
+    out = drop_recurring_lines(spark.createDataFrame([(1, "a b c d\nx"), (2, "a b c d\ny"), (3, None)], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"], r["_n_dropped"]) for r in out.collect()) == [(1, "a b c d\nx", 0), (2, "y", 1), (3, None, 0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "leaves" not in plan and "SortMergeJoin" not in plan
+
+
 def test_lines_that_are_most_of_a_document(spark):
     passage = "\n".join(f"{w} passage that every one of these documents carries, word by word" for w in ("this", "that", "such"))
     rows = [(i, f"{passage}\nown {chr(97 + i)}{chr(98 + i)}") for i in range(25)] + [(30, passage)]

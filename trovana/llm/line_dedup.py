@@ -46,16 +46,19 @@ SEEN = 200_000
 
 
 def _long(data: str) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(data.encode()), "little", signed=True)
+    x = xxhash.xxh3_64_intdigest(data.encode())
+    return x - (1 << 64) if x >> 63 else x
 
 
-def masked(tokens: list[str]) -> list[str]:
-    return [STAR if DIGIT.search(t) else t for t in tokens]
+def masked(line: str) -> list[str]:
+    """The tokens of a line, those with digits as wildcards."""
+    tokens = line.split()
+    return [STAR if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
 
 
 def leaves_of(tokens: list[str], depth: int) -> list[int]:
-    """The leaf that a line comes to with the wildcard branch at each of its leading tokens."""
-    lead = masked(tokens[:depth])
+    """The leaf that a masked line comes to with the wildcard branch at each of its leading tokens."""
+    lead = tokens[:depth]
     return [_long(f"{len(tokens)} {k}\n" + "\n".join([*lead[:k], *lead[k + 1 :]])) for k in range(len(lead))]
 
 
@@ -68,10 +71,7 @@ def lines(docs: DataFrame, depth: int) -> DataFrame:
             for doc_id, th, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 seen: dict[int, list] = {}
                 for n, line in enumerate(text.split("\n")):
-                    tokens = line.split()
-                    if tokens:
-                        if DIGIT.search(line):
-                            tokens = masked(tokens)
+                    if tokens := masked(line):
                         form = _long("\n".join(tokens))
                         if form in seen:
                             seen[form][4].append(n)
@@ -94,11 +94,11 @@ def shapes(docs: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             rows: list[tuple[int, int, list[int]]] = []
-            split = [tokens for text in b.column(0).to_pylist() for line in text.split("\n") if len(tokens := line.split()) > depth]
+            split = [tokens for text in b.column(0).to_pylist() for line in text.split("\n") if len(tokens := masked(line)) > depth]
             leaf = np.array([leaves_of(t, depth) for t in split], np.int64).reshape(len(split), depth)
             hit = in_filter(bits.value, leaf)
             for k in np.flatnonzero(hit.any(axis=1)).tolist():
-                tokens = masked(split[k])
+                tokens = split[k]
                 form = _long("\n".join(tokens))
                 if form not in seen:
                     if len(seen) >= SEEN:
@@ -160,13 +160,17 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 3, min
     ours = docs.select("doc_id", "text")
     parsed = materialise(lines(ours, depth), "line-parsed")
     found = templates(ours, parsed, depth, min_docs, min_values, ratio)
-    later = heavy_join(parsed, found, "form", "n", parsed.count()).where("doc_id is null or doc_id <> first")
-    drops = later.groupBy(F.xxhash64("doc_id", "th").alias("key")).agg(F.flatten(F.collect_list("at")).alias("at"))
+    later = heavy_join(parsed.select("doc_id", "th", "form", "at"), found, "form", "n", parsed.count()).where("doc_id is null or doc_id <> first")
+    # written before the texts move, so that the lines' shuffles don't lie beside the texts'
+    drops = materialise(later.groupBy(F.xxhash64("doc_id", "th").alias("key")).agg(F.flatten(F.collect_list("at")).alias("at")), "line-drops")
+    discard(parsed, found)
     texts = docs.select("doc_id", "text", packed(docs, "doc_id", "text").alias("rest"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
-    t = texts.join(drops, "key", "left")
+    # the drops of a task are few: hashed, so that texts needn't be sorted
+    t = texts.join(drops.hint("shuffle_hash"), "key", "left")
     parts = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "at")
-    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    # the parts are bound once: within the inner function, the text would be split again for each line
+    stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "at")
+    kept = F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n"))[0]
     text = F.when(F.col("at").isNull(), F.col("text")).otherwise(kept)
     names = kept_names(tuple(docs.columns), RESULTS)
     own = {"doc_id": F.col("doc_id"), "text": text}
