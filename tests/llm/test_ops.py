@@ -109,6 +109,29 @@ def test_near_duplicates(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_of_a_list_share_blocks(spark):
+    """A list goes to a block for each 64 of its rows; the pairs to compare are those of brute force."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from trovana.llm.ngram_join import _near, cross_blocks
+
+    rows = [(1, k, 9, 0, k // 2, k >= 2, 600) for k in range(600)]
+    rows += [(10 + k // 2, 1000 + k, 9, 0, k, bool(k % 2), 2) for k in range(6000)]
+    rows += [(2, k, 9, 0, k // 2, k >= 2, 40) for k in range(40)]
+    mixed = spark.createDataFrame(rows, "token long, node long, n int, pos int, comp long, out boolean, size long").cache()
+    found, members = cross_blocks(mixed, 80, 100)
+    pairs = sorted((min(x, r["y"]), max(x, r["y"])) for r in found.collect() for x in r["xs"])
+    x, y = mixed.alias("x"), mixed.alias("y")
+    both = x.join(y, F.col("x.token") == F.col("y.token")).where("x.node < y.node and x.comp <> y.comp and (x.out or y.out)").where(_near("x", "y", 80, 100))
+    assert pairs == sorted((r[0], r[1]) for r in both.select("x.node", "y.node").distinct().collect())
+    blocks = {r["x"]: r["block"] for r in members.collect()}
+    assert len(blocks) == 598 + 3000
+    assert len({blocks[k] for k in range(2, 600)}) <= 12
+    assert max(Counter(blocks.values()).values()) <= 200
+
+
 def test_shuffles_of_a_written_table_go(spark):
     from trovana.llm.common import bucketed, discard, materialise
 
@@ -124,6 +147,14 @@ def test_shuffles_of_a_written_table_go(spark):
     discard(*made)
 
 
+def test_one_row_of_a_key_in_buckets(spark):
+    from trovana.llm.common import bucketed, discard
+
+    out = bucketed(spark.range(1000).selectExpr("id % 70 as node", "'x' as tokens"), "node", 4, "test-unique", unique=True)
+    assert sorted(r["node"] for r in out.collect()) == list(range(70))
+    discard(out)
+
+
 def test_a_row_without_an_id_links_others(spark):
     base = [f"w{i}" for i in range(104)]
     change = lambda ws, at: " ".join("zz" if i in at else w for i, w in enumerate(ws))

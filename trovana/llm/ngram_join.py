@@ -249,7 +249,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, described: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, tokens) of the wanted nodes, made again from one text of each; some others may be among them.
+    """(node, tokens) of the wanted nodes, made again from one text of each; some others and repeats may be among them.
 
     A filter of fixed size spares most texts the work; where it is full, all are made, which is right too.
     """
@@ -273,7 +273,7 @@ def sets_of(docs: DataFrame, described: DataFrame, nodes: DataFrame, width: int)
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(blob, pa.binary())], names=["node", "tokens"])
 
     texts = docs.where("text is not null").select(F.xxhash64("text"), F.col("text").cast("binary"))
-    return texts.mapInArrow(lean(run, forget), "node long, tokens binary").dropDuplicates(["node"])
+    return texts.mapInArrow(lean(run, forget), "node long, tokens binary")
 
 
 #: Sets that one task holds while others stream past, and how many of those it gets.
@@ -353,17 +353,29 @@ def pivot_pairs(rows: DataFrame, pivots: DataFrame, num: int, den: int) -> DataF
     return one.select(F.col("y.node").alias("x"), F.col("x.node").alias("y")).distinct()
 
 
+def dealt_blocks(rows: DataFrame) -> DataFrame:
+    """(node, block): nodes of lists in blocks of about ``HELD``, each with the others of its longest list."""
+    home = rows.groupBy("node").agg(F.max_by("token", F.struct("size", "token")).alias("home"))
+    nodes = rows.select("node").distinct().count()
+    sizes = home.groupBy("home").agg(F.count("*").alias("rows"), F.count("*").alias("c"))
+    # lists of few rows share blocks; should a block get two numbers' rows by chance, it is only larger
+    many = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / HELD)))
+    few = F.pmod(F.xxhash64("home"), F.lit(max(1, -(-nodes // HELD))))
+    return heavy_join(home, sizes, "home", "rows", nodes).select("node", F.when(F.col("c") >= HELD, many).otherwise(few).alias("block"))
+
+
 def cross_blocks(mixed: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(block, y, xs) and (block, x): in each list, the rows outside its largest component, in blocks, with those of other components.
 
     Lists travel as arrays to the blocks that they are compared with, and what several lists give is
-    made once; no row is made for a pair. The lists that a block meets are dealt by their tokens.
+    made once; no row is made for a pair. Rows whose longest list is the same are of the same blocks, so
+    that a list goes to a block for each ``HELD`` of its rows, not to one for each row. The lists that a block
+    meets are dealt by their tokens.
     """
-    many = mixed.where("out").select("node").distinct().count()
-    block = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-many // HELD)))).cast("int")
+    placed = materialise(dealt_blocks(mixed.where("out")), "ngram-blocks")
     mixed = mixed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("size") / PART)))
     lists = mixed.groupBy("token", "part").agg(F.collect_list(F.struct("node", "n", "pos", "comp", "out")).alias("members"))
-    seekers = mixed.where("out").groupBy("token", block.alias("block")).agg(F.collect_list(F.struct("node", "n", "pos", "comp")).alias("seekers"))
+    seekers = mixed.where("out").join(placed, "node").groupBy("token", "block").agg(F.collect_list(F.struct("node", "n", "pos", "comp")).alias("seekers"))
     slab = F.pmod(F.xxhash64("token"), F.lit(LISTS)).alias("slab")
     met = seekers.join(lists, "token").groupBy("block", "part", slab).agg(F.collect_list(F.struct("seekers", "members")).alias("lists"))
     fields = ("node", "n", "pos", "comp")
@@ -384,11 +396,11 @@ def cross_blocks(mixed: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
                         for node in y[ok].tolist():
                             found.setdefault(node, set()).add(int(x[k]))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int32()), pa.array(list(found), pa.int64()), pa.array([sorted(v) for v in found.values()], pa.list_(pa.int64()))], names=["block", "y", "xs"])
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array(list(found), pa.int64()), pa.array([sorted(v) for v in found.values()], pa.list_(pa.int64()))], names=["block", "y", "xs"])
 
-    rows = met.select("block", "lists").mapInArrow(lean(run), "block int, y long, xs array<long>")
+    rows = met.select("block", "lists").mapInArrow(lean(run), "block long, y long, xs array<long>")
     rows = rows.groupBy("block", "y").agg(F.array_distinct(F.flatten(F.collect_list("xs"))).alias("xs"))
-    return rows, mixed.where("out").select(block.alias("block"), F.col("node").alias("x")).distinct()
+    return rows, placed.select("block", F.col("node").alias("x"))
 
 
 def unseen(pairs: DataFrame, seen: DataFrame) -> DataFrame:
@@ -403,7 +415,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     described = materialise(describe(docs, width), "ngram-described")
     classes = spark.sparkContext.broadcast(frequency_classes(described))
     lists = materialise(shared_lists(postings(docs, classes, width, num, den), shuffle_width(spark), num, den), "ngram-lists")
-    sets = bucketed(sets_of(docs, described, lists.select("node").distinct(), width), "node", shuffle_width(spark), "ngram-sets")
+    sets = bucketed(sets_of(docs, described, lists.select("node").distinct(), width), "node", shuffle_width(spark), "ngram-sets", unique=True)
 
     # first round: each list against one pivot, mostly the same in all lists of a group
     seen = materialise(pivot_pairs(lists, lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node")).alias("p")), num, den), "ngram-pairs")
