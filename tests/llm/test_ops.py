@@ -183,6 +183,21 @@ def test_encoding_is_the_librarys(spark):
 # --- decontamination
 
 
+def test_words_that_come_again_are_merged_once(monkeypatch):
+    from trovana.llm import bpe
+
+    monkeypatch.setattr(bpe, "MEMORY", 30)
+    model = BpeModel(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    merged, plain = [], model.merge
+    monkeypatch.setattr(model, "merge", lambda words: merged.extend(words) or plain(words))
+    for k in range(20):
+        text = "the same words " + " ".join(f"w{k}x{i}" for i in range(10))
+        assert list(model.encode([text]))[0][0] == " ".join(map(str, model.library.encode(text, add_special_tokens=False).ids))
+        assert len(model.known) + len(model.older) < 200
+    words = model.words("the same words")
+    assert len(words) == 3 and all(merged.count(w) == 1 for w in words)
+
+
 def test_decontamination(spark, monkeypatch):
     rnd = random.Random(6)
     words = [w for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa é 12".split()]

@@ -3,7 +3,9 @@
 The words new to a partition are laid out in one array of symbols. An index maps
 each mergeable pair to all its positions; active ranks are taken in ascending
 order, and each merge updates the lists of the pairs to its left and right. A
-word's ids are kept for a while, so that frequent words are merged once in a task.
+word's ids are kept for a while, so that frequent words are merged once in a task: when
+the words kept become too many, they turn into the older ones, and those of them that
+come again are taken over.
 
 Defined results: null and empty texts give no tokens and empty strings; a text of
 any length is encoded whole; repeated rows are encoded alike; an empty table gives no
@@ -28,8 +30,8 @@ from pyspark.sql import types as T
 
 from trovana.llm.common import col, kept_names, lean
 
-#: Words remembered by a task, and merged together in one index.
-MEMORY, BLOCK = 100_000, 20_000
+#: Words remembered by a task, in each of two generations, and words merged together in one index.
+MEMORY, BLOCK = 150_000, 20_000
 #: A lone surrogate, which no text holds.
 MARK = "\ud800"
 #: Up to this character all Unicode versions agree on letters and cases; a text with others is
@@ -58,6 +60,7 @@ class BpeModel:
             self.rank[self.vocab[a], self.vocab[b]] = (r, self.vocab[a + b])
         self.by_rank = [(*pair, new) for pair, (_, new) in self.rank.items()]
         self.known: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
         self.library = tokenizers.Tokenizer.from_str(spec)
 
     def words(self, text: str) -> list[str]:
@@ -135,7 +138,9 @@ class BpeModel:
 
     def learn(self, words: Iterable[str]) -> None:
         """Keep ids and tokens of words not known yet."""
-        new = [w for w in words if w not in self.known]
+        unknown = [w for w in words if w not in self.known]
+        self.known.update((w, self.older[w]) for w in unknown if w in self.older)
+        new = [w for w in unknown if w not in self.known]
         plain = [w for w in new if w[0] != MARK]
         for w in new:
             if w[0] == MARK:
@@ -148,9 +153,9 @@ class BpeModel:
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(ids as decimals, decoded text) of each text, both joined by one space."""
         split, fresh = [], set()
+        if len(self.known) > MEMORY:
+            self.older, self.known = self.known, {}
         known = self.known
-        if len(known) > MEMORY:
-            known.clear()
         for t in texts:
             split.append(w := self.words(t))
             fresh.update(w)
@@ -187,6 +192,7 @@ def _model(spec: str) -> BpeModel:
 def _forget() -> None:
     for m in _LOADED.values():
         m.known.clear()
+        m.older.clear()
 
 
 #: Characters handed to one pass over a block of texts.
