@@ -132,6 +132,20 @@ def test_rows_of_a_list_share_blocks(spark):
     assert max(Counter(blocks.values()).values()) <= 200
 
 
+def test_what_a_pivot_has_settled_is_not_compared_again(spark, monkeypatch):
+    """Two texts that share prefix tokens but don't link leave a list of two after the first round."""
+    from trovana.llm import ngram_join
+
+    rest = []
+    real = ngram_join.cross_blocks
+    monkeypatch.setattr(ngram_join, "cross_blocks", lambda mixed, num, den: (rest.append((mixed.count(), mixed.groupBy("token").count().count())), real(mixed, num, den))[1])
+    part = lambda *of: " ".join(f"{p}{k}" for p in of for k in range(60))
+    texts = [part(*of) for g in range(12) for of in ((f"a{g}x", f"b{g}x"), (f"b{g}x", f"c{g}x"), (f"c{g}x", f"a{g}x"))]
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(k, 116, k) for k in range(36)]
+    assert rest == [(0, 0)]
+
+
 def test_shuffles_of_a_written_table_go(spark):
     from trovana.llm.common import bucketed, discard, materialise
 

@@ -8,8 +8,9 @@ bounds on size and position; a candidate must then share prefix tokens under eve
 order too before its sets are intersected.
 
 Groups of near copies are never expanded into all pairs. In a few rounds each list of a
-token is compared with pivots only, and what links is contracted; a last round compares,
-list by list, the rows outside the largest component with those of other components.
+token is compared with pivots only, what links is contracted, and a pivot leaves its list,
+as nothing of it is open there; a last round compares, list by list, the rows outside the
+largest component with those of other components.
 Pairs inside a component need no comparison, all others get one.
 
 Defined results: null and empty texts, and those without words, have empty sets, link
@@ -337,20 +338,38 @@ PART = 512
 LISTS = 16
 
 
-def mixed_lists(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """Lists with several components: ``comp`` of each row, ``out`` if it isn't the list's largest, and the list's ``size``."""
+def _posting():
+    return F.struct("node", "n", "pos")
+
+
+def mixed_lists(lists: DataFrame, groups: DataFrame, seed: int) -> DataFrame:
+    """Lists with several components: ``comp`` of each row, ``out`` if it isn't the list's largest, the list's ``size``, and ``p``, a pivot of the largest.
+
+    The pivot is another one in each list and with each ``seed``.
+    """
     placed = lists.join(groups, lists["node"] == groups["node"], "left").select(lists["*"], F.coalesce("component", lists["node"]).alias("comp"))
     placed = materialise(placed, "ngram-placed")
-    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("size")).where("comps > 1")
-    return placed.join(main.drop("comps"), "token").withColumn("out", F.col("comp") != F.col("main")).drop("main")
+    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min_by(_posting(), F.xxhash64("node", "token", F.lit(seed))).alias("p"))
+    main = sizes.groupBy("token").agg(F.max_by(F.struct("comp", "p"), F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("size")).where("comps > 1")
+    main = main.select("token", "size", F.col("main.comp").alias("main"), "main.p")
+    mixed = materialise(placed.join(main, "token").withColumn("out", F.col("comp") != F.col("main")).drop("main"), "ngram-mixed")
+    discard(placed)
+    return mixed
+
 
+def pivot_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y): the pivot ``p`` of a list with each of its rows, as far as the bounds allow."""
+    own = rows.select("p", _posting().alias("r")).where((F.col("r.node") != F.col("p.node")) & _near("r", "p", num, den))
+    return own.select(F.col("p.node").alias("x"), F.col("r.node").alias("y")).distinct()
 
-def pivot_pairs(rows: DataFrame, pivots: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y): the pivot (``p``) of a list with each of its rows, as far as the bounds allow."""
-    x, y = rows.alias("x"), pivots.select("token", "p.*").alias("y")
-    one = x.join(y, "token").where((F.col("x.node") != F.col("y.node")) & _near("x", "y", num, den))
-    return one.select(F.col("y.node").alias("x"), F.col("x.node").alias("y")).distinct()
+
+def settled(rows: DataFrame) -> DataFrame:
+    """Lists less their pivots, once those have been compared: a list of two is done then, and one of few after some rounds.
+
+    Two sets that link meet within the bounds in the list of the first token that they share, so what
+    the bounds leave out in another list needs no comparison there.
+    """
+    return rows.where("node <> p.node")
 
 
 def dealt_blocks(rows: DataFrame) -> DataFrame:
@@ -418,28 +437,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     sets = bucketed(sets_of(docs, described, lists.select("node").distinct(), width), "node", shuffle_width(spark), "ngram-sets", unique=True)
 
     # first round: each list against one pivot, mostly the same in all lists of a group
-    seen = materialise(pivot_pairs(lists, lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node")).alias("p")), num, den), "ngram-pairs")
+    pivots = lists.groupBy("token").agg(F.min_by(_posting(), F.xxhash64("node")).alias("p"))
+    first = materialise(lists.join(pivots, "token"), "ngram-first")
+    discard(lists)
+    seen = materialise(pivot_pairs(first, num, den), "ngram-pairs")
     links = materialise(verified(seen, sets, classes, num, den), "ngram-links")
     groups = materialise(components(links, "ngram-components"), "ngram-groups")
 
     # further rounds: rows outside the largest component of a list against a pivot in it, another in each list and round
-    mixed = materialise(mixed_lists(lists, groups), "ngram-mixed")
-    discard(lists)
+    mixed = mixed_lists(settled(first).drop("p"), groups, 0)
+    discard(first)
+    left = mixed
     for seed in range(ROUNDS):
-        inner = mixed.where("not out").groupBy("token").agg(F.min_by(F.struct("node", "n", "pos"), F.xxhash64("node", "token", F.lit(seed))).alias("p"))
-        pairs = materialise(unseen(pivot_pairs(mixed.where("out"), inner, num, den), seen), "ngram-pairs")
+        pairs = materialise(unseen(pivot_pairs(mixed.where("out"), num, den), seen), "ngram-pairs")
         more = materialise(verified(pairs, sets, classes, num, den), "ngram-links")
         seen = seen.unionByName(pairs)
+        left = settled(mixed)
         if not more.limit(1).count():
             break
         links = links.unionByName(more)
         old = groups, mixed
         groups = materialise(components(links, "ngram-components"), "ngram-groups")
-        mixed = materialise(mixed_lists(mixed.select("token", "node", "n", "pos"), groups), "ngram-mixed")
+        left = mixed = mixed_lists(left.select("token", "node", "n", "pos"), groups, seed + 1)
         discard(*old)
 
     # last round: all pairs that are left
-    rows, members = cross_blocks(mixed, num, den)
+    rows, members = cross_blocks(left, num, den)
     cross = materialise(rows, "ngram-cross")
     more = materialise(compared(cross, members, sets, classes, num, den), "ngram-more")
     groups = materialise(components(links.unionByName(more), "ngram-components"), "ngram-groups")
