@@ -344,6 +344,46 @@ def test_texts_move_without_the_lines(spark):
     assert "leaves" not in plan and "SortMergeJoin" not in plan
 
 
+def test_texts_that_lose_nothing_stay_where_they_are(spark):
+    rows = [(i, f"own{chr(97 + i)} line{chr(97 + i)} here\nother{chr(97 + i)}") for i in range(20)] + [(20, "one line that stands twice\nx"), (21, "one line that stands twice\ny"), (22, None), (23, "")]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, at int")
+    out = drop_recurring_lines(df)
+    want = {i: t for i, t in rows} | {21: "y"}
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+    assert sorted((r["doc_id"], r["_n_lines"], r["_n_dropped"], r["at"]) for r in out.collect()) == [(i, 2 if t else 0, int(i == 21), 7) for i, t in rows]
+    branches = out._jdf.queryExecution().optimizedPlan().toString().split("Union")[1:]
+    assert len(branches) == 1 and branches[0].count("Join") == 1  # one branch has no join, so nothing of it moves
+
+
+def test_places_that_cannot_be_constant_do_not_travel(spark):
+    from collections import Counter
+
+    from trovana.llm.line_dedup import fields, frequent
+
+    rnd = random.Random(8)
+    rows = []
+    for form in range(400):
+        leaf, n = form % 7, rnd.randint(1, 9)
+        own = [rnd.getrandbits(62) if rnd.random() < rnd.choice([0.1, 0.4, 0.9]) else 100_000 * leaf + 100 * k + n for k in range(n)]
+        rows.append((form, leaf, own))
+    found = spark.createDataFrame(rows, "form long, leaf long, places array<long>")
+    every = Counter(p for r in rows for p in r[2])
+    counts = spark.createDataFrame([(p, c) for p, c in every.items() if c >= 2.5], "place long, c long")
+    got = {r["form"]: r for r in frequent(found, counts).collect()}
+    for form, leaf, places in rows:
+        common = [p for p in places if every[p] >= 2.5]
+        assert (form in got) == (2 * len(common) >= len(places)), form  # no other bit is hit by chance here
+        if form in got:
+            assert (got[form]["leaf"], got[form]["size"], got[form]["places"]) == (leaf, len(places), common)
+    want = set()
+    for form, leaf, places in rows:
+        m = sorted((every[p] for p in places), reverse=True)[(len(places) + 1) // 2 - 1]
+        if m >= 5 and any(every[p] < 0.5 * m for p in places):
+            want.add(form)
+    assert want and {r["form"] for r in fields(found, 5, 0.5).collect()} == want
+    assert fields(found.limit(0), 5, 0.5).count() == 0
+
+
 def test_lines_that_are_most_of_a_document(spark):
     passage = "\n".join(f"{w} passage that every one of these documents carries, word by word" for w in ("this", "that", "such"))
     rows = [(i, f"{passage}\nown {chr(97 + i)}{chr(98 + i)}") for i in range(25)] + [(30, passage)]

@@ -16,8 +16,9 @@ from every document but the first (the smallest id) that has it, however much of
 document such lines are. Two texts are enough by default, so that nothing that repeats
 stays and a line fares alike in any size of table. Exact copies count as one text.
 
-Texts are moved once, to where their lines are dropped; a filter of fixed size tells a
-task which of its lines can be in a leaf of several lines.
+Texts that lose lines are moved once, to where these are dropped, the others not at all;
+filters of fixed size tell a task which of its texts those can be, which of its lines can
+be in a leaf of several lines, and which tokens of these can be constant.
 
 Defined results: null and empty texts stay as they are; lines without tokens are never
 templates; repeated rows (same id, same text) are treated alike; a null id comes after
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,17 +114,41 @@ def shapes(docs: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
     return docs.where("text <> ''").select("text").mapInArrow(lean(run), "form long, leaf long, places array<long>").dropDuplicates(["form", "leaf"])
 
 
+def frequent(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """(form, leaf, size, places): ``found`` with the number of its places, and those of them that may have a count.
+
+    A filter of fixed size leaves out the others, and forms of which fewer than half of the places are left, as they
+    have no typical count. Where it is full, it lets all places through, which is right too.
+    """
+    bits = found.sparkSession.sparkContext.broadcast(bit_filter(counts, "place"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = pc.list_value_length(b.column(2)).to_numpy().astype(np.int64)
+            flat = b.column(2).flatten().to_numpy()
+            hit = in_filter(bits.value, flat)
+            upto = np.concatenate([[0], np.cumsum(hit)])
+            end = np.cumsum(size)
+            left = upto[end] - upto[end - size]
+            ok = left >= (size + 1) // 2
+            offsets = np.concatenate([[0], np.cumsum(left[ok])]).astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[hit & np.repeat(ok, size)]))
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(size[ok].astype(np.int32)), places], names=["form", "leaf", "size", "places"])
+
+    return found.select("form", "leaf", "places").mapInArrow(lean(run), "form long, leaf long, size int, places array<long>")
+
+
 def fields(found: DataFrame, min_values: int, ratio: float) -> DataFrame:
     """(form, template): the forms with fields, from the places of all forms of their leaves.
 
     A place names its leaf, so the constant places alone tell a template. Tokens that are too rare to be constant
-    anywhere need no lookup.
+    anywhere need no lookup, and most of them don't travel to one.
     """
-    size = F.size("places").alias("size")
-    total = found.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    places = found.select("form", "leaf", size, F.explode("places").alias("place"))
-    counts = places.groupBy("place").agg(F.count("*").alias("c")).where(F.col("c") >= ratio * min_values)
+    counts = found.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("c")).where(F.col("c") >= ratio * min_values)
     counts = materialise(counts, "line-places")
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    places = frequent(found, counts).select("form", "leaf", "size", F.explode("places").alias("place"))
     known = heavy_join(places, counts.withColumn("n", F.col("c")), "place", "n", total)
     row = known.groupBy("form", "leaf", "size").agg(F.sort_array(F.collect_list(F.struct("c", "place")), asc=False).alias("ps"))
     # the count that half of the places or more reach
@@ -165,8 +191,12 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 3, min
     drops = materialise(later.groupBy(F.xxhash64("doc_id", "th").alias("key")).agg(F.flatten(F.collect_list("at")).alias("at")), "line-drops")
     discard(parsed, found)
     texts = docs.select("doc_id", "text", packed(docs, "doc_id", "text").alias("rest"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
+    # only texts that can lose a line move
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(drops, "key"))
+    loses = F.arrow_udf(lambda key: pa.array(in_filter(bits.value, key.to_numpy())), "boolean")
     # the drops of a task are few: hashed, so that texts needn't be sorted
-    t = texts.join(drops.hint("shuffle_hash"), "key", "left")
+    moved = texts.where(loses("key")).join(drops.hint("shuffle_hash"), "key", "left")
+    t = moved.unionByName(texts.where(~loses("key")).withColumn("at", F.lit(None).cast("array<int>")))
     parts = F.split("text", "\n")
     # the parts are bound once: within the inner function, the text would be split again for each line
     stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "at")
