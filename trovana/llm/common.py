@@ -224,6 +224,8 @@ def bit_filter(rows: DataFrame, key: str) -> np.ndarray:
     words = rows.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("v")).toArrow()
     out = np.zeros(1 << FILTER_BITS >> 6, np.int64)  # as many rows at most
     out[words["w"].to_numpy()] = words["v"].to_numpy()
+    del words
+    give_back()
     return out.view(np.uint64)
 
 

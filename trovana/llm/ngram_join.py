@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovana.llm.common import bit_filter, bucketed, components, discard, heavy_join, in_filter, lean, materialise, shuffle_width
+from trovana.llm.common import bit_filter, bucketed, components, discard, give_back, heavy_join, in_filter, lean, materialise, shuffle_width
 from trovana.llm.hashing import Rolling, forget, runs, scramble
 
 #: Buckets of the frequency table, sent in slabs; four megabytes reach the executors, whatever the corpus.
@@ -174,11 +174,16 @@ def frequency_classes(rows: DataFrame) -> np.ndarray:
     # in two steps, so that no task holds the counts of all partitions
     step = table.groupBy("slab", "lot").agg(F.collect_list("counts").alias("c")).select("slab", "c").mapInArrow(lean(add), "slab int, counts binary")
     final = step.groupBy("slab").agg(F.collect_list("counts").alias("c")).select("slab", "c").mapInArrow(lean(add), "slab int, counts binary").collect()
-    out = np.zeros((SLABS, (1 << BITS) // SLABS))
-    for r in final:
-        out[r["slab"]] = np.frombuffer(r["counts"], np.int64)
-    flat = out.ravel()
-    return np.clip(np.round(8 * np.log2(np.maximum(flat, 0.5) / max(flat.mean(), 0.5))) + 128, 0, 255).astype(np.uint8)
+    # slab by slab, as whole tables of numbers would be the driver's peak
+    counts = {r["slab"]: np.frombuffer(r["counts"], np.int64) for r in final}
+    del final
+    mean = max(sum(int(c.sum()) for c in counts.values()) / (1 << BITS), 0.5)
+    out = np.empty((SLABS, (1 << BITS) // SLABS), np.uint8)
+    for k in range(SLABS):
+        c = np.maximum(counts.pop(k, np.zeros(out.shape[1])), 0.5)
+        out[k] = np.clip(np.round(8 * np.log2(c / mean)) + 128, 0, 255)
+    give_back()
+    return out.ravel()
 
 
 #: Nodes that a task remembers, so as to send each once; what it sends again is dropped later.
