@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trovana.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +85,14 @@ def op7_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from trovana.llm.piece_codec import piece_codec
+
+    return piece_codec(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE), digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
