@@ -85,6 +85,13 @@ def op7_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovana.llm.hard_negatives import mine_hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine_hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -93,6 +100,12 @@ def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE), digests=True)
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trovana.llm.vector_codes import code_vectors
+
+    return code_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

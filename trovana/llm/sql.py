@@ -88,9 +88,52 @@ from j join g{_LEVELS} g using (host, masked) join s0 on s0.host = j.host and s0
 
 OP5 = _op5()
 
+
+
+def _op13(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    def coded(at: int) -> str:
+        return f"""a{at} as (select r, part, arg_min(e, (d, e)) as e, min(d) as d from (
+  select p.r, p.part, c.e, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from p join c{at} c using (part)) group by r, part),
+"""
+
+    steps = "".join(
+        coded(k)
+        + f"""m{k} as (select part, e, list(x order by i) as v from (
+  select part, e, i, cast(floor(sum(v[i]) / count(*)) as bigint) as x from p join a{k} using (r, part), unnest(range(1, len(v) + 1)) as t(i) group by part, e, i) group by part, e),
+c{k + 1} as (select c.part, c.e, coalesce(m.v, c.v) as v from c{k} c left join m{k} m using (part, e)),
+"""
+        for k in range(rounds)
+    )
+    return f"""
+with k as (select row_number() over () as r, vec_id, label, list_transform(cast(embedding as double[]), lambda x: cast(floor(256 * x) as bigint)) as q from embeddings
+           where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select r, part, q[part * (len(q) // {parts}) + 1:(part + 1) * (len(q) // {parts})] as v from k, unnest(range({parts})) as t(part)),
+s as (select r, row_number() over (order by vec_id, q) - 1 as e from k qualify e < {entries}),
+c0 as (select part, e, v from s join p using (r)),
+{steps}{coded(rounds)}h as (select sha256(string_agg(array_to_string(v, ','), ',' order by part, e)) as codebooks_sha256 from c{rounds}),
+o as (select r, lower(string_agg(printf('%02x', e), '' order by part)) as code, cast(sum(d) as bigint) as error from a{rounds} group by r)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from k join o using (r), h
+"""
+
+
+OP13 = _op13()
+
+OP11 = """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(cast(embedding as double[]), lambda x: cast(floor(256 * x) as bigint)) as q from embeddings
+           where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) as bigint) as score
+      from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+p as (select a, b, score from s where same qualify row_number() over (partition by a order by score desc, b) <= 5),
+n as (select p.a as anchor_id, p.b as positive_id, cast(row_number() over (partition by p.a, p.b order by s.score desc, s.b) as integer) as rank, s.b as negative_id, p.score as positive_score, s.score as negative_score
+      from p join s on p.a = s.a and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select * from n where rank <= 3
+"""
+
 ORACLE: dict[str, str] = {
     "op1_embedding_dedup": OP1,
     "op3_ngram_jaccard": OP3,
     "op5_url_filter": OP5,
     "op9_decontaminate": OP9,
+    "op11_hard_negatives": OP11,
+    "op13_vector_codes": OP13,
 }
