@@ -57,10 +57,9 @@ def indexable(events: DataFrame, roots: list[str], patterns=exclusion.DEFAULT_PA
     """
     rows = decoded(coalesced(events)).where(~exclusion.event_prefilter(F.col("path"), patterns))
     rows = rows.where(_within(F.col("path"), roots))
-    first = exclusion.with_decision(rows, roots, patterns).drop("rule").withColumnRenamed("decision", "_first")
-    again = exclusion.with_decision(first.withColumnRenamed("is_directory", "_d").withColumn("is_directory", F.lit(True)), roots, patterns).drop("rule", "is_directory").withColumnRenamed("_d", "is_directory")
-    use = F.when((F.col("_first") == exclusion.PRUNE) & ~F.col("is_directory") & (F.col("decision") == exclusion.INDEX), exclusion.INDEX).otherwise(F.col("_first"))
-    return again.withColumn("decision", use).drop("_first").where(F.col("decision") != exclusion.PRUNE)
+    both = exclusion.with_decisions(rows, roots, patterns, {"": F.col("is_directory"), "_again": F.lit(True)})
+    again = (F.col("decision") == exclusion.PRUNE) & ~F.col("is_directory") & (F.col("decision_again") == exclusion.INDEX)
+    return both.withColumn("decision", F.when(again, exclusion.INDEX).otherwise(F.col("decision"))).drop("decision_again", "rule", "rule_again").where(F.col("decision") != exclusion.PRUNE)
 
 
 def _within(path: Column, roots: list[str]) -> Column:

@@ -110,6 +110,10 @@ class Rule:
     for_directory: str | None
     traversal: bool
     literal_prefix: str
+    #: The pattern without its marks, and what these say.
+    body: str = ""
+    anchored: bool = False
+    only_directories: bool = False
 
     def may_take_back(self, rel: Column) -> Column:
         """Could something below the directory be what this rule takes back?"""
@@ -154,7 +158,7 @@ def compile_rule(raw: str) -> Rule | None:
             file = directory = at if negated else at_or_below
     literal = re.match(r"[^*?\[]*", p)[0].strip("/") if slash else ""
     flag = "(?is)"
-    return Rule(raw, negated, file and flag + file, directory and flag + directory, negated and only_directories and p == "*", literal)
+    return Rule(raw, negated, file and flag + file, directory and flag + directory, negated and only_directories and p == "*", literal, p, anchored, only_directories)
 
 
 def compile_rules(patterns: tuple[str, ...] | list[str] = DEFAULT_PATTERNS) -> list[Rule]:
@@ -168,7 +172,7 @@ def relative_paths(path: Column, roots: list[str]) -> Column:
     return F.when(F.size(below) > 0, below).otherwise(F.array(F.trim(path, F.lit("/"))))
 
 
-def _search(rels: Column, expression: str | None) -> Column:
+def met_by(rels: Column, expression: str | None) -> Column:
     return F.lit(False) if expression is None else F.exists(rels, lambda r: (r != "") & r.rlike(expression))
 
 
@@ -177,28 +181,49 @@ def last_rule(rules: list[Rule], rels: Column, is_directory: Column) -> Column:
     out = None
     for i in reversed(range(len(rules))):
         r = rules[i]
-        test = _search(rels, r.for_file) if r.for_file == r.for_directory else F.when(is_directory, _search(rels, r.for_directory)).otherwise(_search(rels, r.for_file))
+        test = met_by(rels, r.for_file) if r.for_file == r.for_directory else F.when(is_directory, met_by(rels, r.for_directory)).otherwise(met_by(rels, r.for_file))
         out = F.when(test, i) if out is None else out.when(test, i)
     return F.lit(-1) if out is None else out.otherwise(-1)
 
 
 def with_decision(df: DataFrame, roots: list[str], patterns: tuple[str, ...] | list[str] = DEFAULT_PATTERNS) -> DataFrame:
-    """``decision`` (index, skipButDescend, prune) and ``rule`` (the deciding pattern, or null) of each row."""
-    rules = compile_rules(patterns)
-    df = fenced(fenced(df, {"_rels": relative_paths(F.col("path"), roots)}), {"_rule": last_rule(rules, F.col("_rels"), F.col("is_directory"))})
+    """``decision`` (index, skipButDescend, prune) and ``rule`` (the deciding pattern, or null) of each row.
+
+    Rules are looked up in a dictionary, once per directory (``compiled_rules``), which reads the rows' paths twice;
+    a stream, whose directories can't be gathered first, tries the expressions row by row.
+    """
+    return with_decisions(df, roots, patterns, {"": F.col("is_directory")})
+
+
+def with_decisions(df: DataFrame, roots: list[str], patterns: tuple[str, ...] | list[str], kinds: dict[str, Column]) -> DataFrame:
+    """``decision`` and ``rule`` under several names: what is decided if rows are directories as a column says, for each suffix of ``kinds``."""
+    from trovana.operators.compiled_rules import with_last_rule
+
+    kinds = {f"_rule{suffix}": is_directory for suffix, is_directory in kinds.items()}
+    if df.isStreaming:
+        rules = compile_rules(patterns)
+        df = fenced(df, {"_rels": relative_paths(F.col("path"), roots)})
+        df = fenced(df, {name: last_rule(rules, F.col("_rels"), is_directory) for name, is_directory in kinds.items()})
+    else:
+        df, rules = with_last_rule(df, roots, patterns, kinds)
+        df = fenced(df, {"_rels": relative_paths(F.col("path"), roots)})
     chosen = [i for i, r in enumerate(rules) if not r.negated]
     traversal = [i for i, r in enumerate(rules) if r.traversal]
-    excluded = F.col("_rule").isin(chosen) if chosen else F.lit(False)
-    back = F.lit(False)
-    for i, r in enumerate(rules):
-        if r.negated and r.literal_prefix and not r.traversal:
-            back = back | ((F.col("_rule") < i) & _may(r))
-    directory = F.when(F.col("_rule").isin(traversal), DESCEND) if traversal else F.when(F.lit(False), DESCEND)
-    directory = directory.when(~excluded, INDEX).when(back, DESCEND).otherwise(PRUNE)
-    decision = F.when(F.col("is_directory"), directory).otherwise(F.when(excluded, PRUNE).otherwise(INDEX))
     names = F.array(*[F.lit(r.raw) for r in rules]) if rules else F.array().cast("array<string>")
-    rule = F.when(F.col("_rule") >= 0, F.element_at(names, F.greatest(F.col("_rule") + 1, F.lit(1)))) if rules else F.lit(None).cast("string")
-    return fenced(df, {"decision": decision, "rule": rule}).drop("_rels", "_rule")
+    made = {}
+    for name, is_directory in kinds.items():
+        last = F.col(name)
+        excluded = last.isin(chosen) if chosen else F.lit(False)
+        back = F.lit(False)
+        for i, r in enumerate(rules):
+            if r.negated and r.literal_prefix and not r.traversal:
+                back = back | ((last < i) & _may(r))
+        directory = F.when(last.isin(traversal), DESCEND) if traversal else F.when(F.lit(False), DESCEND)
+        directory = directory.when(~excluded, INDEX).when(back, DESCEND).otherwise(PRUNE)
+        suffix = name.removeprefix("_rule")
+        made[f"decision{suffix}"] = F.when(is_directory, directory).otherwise(F.when(excluded, PRUNE).otherwise(INDEX))
+        made[f"rule{suffix}"] = F.when(last >= 0, F.element_at(names, F.greatest(last + 1, F.lit(1)))) if rules else F.lit(None).cast("string")
+    return fenced(df, made).drop("_rels", *kinds)
 
 
 def _may(r: Rule) -> Column:
