@@ -43,6 +43,29 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hot_keys_are_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    from trovana.llm.common import heavy_join
+
+    rows = spark.range(40_000).select(F.when(F.col("id") % 10 < 6, 7).when(F.col("id") % 10 == 9, None).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    lookup = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("most"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for how, n in (("left", 40_000), ("inner", 36_000)):
+            out = heavy_join(rows, lookup, "k", "n", 40_000, how, hot=100)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(_key" in plan and all("_salt" in line for line in plan.splitlines() if "hashpartitioning(_key" in line)
+            sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+            assert sum(sizes) == n and max(sizes) < 2 * n / 4
+            assert {(r["k"], r["most"]) for r in out.where("k = 7 or k is null").distinct().collect()} == {(7, 39_995)} | ({(None, None)} if how == "left" else set())
+            assert out.where("k <> 7 and most <> v").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # --- vectors
 
 

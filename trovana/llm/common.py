@@ -252,7 +252,9 @@ def heavy_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, total:
     names = [c for c in lookup.columns if c not in (key, count)]
     found = F.struct(*[col(c).alias(c) for c in names]) if names else F.struct(F.lit(1).alias("one"))
     some = lookup.where(is_hot).select(col(key), found.alias("_hot"))
-    rest = lookup.where(~is_hot).select(col(key).alias("_key"), F.lit(0).cast("long").alias("_salt"), found.alias("_cold"))
+    # always 0, which the optimizer must not know: a constant would leave the join's keys, and all rows without a key meet in one task
+    zero = F.pmod(F.xxhash64(col(key)), F.lit(1).cast("long"))
+    rest = lookup.where(~is_hot).select(col(key).alias("_key"), zero.alias("_salt"), found.alias("_cold"))
     done = F.col("_hot").isNotNull() | col(key).isNull()
     held = [col(c) for c in rows.columns if "map<" not in rows.schema[c].dataType.simpleString()]  # maps have no hash
     ours = rows.join(F.broadcast(some), key, "left").withColumn("_key", F.when(~done, col(key)))
