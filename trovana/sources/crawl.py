@@ -7,6 +7,7 @@ rows of their own and never followed.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
@@ -52,13 +53,17 @@ class Walker:
                 return exclusion.DESCEND
         return exclusion.PRUNE
 
-    def list(self, directory: str) -> Iterator[tuple[tuple, bool]]:
-        """(row or None, directory to enter) of what lies in a directory; unreadable ones are empty."""
-        try:
-            entries = sorted(os.scandir(directory), key=lambda e: e.name)
-        except OSError:
-            return
-        for e in entries:
+    def list(self, directory: str) -> Iterator[tuple]:
+        """``entries``; unreadable directories are empty."""
+        with contextlib.suppress(OSError):
+            yield from self.entries(directory)
+
+    def root_row(self, root: str) -> tuple:
+        return row(root, os.lstat(root))
+
+    def entries(self, directory: str) -> Iterator[tuple]:
+        """(row or None, directory to enter or None) of what lies in a directory and the rules leave."""
+        for e in sorted(os.scandir(directory), key=lambda e: e.name):
             try:
                 s = e.stat(follow_symlinks=False)
             except OSError:
@@ -84,11 +89,14 @@ def row(path: str, s: os.stat_result) -> tuple:
     return path, stat.S_ISDIR(s.st_mode), max(s.st_size, 0), when(s.st_mtime), when(born) if born else None, str(s.st_dev)
 
 
-def preflight(roots: list[str]) -> dict[str, str]:
-    """Why a root can't be scanned: missing, notDirectory, notReadable, or readable."""
+def preflight(roots: list[str], patterns=()) -> dict[str, str]:
+    """Why a root can't be scanned: missing, notDirectory, notReadable, excluded (by the rules of a root above it), or readable."""
     out = {}
+    walker = Walker(roots, patterns)
     for r in roots:
         out[r] = "missing" if not os.path.lexists(r) else "notDirectory" if os.path.islink(r) or not os.path.isdir(r) else "readable" if os.access(r, os.R_OK | os.X_OK) else "notReadable"
+        if out[r] == "readable" and walker.decision(r, True) == exclusion.PRUNE:
+            out[r] = "excluded"
     return out
 
 

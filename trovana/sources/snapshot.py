@@ -242,6 +242,13 @@ class Store:
         rows.write.parquet(f"{self.path}/checkpoint-{stamp}")
         self._write(f"checkpoints/{stamp}.json", json.dumps({"roots": list(roots), "patterns": list(patterns), "saved_at": time.time(), "rows": f"checkpoint-{stamp}", "done": done}))
 
+    def note_checkpoint(self, found: dict) -> None:
+        """A checkpoint that tells of roots, patterns, when it was saved, and where a crawl's rounds lie."""
+        self._write(f"checkpoints/{time.time_ns():020d}.json", json.dumps(found))
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
     def _checkpoint(self) -> dict | None:
         """The latest checkpoint that can be read."""
         if not self._fs.exists(self._at("checkpoints")):
