@@ -164,13 +164,13 @@ def overlay(df: DataFrame, upserts: DataFrame, deleted: DataFrame) -> DataFrame:
 def apply_batch(df: DataFrame, events: DataFrame, current: DataFrame, roots: list[str], patterns=exclusion.DEFAULT_PATTERNS) -> DataFrame:
     """A catalog after a batch of events, ``current`` being what exists now at and under the events' paths.
 
-    Paths that exist are upserted, those that don't take their subtrees along. Order and repeats
-    don't matter, as the state is read again: applying a batch twice changes nothing.
+    All rows at and under these paths give way to those that exist: of a directory that was looked at, what isn't
+    there any more goes too. Order and repeats don't matter, as the state is read again: applying a batch twice
+    changes nothing.
     """
     kept = indexable(events, roots, patterns).select("path").distinct()
     now = exclusion.indexable(catalog.under(current, kept), roots, patterns)
-    gone = kept.join(now.select("path"), "path", "left_anti")
-    return upsert(without_subtrees(df, gone), now)
+    return upsert(without_subtrees(df, kept), now)
 
 
 def empty_roots(roots: DataFrame, df: DataFrame) -> DataFrame:

@@ -34,11 +34,8 @@ def _parts(events: DataFrame) -> set[str]:
     return set(events.schema["fields"].dataType.valueType.fieldNames())
 
 
-def capped(events: DataFrame, longest: int = 4096, most: int = 100) -> DataFrame:
-    """Texts cut to a length and arrays to a number of texts; a field that was cut says so, and how long it was.
-
-    ``truncated`` names these fields.
-    """
+def capped_fields(events: DataFrame, longest: int, most: int) -> Column:
+    """The fields of ``events`` with texts cut to a length and arrays to a number of texts."""
     parts = _parts(events)
 
     def cut(v: Column) -> Column:
@@ -56,7 +53,15 @@ def capped(events: DataFrame, longest: int = 4096, most: int = 100) -> DataFrame
             over = over | F.coalesce(v["truncated"], F.lit(False))
         return out.withField("truncated", over)
 
-    rows = events.withColumn("fields", F.transform_values("fields", lambda _, v: cut(v)))
+    return F.transform_values("fields", lambda _, v: cut(v))
+
+
+def capped(events: DataFrame, longest: int = 4096, most: int = 100) -> DataFrame:
+    """Texts cut to a length and arrays to a number of texts; a field that was cut says so, and how long it was.
+
+    ``truncated`` names these fields.
+    """
+    rows = events.withColumn("fields", capped_fields(events, longest, most))
     return rows.withColumn("truncated", F.map_keys(F.map_filter("fields", lambda _, v: v["truncated"])))
 
 

@@ -19,7 +19,8 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def malformed(events: DataFrame) -> DataFrame:
-    return events.select("_malformed").cache().where("_malformed is not null").agg(F.count("*").alias("n_malformed"))
+    # a column besides that of malformed lines has to be read for them to be told
+    return events.agg(F.count_if(F.col("_malformed").isNotNull() & F.coalesce(F.length("event") >= 0, F.lit(True))).alias("n_malformed"))
 
 
 def write_events(events: DataFrame, path: str, lines_per_file: int = 50_000) -> None:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trovana.operators import catalog, changes, exclusion
+from trovana.operators import catalog, changes, exclusion, insights
+from trovana.operators.kept import Kept, rollup_change
 from trovana.sources.logs import EVENTS_SCHEMA
 from trovana.sources.snapshot import Store
 
@@ -36,11 +37,11 @@ class Upkeep:
     ``current`` gives what exists now at and under some paths, as catalog rows: a crawl, or a table. It is asked
     once for a batch, and its answer written down, so that all that follows sees one state. Batches become deltas
     of the current version; a new version is made only when these have grown large, and not before the next batch,
-    so that changes are seen at once.
+    so that changes are seen at once. ``rollup`` keeps figures per root: a batch adds what its rows change, once.
     """
 
-    def __init__(self, store: Store, roots: list[str], current: Callable[[DataFrame], DataFrame], patterns=exclusion.DEFAULT_PATTERNS, large: int = changes.LARGE_DELTA):
-        self.store, self.roots, self.current, self.patterns, self.large = store, roots, current, patterns, large
+    def __init__(self, store: Store, roots: list[str], current: Callable[[DataFrame], DataFrame], patterns=exclusion.DEFAULT_PATTERNS, large: int = changes.LARGE_DELTA, rollup: Kept | None = None):
+        self.store, self.roots, self.current, self.patterns, self.large, self.rollup = store, roots, current, patterns, large, rollup
         self.last_batch = -1
         self.due = False
 
@@ -56,10 +57,14 @@ class Upkeep:
         with self.store.held(kept, f"paths-{batch}") as kept, self.store.held(exclusion.indexable(self.current(kept), self.roots, self.patterns).select(*catalog.COLUMNS), f"now-{batch}") as now:
             manifest = self.store.manifest()
             if manifest is None:
+                self._count(catalog.empty(spark), now, batch)
                 self.store.write(catalog.with_virtual(changes.upsert(catalog.empty(spark), now)), self.roots, list(self.patterns))
             else:
                 base = self.store.rows().select(*catalog.COLUMNS)
-                gone = kept.join(now.select("path"), "path", "left_anti")
+                before = catalog.under(base, kept)
+                self._count(before, now, batch)
+                # a directory was looked at with all that lies under it
+                gone = kept.unionByName(before.select("path")).distinct().join(now.select("path"), "path", "left_anti")
                 same, other = changes.split_changes(base, now)
                 if other.limit(1).count() or catalog.under(base, gone).limit(1).count():
                     self.store.append_rows(now, gone, batch)
@@ -68,6 +73,13 @@ class Upkeep:
                 self.due = self.store.pending() > self.large
         self.last_batch = batch
 
+    def _count(self, before: DataFrame, now: DataFrame, batch: int) -> None:
+        """Adds to the roll-up what the rows at and under the batch's paths were and are."""
+        if self.rollup is not None:
+            roots = catalog.roots_table(before.sparkSession, self.roots)
+            of = lambda rows: insights.root_rollup(catalog.with_root(rows, roots))
+            self.rollup.add(rollup_change(of(now), of(before)), batch)
+
     def start(self, feed: DataFrame, checkpoint: str, seconds: float | None = BACKGROUND) -> StreamingQuery:
         """Runs until stopped, or with ``seconds`` None through what is there now (a replay)."""
         writer = feed.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
