@@ -175,9 +175,9 @@ def brute_negatives(rows, positives=5, negatives=3):
         if len(a[2]) != len(anchors[0][2]):
             continue
         dot = [(sum(x * y for x, y in zip(a[2], r[2], strict=True)), r) for r in good if r != a]
-        near = sorted(((-s, r[0]) for s, r in dot if r[1] == a[1]))[:positives]
+        near = sorted({(-s, r[0]) for s, r in dot if r[1] == a[1]})[:positives]
         for s, p in near:
-            far = sorted(((-t, r[0]) for t, r in dot if r[1] != a[1] and 50 * -s <= 100 * t <= 95 * -s))[:negatives]
+            far = sorted({(-t, r[0]) for t, r in dot if r[1] != a[1] and 50 * -s <= 100 * t <= 95 * -s})[:negatives]
             out += [(a[0], p, k + 1, i, -s, -t) for k, (t, i) in enumerate(far)]
     return out
 

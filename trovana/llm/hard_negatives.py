@@ -13,7 +13,8 @@ both ways, so that no task holds more than some blocks, whatever a cell or a lab
 
 Defined results: rows whose id, label or vector is null, or whose vector is empty or holds null or non-finite
 components, take no part, nor do those of another length than the anchor with the smallest id; rows equal in id, label
-and vector count once, rows that share the id alone are rows of their own; an anchor without other rows of its label
+and vector count once, rows that share the id alone are rows of their own, but for an anchor with which they have the
+same score they count once; an anchor without other rows of its label
 has no rows in the result; a zero vector has the score 0 with all; an empty table gives no rows; extra columns are
 ignored. A component of 2^18 or more in size is refused with an error.
 """

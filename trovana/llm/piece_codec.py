@@ -85,7 +85,7 @@ class CharacterMap:
 
     def match(self, text: str, at: int) -> int:
         """The length of the longest key there, or 0."""
-        for n in range(self.longest.get(text[at], 0), 0, -1):
+        for n in range(min(self.longest.get(text[at], 0), len(text) - at), 0, -1):
             if text[at : at + n] in self.keys:
                 return n
         return 0
