@@ -198,14 +198,25 @@ def changes_catch_up(spark: SparkSession, d: str) -> DataFrame:
     return found.select("path", F.lit(action).alias("action"))
 
 
+#: Scopes beyond which a history is given up, in several cases: none is few enough, only their parents are, all are.
+LIMITS = (1, 300, 1_000_000)
+
+
 def changes_overflow(spark: SparkSession, d: str) -> DataFrame:
-    action, found = _history(spark, d, 1)
-    return spark.createDataFrame([(action, found is None)], "action string, rescan boolean")
+    """What a history with more or fewer scopes than a limit leads to."""
+    out = None
+    for most in LIMITS:
+        action, found = _history(spark, d, most)
+        scopes = base.change_events(spark, d).limit(0).select("path") if found is None else found.select("path")
+        row = scopes.agg(F.lit(most).alias("most"), F.lit(action).alias("action"), F.count("*").alias("n_scopes"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def changes_routed(spark: SparkSession, d: str) -> DataFrame:
-    e = base.change_events(spark, d).where("event_id % 3 = 0")
-    directories = e.where("event_id % 9 = 0").select(F.regexp_replace("path", "/[^/]*$", "").alias("path"), F.lit(True).alias("is_directory"))
+    """Directories that some events name as such, of a part of the users, and the files outside them."""
+    e = base.change_events(spark, d)
+    directories = e.where("flags = 131072 and path like '/data/u1%'").select(F.regexp_replace("path", "/[^/]*$", "").alias("path"), F.lit(True).alias("is_directory"))
     return changes.routed(e.select("path", F.lit(False).alias("is_directory")).unionByName(directories))
 
 
@@ -274,9 +285,12 @@ e as (select case event_type when 'view' then 'open' when 'click' then 'reveal'
  else case p_partkey % 5 when 1 then case when p_partkey % 3 = 0 then 'Reconciling' when p_partkey % 11 = 0 then 'Updating' else 'Indexing' end when 2 then 'Optimizing' when 3 then 'Saving' end end as label from part""",
         "changes_latest": f"with {base.CHANGES_SQL} select path, cast(arg_max(flags, event_id) as bigint) as flags, max(event_id) as event_id from ch group by path",
         "changes_catch_up": f"with {base.CHANGES_SQL}, {scope} select scope as path, 'scoped' as action from s a where not exists (select 1 from s b where starts_with(a.scope, b.scope || '/'))",
-        "changes_overflow": "select 'full' as action, true as rescan",
-        "changes_routed": f"""with {base.CHANGES_SQL}, e as (select * from ch where event_id % 3 = 0), dirs as (select distinct regexp_extract(path, '^(.*)/', 1) as path from e where event_id % 9 = 0)
-select path, 'directory' as kind from dirs union all select distinct path, 'file' from e where regexp_extract(path, '^(.*)/', 1) not in (select path from dirs)""",
+        "changes_overflow": f"""with {base.CHANGES_SQL}, {scope}, ms as (select count(*) as n from s a where not exists (select 1 from s b where starts_with(a.scope, b.scope || '/'))),
+p as (select distinct regexp_extract(scope, '^(.*)/', 1) as path from s), mp as (select count(*) as n from p a where not exists (select 1 from p b where starts_with(a.path, b.path || '/'))),
+l(most) as (values {', '.join(f'({n})' for n in LIMITS)}), k as (select most, (select count(*) from s) >= most as many, (select n from mp) as parents, (select n from ms) as fewest from l)
+select most, case when many and parents >= most then 'full' else 'scoped' end as action, cast(case when not many then fewest when parents < most then parents else 0 end as bigint) as n_scopes from k""",
+        "changes_routed": f"""with {base.CHANGES_SQL}, dirs as (select distinct regexp_extract(path, '^(.*)/', 1) as path from ch where flags = 131072 and path like '/data/u1%')
+select path, 'directory' as kind from dirs union all select distinct path, 'file' from ch where regexp_extract(path, '^(.*)/', 1) not in (select path from dirs)""",
         "changes_pending": f"with {base.CHANGES_SQL} select distinct path from ch where not starts_with(path, '/data/u1/') and not starts_with(path, '/data/u2/click/')",
         "changes_rescanned": f"with {base.TREE_SQL} select path, case when starts_with(path, '/AFRICA/') then size_bytes + 5 else size_bytes end as size_bytes from cat where not starts_with(path, '/AFRICA/') or path like '%3'",
     }
