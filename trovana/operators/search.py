@@ -101,6 +101,27 @@ def found_rows(df: DataFrame, request: SearchRequest, query: Query) -> DataFrame
     return found.orderBy(*ordering(found, request.sort, request.ascending, query.empty)).limit(request.limit)
 
 
+def search_late(stored: DataFrame, request: SearchRequest) -> DataFrame:
+    """``search`` over rows read from files, which reads the other columns of the winners only.
+
+    The order is decided over the columns that the query and the order need, which is all that the first scan
+    reads; it yields where the first ``limit`` rows lie, a list of that length at most. The second scan opens these
+    rows' files and no others.
+    """
+    spark = stored.sparkSession
+    placed = stored.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    found = found_rows(placed, request, parse(request.query)).select("_file", "_at", "match", "score")
+    winners = found.collect()
+    schema = found.schema.add("_turn", "integer")
+    turns = spark.createDataFrame([(*w, i) for i, w in enumerate(winners)], schema)
+    files = sorted({w["_file"] for w in winners})
+    near = stored.where(F.col("_metadata.file_path").isin(files) if files else F.lit(False)).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    if "is_virtual" in near.columns:
+        near = near.drop("is_virtual")
+    # no more rows than the limit
+    return near.join(F.broadcast(turns), ["_file", "_at"]).orderBy("_turn").drop("_file", "_at", "_turn")
+
+
 def total(df: DataFrame, request: SearchRequest) -> int:
     return candidates(df, request).count()
 
