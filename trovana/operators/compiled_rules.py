@@ -41,6 +41,10 @@ class Compiled:
     lookup: dict[int, dict[str, dict[str, int]]] = field(default_factory=dict)
     rest: list[tuple[int, str | None]] = field(default_factory=list)
 
+    @property
+    def n_plain(self) -> int:
+        return len(self.rules) - len(self.rest)
+
     @property
     def required(self) -> list[str] | None:
         """None if some rule can be met anywhere."""
@@ -73,27 +77,27 @@ def compiled(patterns) -> Compiled:
 
 
 def _entries(table: dict[str, dict[str, int]]) -> Column:
-    """The dictionary as a map of constants: it has as many entries as there are rules."""
-    pairs = [x for key, e in table.items() for x in (F.lit(key), F.struct(*[F.lit(e.get(s, -1)).alias(s) for s in SCOPES]))]
-    return F.create_map(*pairs)
+    """The dictionary as a map of constants, said at once: it has as many entries as there are rules."""
+    quoted = lambda k: "'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    each = (f"{quoted(key)}, named_struct({', '.join(f'{scope!r}, {e.get(scope, -1)}' for scope in SCOPES)})" for key, e in table.items())
+    return F.expr(f"map({', '.join(each)})")
 
 
-def _met(c: Compiled, parts: Column, at: Column) -> list[Column]:
-    """Entries that the component at a place (from 1), with those before it, meets."""
+def _met(c: Compiled, parts: Column, at: Column) -> Column:
+    """Entries that the component at a place (from 1), with those before it, meets; nulls among them."""
     out = []
+    last = F.element_at(parts, at)
     for n, table in sorted(c.lookup.items()):
-        last = F.element_at(parts, at)
         if n == 0:
             key = F.when(F.instr(last, ".") > 0, F.substring_index(last, ".", -1))
         else:
             key = last if n == 1 else F.when(at >= n, F.array_join(F.slice(parts, at - (n - 1), n), "/"))
         out.append(F.try_element_at(_entries(table), F.coalesce(key, F.lit("/"))))
-    return out
+    return F.array(*out) if out else F.array().cast(f"array<struct<{', '.join(f'{x}:int' for x in SCOPES)}>>")
 
 
-def _most(found: list[Column], scope: str) -> Column:
-    best = [F.coalesce(x.getField(scope), F.lit(-1)) for x in found]
-    return F.lit(-1) if not best else best[0] if len(best) == 1 else F.greatest(*best)
+def _most(met: str, scope: str) -> Column:
+    return F.coalesce(F.array_max(F.transform(met, lambda x: x[scope])), F.lit(-1))
 
 
 def _under_root(path: Column, tops: list[str]) -> Column:
@@ -114,16 +118,13 @@ def inherited(directories: DataFrame, roots: list[str], c: Compiled) -> DataFram
     tops = [r for r in roots if not any(r != o and (r.rstrip("/") + "/").startswith(o.rstrip("/") + "/") for o in roots)]
     each = directories.select("directory_path").distinct().withColumn("_parts", F.filter(F.split(low(_under_root(F.col("directory_path"), tops)), "/"), lambda x: x != ""))
     size = F.size("_parts")
-
-    def along(scope: str) -> Column:
-        every = F.transform(F.sequence(F.lit(1), size), lambda i: _most(_met(c, F.col("_parts"), i), scope))
-        return F.when(size > 0, F.array_max(every)).otherwise(-1) if c.lookup else F.lit(-1)
-
+    along = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: _met(c, F.col("_parts"), i)))
+    each = fenced(each, {"_met": F.when(size > 0, along).otherwise(_met(c, F.array(F.lit("/")), F.lit(1))), "_rels": relative_paths(F.col("directory_path"), roots)})
     required = c.required
     need = F.lit(required is None) if not required else F.arrays_overlap("_parts", F.array(*map(F.lit, required)))
     each = each.withColumn("_need", need)
-    rels = relative_paths(F.col("directory_path"), roots)
-    file, directory = [along("below_file")], [along("below_directory")]
+    rels = F.col("_rels")
+    file, directory = [_most("_met", "below_file")], [_most("_met", "below_directory")]
     for i, _ in c.rest:
         r = c.rules[i]
         if r.negated and not r.only_directories and (r.anchored or "/" in r.body):  # counts for itself only
@@ -139,7 +140,7 @@ def inherited(directories: DataFrame, roots: list[str], c: Compiled) -> DataFram
 def with_last_rule(df: DataFrame, roots: list[str], patterns, kinds: dict[str, Column]) -> tuple[DataFrame, list[Rule]]:
     """For each of ``kinds``, a name and whether rows are directories: the index of the last rule that a row meets, or -1.
 
-    The rows' directories are joined by their path, once for all kinds.
+    ``_rels`` comes along: the path below each root that holds it. The rows' directories are joined by their path, once for all kinds.
     """
     c = compiled(patterns)
     roots = [r if r == "/" else r.rstrip("/") for r in roots]
@@ -148,8 +149,8 @@ def with_last_rule(df: DataFrame, roots: list[str], patterns, kinds: dict[str, C
     rows = rows.join(found, "_up", "left")
     name = low(text.last_component(F.col("path")))
     parts = F.concat(F.coalesce("_parts", F.array().cast("array<string>")), F.array(name))
-    met = _met(c, parts, F.size(parts))
-    rels = relative_paths(F.col("path"), roots)
+    rows = fenced(rows, {"_met": _met(c, parts, F.size(parts)), "_rels": relative_paths(F.col("path"), roots)})
+    rels = F.col("_rels")
     required = c.required
     need = F.coalesce("_need", F.lit(required is None)) | (name.isin(required) if required else F.lit(False))
     # a root itself is judged by the roots above it, if any; rules don't apply to it otherwise
@@ -166,10 +167,10 @@ def with_last_rule(df: DataFrame, roots: list[str], patterns, kinds: dict[str, C
 
     def last(is_directory: Column) -> Column:
         below = F.coalesce(F.when(is_directory, F.col("_below_directory")).otherwise(F.col("_below_file")), F.lit(-1))
-        own = F.when(is_directory, _most(met, "own_directory")).otherwise(_most(met, "own_file"))
+        own = F.when(is_directory, _most("_met", "own_directory")).otherwise(_most("_met", "own_file"))
         rest = F.when(is_directory, tried("for_directory")).otherwise(tried("for_file"))
         rule = F.greatest(below, own, rest)
         return F.when(F.col("path").isin(outermost), -1).otherwise(rule) if outermost else rule
 
     out = fenced(rows, {name: last(is_directory) for name, is_directory in kinds.items()})
-    return out.select(*[F.col(f"`{x}`") for x in df.columns], *kinds), c.rules
+    return out.select(*[F.col(f"`{x}`") for x in df.columns], "_rels", *kinds), c.rules

@@ -17,6 +17,9 @@ from trovana.plans.compiler import fenced
 
 INDEX, DESCEND, PRUNE = "index", "skipButDescend", "prune"
 
+#: Fewer plain rules than this are tried one by one, which costs less than joining directories.
+LEAST_PLAIN = 16
+
 #: The default patterns, in order.
 DEFAULT_PATTERNS = (
     ".git/*",
@@ -189,24 +192,23 @@ def last_rule(rules: list[Rule], rels: Column, is_directory: Column) -> Column:
 def with_decision(df: DataFrame, roots: list[str], patterns: tuple[str, ...] | list[str] = DEFAULT_PATTERNS) -> DataFrame:
     """``decision`` (index, skipButDescend, prune) and ``rule`` (the deciding pattern, or null) of each row.
 
-    Rules are looked up in a dictionary, once per directory (``compiled_rules``), which reads the rows' paths twice;
-    a stream, whose directories can't be gathered first, tries the expressions row by row.
+    Plain rules are looked up in a dictionary, once per directory (``compiled_rules``), which reads the rows' paths twice;
+    where there are few of them, or in a stream, whose directories can't be gathered first, expressions are tried row by row.
     """
     return with_decisions(df, roots, patterns, {"": F.col("is_directory")})
 
 
 def with_decisions(df: DataFrame, roots: list[str], patterns: tuple[str, ...] | list[str], kinds: dict[str, Column]) -> DataFrame:
     """``decision`` and ``rule`` under several names: what is decided if rows are directories as a column says, for each suffix of ``kinds``."""
-    from trovana.operators.compiled_rules import with_last_rule
+    from trovana.operators.compiled_rules import compiled, with_last_rule
 
     kinds = {f"_rule{suffix}": is_directory for suffix, is_directory in kinds.items()}
-    if df.isStreaming:
+    if df.isStreaming or compiled(patterns).n_plain < LEAST_PLAIN:
         rules = compile_rules(patterns)
         df = fenced(df, {"_rels": relative_paths(F.col("path"), roots)})
         df = fenced(df, {name: last_rule(rules, F.col("_rels"), is_directory) for name, is_directory in kinds.items()})
     else:
         df, rules = with_last_rule(df, roots, patterns, kinds)
-        df = fenced(df, {"_rels": relative_paths(F.col("path"), roots)})
     chosen = [i for i, r in enumerate(rules) if not r.negated]
     traversal = [i for i, r in enumerate(rules) if r.traversal]
     names = F.array(*[F.lit(r.raw) for r in rules]) if rules else F.array().cast("array<string>")
