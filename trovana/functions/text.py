@@ -5,7 +5,9 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,24 +42,31 @@ def fold(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(_fold_wide(F.when(~plain, text)))
 
 
+@F.arrow_udf(T.LongType())
+def _fnv(values: pa.Array) -> pa.Array:
+    """FNV-1a 64 of each value's bytes, as a signed number: byte by byte, for all values of a batch that have one there."""
+    raw = values.fill_null("").cast(pa.large_binary())
+    n = len(raw)
+    if not n:
+        return pa.array([], pa.int64())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64, n + 1, 8 * raw.offset)
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    sizes = np.diff(offsets)
+    order = np.argsort(-sizes, kind="stable")
+    begin, shorter = offsets[:-1][order], -sizes[order]
+    h = np.full(n, 14695981039346656037, np.uint64)
+    for k in range(int(sizes.max())):
+        some = int(np.searchsorted(shorter, -k))
+        h[:some] = (h[:some] ^ data[begin[:some] + k]) * np.uint64(0x100000001B3)
+    out = np.empty(n, np.uint64)
+    out[order] = h
+    return pa.array(out.view(np.int64))
+
+
 def stable_id(path: Column) -> Column:
-    """FNV-1a 64 of the UTF-8 path as DECIMAL(20,0), 0 becoming 1: two limbs of 32 bits, so nothing overflows."""
-    # the bytes as characters of the same numbers; the last piece of the split is empty
-    single = F.when(F.octet_length(path) == F.length(path), path).otherwise(F.decode(F.encode(path, "UTF-8"), "ISO-8859-1"))
-    codes = F.transform(F.filter(F.split(single, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    mask = 0xFFFFFFFF
-    start = F.struct(F.lit(14695981039346656037 >> 32).cast("long").alias("hi"), F.lit(14695981039346656037 & mask).cast("long").alias("lo"))
-
-    def step(s: Column, b: Column) -> Column:
-        # the prime is 2**40 + 0x1B3
-        lo = s["lo"].bitwiseXOR(b)
-        low = lo * 0x1B3
-        hi = (s["hi"] * 0x1B3 + F.shiftright(low, 32) + F.shiftleft(lo, 8)).bitwiseAND(mask)
-        return F.struct(hi.alias("hi"), low.bitwiseAND(mask).alias("lo"))
-
-    whole = lambda s: s["hi"].cast("decimal(20,0)") * F.lit(2**32).cast("decimal(20,0)") + s["lo"].cast("decimal(20,0)")
-    h = F.when(F.octet_length(path) > 0, F.aggregate(codes, start, step, whole).cast("decimal(20,0)")).otherwise(F.lit("14695981039346656037").cast("decimal(20,0)"))
-    return F.when(h == 0, F.lit(1).cast("decimal(20,0)")).otherwise(h)
+    """FNV-1a 64 of the UTF-8 path as DECIMAL(20,0), 0 becoming 1. Each byte needs the result of the one before: an expression would be interpreted byte by byte."""
+    h = F.coalesce(_fnv(path), F.lit(0)).cast("decimal(20,0)")
+    return F.when(h == 0, F.lit(1)).when(h < 0, h + F.lit(str(2**64)).cast("decimal(20,0)")).otherwise(h).cast("decimal(20,0)")
 
 
 def last_component(path: Column) -> Column:

@@ -61,6 +61,11 @@ def derive(raw: DataFrame, ids: bool = True) -> DataFrame:
     )
 
 
+def spread(raw: DataFrame) -> DataFrame:
+    """Rows dealt out by ``path``, before work that costs far more than reading them: a file of few bytes is one task, however many rows it has."""
+    return raw.repartition("path")
+
+
 def kind_name() -> Column:
     return F.when(F.col("is_directory") & (F.col("file_extension") == "app"), "Application").when(F.col("is_directory"), "Folder").otherwise("File")
 
@@ -84,10 +89,16 @@ def exploded(df: DataFrame, itself: bool = False) -> DataFrame:
 
 def with_parent(df: DataFrame) -> DataFrame:
     """Each row with its parent's id (``parent_id``), null where the parent isn't in the catalog."""
-    up = df.select(F.col("path").alias("_up"), F.col("id").alias("parent_id"))
+    parents = df.select(F.col("directory_path").alias("path")).distinct()
+    up = df.join(parents, "path", "left_semi").select(F.col("path").alias("_up"), F.col("id").alias("parent_id"))
     return df.join(up, df["directory_path"] == up["_up"], "left").drop("_up")
 
 
+def directories(df: DataFrame) -> DataFrame:
+    """Each directory that holds a row, once (``path``): what lies above rows is told for them, not row by row."""
+    return df.select(text.parent_path(F.col("path")).alias("path")).distinct()
+
+
 def children(df: DataFrame) -> DataFrame:
     """directory_path, n_children and the number of directories among them."""
     return df.where("path <> '/'").groupBy("directory_path").agg(F.count("*").alias("n_children"), F.count_if("is_directory").alias("n_directories"))
@@ -95,7 +106,7 @@ def children(df: DataFrame) -> DataFrame:
 
 def virtual_rows(df: DataFrame) -> DataFrame:
     """Directories that paths imply but the catalog lacks; their ids can't meet those of real rows."""
-    need = exploded(df).select(F.col("ancestor").alias("path")).distinct()
+    need = exploded(directories(df), itself=True).select(F.col("ancestor").alias("path")).distinct()
     missing = need.join(df.select("path"), "path", "left_anti").withColumn("is_directory", F.lit(True))
     return derive(missing, ids=False).withColumn("id", text.stable_id(F.concat(F.lit("virtual:"), F.col("path"))))
 
@@ -111,10 +122,11 @@ def results_only(tree: DataFrame) -> DataFrame:
 
 
 def with_visibility(df: DataFrame) -> DataFrame:
-    """``is_visible``: neither the row nor a row above it is hidden. Hidden directories go to an equi-join on ancestors."""
+    """``is_visible``: neither the row nor a row above it is hidden. Hidden directories meet the ancestors of distinct directories by an equi-join."""
     hidden = df.where("is_hidden and is_directory").select(F.col("path").alias("ancestor"))
-    below = exploded(df.where("not is_hidden")).join(hidden, "ancestor", "left_semi").select("path").distinct().withColumn("_below", F.lit(True))
-    return df.join(below, "path", "left").withColumn("is_visible", ~F.col("is_hidden") & F.col("_below").isNull()).drop("_below")
+    below = exploded(directories(df.where("not is_hidden")), itself=True).join(hidden, "ancestor", "left_semi").select(F.col("path").alias("_up")).distinct().withColumn("_below", F.lit(True))
+    out = df.withColumn("_up", text.parent_path(F.col("path"))).join(below, "_up", "left")
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], (~F.col("is_hidden") & F.col("_below").isNull()).alias("is_visible"))
 
 
 def with_order(tree: DataFrame) -> DataFrame:
@@ -126,15 +138,19 @@ def with_order(tree: DataFrame) -> DataFrame:
     parts = tree.withColumn("_c", text.components(F.col("path")))
     spark = tree.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # kept, as the numbers and the counts must come from one and the same partitioning
-    placed = parts.repartitionByRange(width, "_c").withColumn("_p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    numbered = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_c")))
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("_s"))  # as many rows as partitions
+    placed = parts.repartitionByRange(width, "_c").withColumn("_p", F.spark_partition_id())
+    order = Window.partitionBy("_p").orderBy("_c")
+    # kept, as the numbers and the counts must come from one and the same partitioning, and the order is made once
+    # (_m: the last number among rows of one path)
+    numbered = placed.withColumns({"_n": F.row_number().over(order), "_m": F.count("*").over(order)}).drop("_c").persist(StorageLevel.DISK_ONLY)
+    sizes = numbered.groupBy("_p").agg(F.max("_n").alias("_s"))  # as many rows as partitions
     before = sizes.withColumn("_o", F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_o", F.lit(0)).alias("_o"))
-    rows = numbered.join(F.broadcast(before), "_p").withColumn("row_id", (F.col("_n") + F.col("_o") - 1).cast("long")).drop("_p", "_n", "_o", "_c")
-    last = rows.select("row_id", F.explode(ancestors(F.col("path"), itself=True)).alias("ancestor")).groupBy("ancestor").agg((F.max("row_id") + 1).alias("subtree_end"))
-    out = rows.join(last, rows["path"] == last["ancestor"], "left").drop("ancestor")
-    return out.withColumn("subtree_end", F.coalesce("subtree_end", F.col("row_id") + 1)).withColumn("depth", depth(F.col("path")))
+    rows = numbered.join(F.broadcast(before), "_p").withColumns({"row_id": (F.col("_n") + F.col("_o") - 1).cast("long"), "_m": (F.col("_m") + F.col("_o")).cast("long"), "_up": text.parent_path(F.col("path"))}).drop("_p", "_n", "_o")
+    # the last row of each directory first, then the last one of all below it: a row isn't multiplied by its ancestors
+    ends = rows.groupBy("_up").agg((F.max("row_id") + 1).alias("_e"))
+    last = ends.select("_e", F.explode(ancestors(F.col("_up"), itself=True)).alias("ancestor")).groupBy("ancestor").agg(F.max("_e").alias("_e"))
+    top = rows.join(last, rows["path"] == last["ancestor"], "left").drop("ancestor", "_up")
+    return top.withColumn("subtree_end", F.greatest("_e", "_m")).withColumn("depth", depth(F.col("path"))).drop("_e", "_m")
 
 
 def subtree(ordered: DataFrame, path: str) -> DataFrame:

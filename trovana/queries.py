@@ -49,14 +49,14 @@ def part_files(spark: SparkSession, d: str) -> DataFrame:
     raw = _t(spark, d, "part").select(
         F.concat(directory, F.lit("/"), name).alias("path"), F.lit(False).alias("is_directory"), (F.col("p_size").cast("long") * 1024).alias("size_bytes"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("p_partkey") * 60).alias("modified_time")
     )
-    return catalog.derive(raw)
+    return catalog.derive(catalog.spread(raw))
 
 
 def customer_files(spark: SparkSession, d: str) -> DataFrame:
     c = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     path = F.concat(F.lit("/"), "r_name", F.lit("/"), "n_name", F.lit("/"), "c_mktsegment", F.lit("/"), "c_name")
     raw = c.select(path.alias("path"), F.lit(False).alias("is_directory"), (F.col("c_custkey") % 1000).cast("long").alias("size_bytes"), (F.col("c_custkey") % 17 == 0).alias("os_hidden"))
-    return catalog.derive(raw)
+    return catalog.derive(catalog.spread(raw))
 
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
