@@ -94,3 +94,23 @@ def test_texts_move_once(spark):
     out = remove_repeats(df, digests=True)
     out.collect()
     assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_crowded_anchors_are_compared_by_suffix_and_in_chunks(spark):
+    """One 20-byte string in 400 surroundings, and a passage whose places don't fit one array: no array holds them all."""
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    gram, near, passage = word(20), [word(15) for _ in range(6)], word(70)
+    rows = [(i, word(9) + rnd.choice(near) + gram + rnd.choice(near) + word(9)) for i in range(400)]
+    rows += [(i, word(20) + passage + word(20)) for i in range(400, 700)] + [(None, rows[5][1]), (3, passage), (900, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for crowd, chunk in ((5, 40), (5, 10**6), (10**6, 40)):
+        got = sorted((tuple(r) for r in remove_repeats(df, digests=True, crowd=crowd, chunk=chunk).collect()), key=str)
+        assert got == want
+
+
+def test_a_task_has_one_bucket_and_collects_no_lists_of_texts(spark):
+    df = spark.createDataFrame([(1, "a" * 90), (2, "b" + "a" * 90)], "doc_id long, text string")
+    plan = remove_repeats(df, digests=True)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(struct" not in plan and "collect_list(anchors" not in plan

@@ -17,7 +17,11 @@ them can have (the context):
 
 Equal contexts are reduced inside each task before anything is sent, so a passage that a
 third of all documents share is a row per task. Anchors are dealt to buckets whose number
-follows the size of the texts, so that a task's share doesn't grow with them. Texts move once.
+follows the size of the texts, a task to each, so that a task's share doesn't grow with them.
+Contexts come to the suffix arrays in order of their anchor's hash, and a task holds some
+``CHUNK`` suffixes at a time. An anchor with more than ``CROWD`` contexts is dealt by
+suffix instead: those that begin with the same ``length`` bytes meet, smallest document
+first, and if they are too many for one array, that first one goes into each. Texts move once.
 
 Defined results: a null text is empty; null ids come after all others, and their rows
 don't match each other; rows of one id are not earlier than each other, whatever their
@@ -32,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +44,12 @@ from trovana.llm.common import lean, materialise, shuffle_width
 
 #: Bytes hashed at once; anchors held by a task before they are reduced and handed on.
 PIECE, HELD = 1 << 20, 400_000
-#: Bytes of text that a bucket's anchors stand for.
-BUCKET = 16 << 20
+#: Bytes of text that a bucket's anchors stand for, and of texts that a partition joins with their spans.
+BUCKET, SHARE = 16 << 20, 64 << 20
+#: Suffixes of one array, more or less; contexts of an anchor that come together.
+CHUNK, CROWD = 300_000, 20_000
+#: Rows of a batch that is handed on.
+ROWS = 1 << 16
 NULL_ID = 2**63 - 1
 _RNG = np.random.default_rng(7)
 _TABLE = _RNG.integers(0, 2**63, 257, dtype=np.uint64) | np.uint64(1)
@@ -244,39 +253,43 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return six(8), six(8 + 6 * n), doc, who, place, left.astype(np.int64), right.astype(np.int64)
 
 
-def meet(found: DataFrame, length: int, gram: int) -> DataFrame:
-    """kind 0: spans that go; kind 2: contexts to compare (``bucket``; ``s`` and ``e`` are their place)."""
-    names = ["kind", "bucket", "who", "s", "e"]
+def meet(found: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
+    """kind 0: spans that go; kind 2: contexts to compare (``h`` is their anchor's hash; ``s`` and ``e`` are their place)."""
+    names = ["kind", "h", "who", "s", "e"]
 
-    def rows(kind: int, bucket: int, who: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
-        n = len(who)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int32)), pa.array(who), pa.array(s), pa.array(e)], names=names)
+    def rows(kind: int, h: np.ndarray | None, who: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(who), ROWS):
+            at = slice(k, k + ROWS)
+            n = len(who[at])
+            key = np.zeros(n, np.int64) if h is None else h[at].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(key), pa.array(who[at]), pa.array(s[at]), pa.array(e[at])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = []
         for x in batches:
-            for bucket, known, blobs in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True):
-                for blob in known:
-                    who, begin, end = _unpack_spans(blob)
-                    yield rows(0, bucket, who, begin, end)
-                if not blobs:
-                    continue
-                h, c, doc, who, place, left, right = (np.concatenate(p) for p in zip(*map(_unpack, blobs), strict=True))
-                o, later = _settle(h, c, doc)
-                gone = o[later]
-                gone = gone[left[gone] + right[gone] >= length - gram]
-                rest = o[~later]
-                # hashes that more than one document has, with different contexts
-                hs, ds = h[rest], doc[rest]
-                new = np.r_[True, hs[1:] != hs[:-1]]
-                at = np.flatnonzero(new)
-                mixed = np.minimum.reduceat(ds, at) != np.maximum.reduceat(ds, at)
-                rest = rest[mixed[np.cumsum(new) - 1]]
-                for kind, r in ((0, gone), (2, rest)):
-                    if len(r):
-                        yield rows(kind, bucket, who[r], place[r] - left[r], place[r] + gram + right[r])
-
-    packed = found.groupBy("bucket").agg(F.collect_list("spans").alias("spans"), F.collect_list("anchors").alias("anchors"))
-    return packed.mapInArrow(lean(run), "kind int, bucket int, who long, s long, e long")
+            for known, blob in zip(*(x.column(i).to_pylist() for i in (1, 2)), strict=True):
+                if known is not None:
+                    yield from rows(0, None, *_unpack_spans(known))
+                if blob is not None:
+                    blobs.append(blob)
+        if not blobs:
+            return
+        h, c, doc, who, place, left, right = (np.concatenate(p) for p in zip(*map(_unpack, blobs), strict=True))
+        blobs.clear()
+        o, later = _settle(h, c, doc)
+        gone = o[later]
+        gone = gone[left[gone] + right[gone] >= length - gram]
+        rest = o[~later]
+        # hashes that more than one document has, with different contexts
+        hs, ds = h[rest], doc[rest]
+        new = np.r_[True, hs[1:] != hs[:-1]]
+        at = np.flatnonzero(new)
+        mixed = np.minimum.reduceat(ds, at) != np.maximum.reduceat(ds, at)
+        rest = rest[mixed[np.cumsum(new) - 1]]
+        for kind, r in ((0, gone), (2, rest)):
+            yield from rows(kind, h[r], who[r], place[r] - left[r], place[r] + gram + right[r])
+
+    return found.repartitionById(buckets, "bucket").mapInArrow(lean(run), "kind int, h long, who long, s long, e long")
 
 
 def suffix_array(data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,70 +352,107 @@ def repeats(lcp: np.ndarray, before: np.ndarray, doc: np.ndarray, least: int) ->
                 stack.append(one)
 
 
-def compare(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans that go, from the contexts of each bucket (``rows``: doc, who, s, bytes)."""
+def compare(contexts: DataFrame, length: int, chunk: int = CHUNK) -> DataFrame:
+    """Spans that go, from contexts (``key``, ``doc``, ``who``, ``s``, ``b``, ``one``) of which a partition has all of
+    a ``key``, in order of it and of documents. With ``one`` only the suffix that begins with the context counts,
+    and all of a key begin with the same bytes."""
+
+    def count(x: pa.RecordBatch) -> np.ndarray:
+        sizes = pc.binary_length(x.column(4)).to_numpy().astype(np.int64)
+        return np.where(x.column(5).to_numpy(zero_copy_only=False), 1, np.maximum(sizes - length + 1, 0))
+
+    def spans(x: pa.RecordBatch) -> Iterator[tuple]:
+        doc, who, s = (x.column(k).to_numpy() for k in (1, 2, 3))
+        texts = x.column(4).to_pylist()
+        sizes = np.array([len(t) for t in texts])
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        n = count(x)
+        owner = np.repeat(np.arange(len(n)), n)
+        at = starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        if not len(at):
+            return
+        # only suffixes whose first bytes occur twice can be in an interval
+        power, inverse = _power_tables(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_TABLE[data] * power[: len(data)], out=sums[1:])
+        h = (sums[at + length] - sums[at]) * inverse[at]
+        o = np.argsort(h, kind="stable")
+        same = h[o][1:] == h[o][:-1]
+        twice = np.zeros(len(at), bool)
+        twice[o[1:][same]] = True
+        twice[o[:-1][same]] = True
+        at, owner = at[twice], owner[twice]
+        if not len(at):
+            return
+        order, lcp = suffix_array(data, at, starts[owner + 1])
+        at, owner = at[order], owner[order]
+        d = doc[owner]
+        before = np.where(at > starts[owner], data[np.maximum(at - 1, 0)].astype(np.int64), -1)
+        # a context begins in the middle of a text: what stands before it isn't known, so it counts as different
+        for a, z, size, least in repeats(lcp, before, d, length):
+            members = np.arange(a, z + 1)
+            yield members[d[members] > least], size, s, who, owner, at, starts
+
+    def gone(x: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        where, ends, last = [], [], None
+        for members, size, *last in spans(x):
+            where.append(members)
+            ends.append(np.full(len(members), size))
+        if where:
+            s, who, owner, at, starts = last
+            m, size = np.concatenate(where), np.concatenate(ends)
+            begin = s[owner[m]] + at[m] - starts[owner[m]]
+            # nested intervals name a place several times: the longest one covers the others
+            o = np.lexsort((-size, begin, who[owner[m]]))
+            w, begin, size = who[owner[m]][o], begin[o], size[o]
+            new = np.r_[True, (w[1:] != w[:-1]) | (begin[1:] != begin[:-1])] if len(w) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(w[new]), pa.array(begin[new]), pa.array((begin + size)[new])], names=["who", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in batch.column(0):
-                values = rows.values
-                doc, who, s = (values.field(k).to_numpy() for k in ("doc", "who", "s"))
-                texts = values.field("b").to_pylist()
-                sizes = np.array([len(t) for t in texts])
-                starts = np.concatenate([[0], np.cumsum(sizes)])
-                data = np.frombuffer(b"".join(texts), np.uint8)
-                n = np.maximum(sizes - length + 1, 0)
-                owner = np.repeat(np.arange(len(n)), n)
-                at = starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                if not len(at):
-                    continue
-                # only suffixes whose first bytes occur twice can be in an interval
-                power, inverse = _power_tables(len(data) + 1)
-                sums = np.zeros(len(data) + 1, np.uint64)
-                np.cumsum(_TABLE[data] * power[: len(data)], out=sums[1:])
-                h = (sums[at + length] - sums[at]) * inverse[at]
-                o = np.argsort(h, kind="stable")
-                same = h[o][1:] == h[o][:-1]
-                twice = np.zeros(len(at), bool)
-                twice[o[1:][same]] = True
-                twice[o[:-1][same]] = True
-                at, owner = at[twice], owner[twice]
-                if not len(at):
-                    continue
-                order, lcp = suffix_array(data, at, starts[owner + 1])
-                at, owner = at[order], owner[order]
-                d = doc[owner]
-                before = np.where(at > starts[owner], data[np.maximum(at - 1, 0)].astype(np.int64), -1)
-                # a context begins in the middle of a text: what stands before it isn't known, so it counts as different
-                where, ends = [], []
-                for a, z, size, least in repeats(lcp, before, d, length):
-                    members = np.arange(a, z + 1)
-                    members = members[d[members] > least]
-                    where.append(members)
-                    ends.append(np.full(len(members), size))
-                if where:
-                    m, size = np.concatenate(where), np.concatenate(ends)
-                    begin = s[owner[m]] + at[m] - starts[owner[m]]
-                    yield pa.RecordBatch.from_arrays([pa.array(who[owner[m]]), pa.array(begin), pa.array(begin + size)], names=["who", "s", "e"])
-
-    return contexts.mapInArrow(lean(run, _POWERS.clear), _SPAN)
-
-
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, digests: bool = False) -> DataFrame:
+        held, n = [], 0
+        for x in batches:
+            held.append(x)
+            n += int(count(x).sum())
+            if n < chunk:
+                continue
+            every = pa.concat_batches(held)
+            key = every.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from gone(every.slice(0, cut))
+            rest = every.slice(cut)
+            if rest.num_rows >= chunk and rest.column(5)[0].as_py():
+                yield from gone(rest)
+                rest = rest.slice(0, 1)
+            held, n = [rest], int(count(rest).sum())
+        if held:
+            yield from gone(pa.concat_batches(held))
+
+    return contexts.select("key", "doc", "who", "s", "b", "one").mapInArrow(lean(run, _POWERS.clear), _SPAN)
+
+
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, digests: bool = False, crowd: int = CROWD, chunk: int = CHUNK) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the bytes that stay; with ``digests`` ``kept_sha256``)."""
     spark = docs.sparkSession
-    width = shuffle_width(spark)
     # a row is told by its id and text
     ours = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("who"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    met = materialise(meet(find_anchors(ours, length, gram, max(4 * width, -(-size // BUCKET))), length, gram), "suffix-met")
+    width = max(shuffle_width(spark), -(-size // SHARE))
+    buckets = max(4 * shuffle_width(spark), -(-size // BUCKET))
+    met = materialise(meet(find_anchors(ours, length, gram, buckets), length, gram, buckets), "suffix-met")
     # both joins read all of these columns (the first one makes ``doc`` of ``doc_id``), so they share one exchange
     ours = ours.select("doc_id", "who", "b").repartition(width, "who")
     # bytes of the contexts to compare; one row per document and context
-    wanted = met.where("kind = 2").groupBy(F.col("who").alias("_w")).agg(F.collect_set(F.struct("bucket", "s", "e")).alias("c"))
+    crowds = met.where("kind = 2").groupBy("h").count().where(F.col("count") > crowd).select("h", F.lit(True).alias("one"))
+    wanted = met.where("kind = 2").join(F.broadcast(crowds), "h", "left").groupBy(F.col("who").alias("_w")).agg(F.collect_set(F.struct("h", "s", "e", F.coalesce("one", F.lit(False)).alias("one"))).alias("c"))
     cut = ours.join(wanted, F.col("who") == F.col("_w")).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "who", "b", F.explode("c").alias("c"))
-    cut = cut.select("c.bucket", "doc", "who", "c.s", F.expr("substring(b, cast(c.s + 1 as int), cast(c.e - c.s as int))").alias("b"))
-    spans = compare(cut.groupBy("bucket").agg(F.collect_list(F.struct("doc", "who", "s", "b")).alias("rows")).select("rows"), length)
+    cut = cut.select("c.h", "doc", "who", "c.s", "c.one", F.expr("substring(b, cast(c.s + 1 as int), cast(c.e - c.s as int))").alias("b"))
+    # a crowded anchor's contexts as suffixes
+    k = F.explode(F.when(F.col("one"), F.when(F.octet_length("b") >= length, F.sequence(F.lit(0), F.octet_length("b") - length)).otherwise(F.array().cast("array<int>"))).otherwise(F.array(F.lit(0)))).alias("k")
+    cut = cut.select("*", k).select("h", "doc", "who", (F.col("s") + F.col("k")).alias("s"), "one", F.expr("substring(b, k + 1)").alias("b"))
+    key = F.when(F.col("one"), F.xxhash64("h", F.substring("b", 1, length))).otherwise(F.col("h"))
+    spans = compare(cut.withColumn("key", key).repartition(buckets, "key").sortWithinPartitions("key", "doc"), length, chunk)
     spans = spans.unionByName(met.where("kind = 0").select("who", "s", "e"))
     by_doc = spans.groupBy(F.col("who").alias("_w")).agg(F.collect_list("s").alias("ss"), F.collect_list("e").alias("es"))
     joined = ours.join(by_doc, F.col("who") == F.col("_w"), "left").select("doc_id", "b", "ss", "es")
