@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from trovana import queries as base
 from trovana.functions import text
-from trovana.operators import catalog
+from trovana.operators import catalog, exclusion
 
 
 def _plan(df):
@@ -53,3 +53,10 @@ def test_paths_that_stand_twice_end_together(spark):
     df = spark.createDataFrame(rows, "path string, is_directory boolean")
     got = sorted((r["row_id"], r["path"], r["subtree_end"]) for r in catalog.with_order(df).collect())
     assert got == [(0, "/a", 4), (1, "/a/f", 3), (2, "/a/f", 3), (3, "/a/g", 4)]
+
+
+def test_rules_are_tried_on_rows_that_are_dealt_out(spark):
+    rows = spark.range(0, 400, 1, 1).select(F.concat(F.lit("/a/node_modules/f"), "id").alias("path"), F.lit(False).alias("is_directory"))
+    made = exclusion.with_decision(rows, ["/"])
+    assert "RepartitionByExpression [path" in _plan(made)
+    assert {r["decision"] for r in made.collect()} == {"prune"} and made.count() == 400

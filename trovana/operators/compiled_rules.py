@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovana.functions import text
+from trovana.operators import catalog
 from trovana.operators.exclusion import Rule, compile_rules, met_by, relative_paths
 from trovana.plans.compiler import fenced
 
@@ -146,7 +147,8 @@ def with_last_rule(df: DataFrame, roots: list[str], patterns, kinds: dict[str, C
     roots = [r if r == "/" else r.rstrip("/") for r in roots]
     rows = df.withColumn("_up", text.parent_path(F.col("path")))
     found = inherited(rows.select(F.col("_up").alias("directory_path")), roots, c).withColumnRenamed("directory_path", "_up")
-    rows = rows.join(found, "_up", "left")
+    # rows of one large directory, or of a file that one task reads, don't stay together for the dear part
+    rows = catalog.spread(rows.join(found, "_up", "left"))
     name = low(text.last_component(F.col("path")))
     parts = F.concat(F.coalesce("_parts", F.array().cast("array<string>")), F.array(name))
     rows = fenced(rows, {"_met": _met(c, parts, F.size(parts)), "_rels": relative_paths(F.col("path"), roots)})
