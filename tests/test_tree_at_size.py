@@ -55,6 +55,11 @@ def test_paths_that_stand_twice_end_together(spark):
     assert got == [(0, "/a", 4), (1, "/a/f", 3), (2, "/a/f", 3), (3, "/a/g", 4)]
 
 
+def test_filters_stay_behind_the_dealing(spark, testdata):
+    plan = _plan(base.search_exact(spark, f"{testdata}/sf0.001"))
+    assert "Python" not in plan[plan.index("RepartitionByExpression [path") :]
+
+
 def test_rules_are_tried_on_rows_that_are_dealt_out(spark):
     rows = spark.range(0, 400, 1, 1).select(F.concat(F.lit("/a/node_modules/f"), "id").alias("path"), F.lit(False).alias("is_directory"))
     made = exclusion.with_decision(rows, ["/"])

@@ -62,8 +62,12 @@ def derive(raw: DataFrame, ids: bool = True) -> DataFrame:
 
 
 def spread(raw: DataFrame) -> DataFrame:
-    """Rows dealt out by ``path``, before work that costs far more than reading them: a file of few bytes is one task, however many rows it has."""
-    return raw.repartition("path")
+    """Rows dealt out by ``path``, before work that costs far more than reading them: a file of few bytes is one task, however many rows it has.
+
+    What is made of the path stays behind the dealing: filters would be moved before it, and their expressions with them.
+    """
+    dealt = raw.repartition("path").withColumn("_path", F.explode(F.array("path")))
+    return dealt.select(*[F.col("_path").alias("path") if c == "path" else F.col(f"`{c}`") for c in raw.columns])
 
 
 def kind_name() -> Column:
