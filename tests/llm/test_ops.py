@@ -169,6 +169,54 @@ def test_what_a_pivot_has_settled_is_not_compared_again(spark, monkeypatch):
     assert rest == [(0, 0)]
 
 
+def test_few_edges_are_not_dealt_over_hundreds_of_files(spark, monkeypatch):
+    """A session's shuffle partitions don't make each round of components as many tasks and files."""
+    from trovana.llm import common
+
+    files, real = [], common.materialise
+    monkeypatch.setattr(common, "materialise", lambda *a: (out := real(*a), files.append(len(out.inputFiles())))[0])
+    links = [(k, k + 1) for k in range(0, 900) if k % 30 != 29]
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = common.components(spark.createDataFrame(links, "a long, b long"), rows=len(links)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert {(r["node"], r["component"]) for r in got} == {(k, k // 30 * 30) for k in range(900)}
+    assert len(got) == 900
+    assert max(files) <= spark.sparkContext.defaultParallelism
+
+
+def test_groups_and_more_links(spark):
+    from trovana.llm.common import components, materialise
+    from trovana.llm.ngram_join import joined_groups
+
+    old, new = [(5, 9), (9, 7), (20, 21), (-3, 40)], [(7, 21), (50, 51), (40, -8)]
+    edges = lambda e: spark.createDataFrame(e, "a long, b long")
+    groups = materialise(components(edges(old)), "test-groups")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(joined_groups(groups, edges(new))) == rows(components(edges(old + new)))
+    assert rows(joined_groups(groups.limit(0), edges(new))) == rows(components(edges(new)))
+    assert rows(joined_groups(groups, edges([]))) == rows(groups)
+
+
+def test_counts_of_few_texts_are_short():
+    """What a task sends of its counts grows with its texts; sums are those of whole tables."""
+    from trovana.llm.ngram_join import SLAB, counts_added, counts_packed
+
+    rnd = np.random.default_rng(5)
+    tables = [np.where(rnd.random(SLAB) < share, rnd.integers(1, 90_000, SLAB), 0).astype(np.int32) for share in (0, 0.001, 0.1, 0.66, 0.67, 1)]
+    blobs = [counts_packed(t) for t in tables]
+    assert len(blobs[1]) < 300
+    assert max(map(len, blobs)) == 4 * SLAB
+    assert all((counts_added([b]) == t).all() for b, t in zip(blobs, tables, strict=True))
+    total = sum(t.astype(np.int64) for t in tables)
+    assert (counts_added(blobs) == total).all()
+    assert (counts_added([total.tobytes(), *blobs]) == 2 * total).all()
+
+
 def test_shuffles_of_a_written_table_go(spark):
     from trovana.llm.common import bucketed, discard, materialise
 

@@ -175,6 +175,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows that a task and its file take at least, where a table's size is known.
+TOGETHER = 50_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about so many ``rows``, in as many partitions as they need.
+
+    Few rows aren't dealt over hundreds of tasks and files, which in rounds cost far more than the rows; many stay as they are.
+    """
+    few = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TOGETHER))
+    return df.coalesce(few) if few < shuffle_width(df.sparkSession) else df
+
+
 # --- memory of Python workers
 
 
@@ -268,11 +281,11 @@ def heavy_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, total:
 # --- graphs
 
 
-def components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, label: str = "components", max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component being its smallest node.
 
     ``edges`` has long columns ``a`` and ``b``; self loops and repeats are allowed, nodes without an
-    edge to another node get no row. Alternates pointer jumping and small-star steps, so the number of
+    edge to another node get no row. ``rows``: their number, if it is known. Alternates pointer jumping and small-star steps, so the number of
     rounds grows with the logarithm of a component's diameter and the edge count never grows.
     Only counts reach the driver. Minima are combined before each shuffle, so a hub costs no more
     than other nodes; what is joined to a hub's row is a plain equi-join that Spark can split.
@@ -282,24 +295,23 @@ def components(edges: DataFrame, label: str = "components", max_rounds: int = 60
         .select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("p"))
         .distinct()
     )
-    e = materialise(e, label)
+    e = materialise(e if rows is None else gathered(e, rows), label)
+    count = e.count()  # no round adds to it
     for _ in range(max_rounds):
         low = e.groupBy("n").agg(F.min("p").alias("m"), F.count("*").alias("c"))
-        low = materialise(low, label)
+        low = materialise(gathered(low, count), label)
         jump = low.select(F.col("n").alias("p"), F.col("m").alias("up"))
         many = low.where("c > 1").select("n", F.col("m").alias("own"))
         # a node's other parents hang below its smallest parent from now on
         star = e.join(many, "n").where("p <> own").select(F.col("p").alias("n"), F.col("own").alias("p"))
         flat = low.select("n", F.col("m").alias("p"))
         raised = flat.join(jump, "p", "left").select("n", F.coalesce("up", "p").alias("p"), F.col("up").isNotNull().cast("int").alias("moved"))
-        new = materialise(
-            raised.unionByName(star.withColumn("moved", F.lit(1))).groupBy("n", "p").agg(F.max("moved").alias("moved")),
-            label,
-        )
+        new = raised.unionByName(star.withColumn("moved", F.lit(1))).groupBy("n", "p").agg(F.max("moved").alias("moved"))
+        new = materialise(gathered(new, count), label)
         changed = new.where("moved = 1").limit(1).count()
         e = new.select("n", "p")
         if not changed:
             return e.select(F.col("n").alias("node"), F.col("p").alias("component")).unionByName(
-                e.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct()
+                gathered(e.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct(), count)
             )
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")

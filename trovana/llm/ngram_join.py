@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovana.llm.common import bit_filter, bucketed, components, discard, give_back, heavy_join, in_filter, lean, materialise, shuffle_width
+from trovana.llm.common import bit_filter, bucketed, components, discard, gathered, give_back, heavy_join, in_filter, lean, materialise, shuffle_width
 from trovana.llm.hashing import Rolling, forget, runs, scramble
 
 #: Buckets of the frequency table, sent in slabs; four megabytes reach the executors, whatever the corpus.
@@ -138,6 +138,31 @@ def overlap(nx, ny, num: int, den: int):
     return -(-num * (nx + ny) // (num + den))
 
 
+#: Buckets of a slab.
+SLAB = (1 << BITS) // SLABS
+
+
+def counts_packed(counts: np.ndarray) -> bytes:
+    """The counts of a slab, or only those that aren't 0 and where they are, if that is shorter.
+
+    So what tasks send grows with the texts, not with the number of tasks.
+    """
+    some = np.flatnonzero(counts)
+    return counts.tobytes() if 6 * len(some) >= 4 * SLAB else counts[some].tobytes() + some.astype(np.uint16).tobytes()
+
+
+def counts_added(blobs: Iterable[bytes]) -> np.ndarray:
+    """The sum of slabs of int32, whole or packed, or of sums (int64) of such."""
+    out = np.zeros(SLAB, np.int64)
+    for b in blobs:
+        if len(b) in (4 * SLAB, 8 * SLAB):
+            out += np.frombuffer(b, np.int32 if len(b) == 4 * SLAB else np.int64)
+        else:
+            n = len(b) // 6
+            out[np.frombuffer(b, np.uint16, n, 4 * n)] += np.frombuffer(b, np.int32, n)
+    return out
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
     """Rows of documents (``doc_id``, ``th``: the text's hash, ``n``, ``node``) and of bucket counts (``slab``, ``part``, ``counts``)."""
     names = ["doc_id", "th", "n", "node", "slab", "counts"]
@@ -154,9 +179,9 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                     node.append(node_id(tokens[x:y]) if y > x else None)
             k = len(n)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-        if counts.any():
-            parts = counts.reshape(SLABS, -1)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(SLABS, pa.int64())] * 4, pa.array(range(SLABS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+        slabs = [(k, p) for k, p in enumerate(counts.reshape(SLABS, -1)) if p.any()]
+        if slabs:
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(slabs), pa.int64())] * 4, pa.array([k for k, _ in slabs], pa.int32()), pa.array([counts_packed(p) for _, p in slabs], pa.binary())], names=names)
 
     out = docs.select("doc_id", F.xxhash64("text"), F.col("text").cast("binary")).mapInArrow(lean(run, forget), "doc_id long, th long, n long, node long, slab int, counts binary")
     return out.withColumn("part", F.spark_partition_id())
@@ -167,18 +192,19 @@ def frequency_classes(rows: DataFrame) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums = [sum((np.frombuffer(x.as_py(), np.int64 if len(x.as_py()) == (8 << BITS) // SLABS else np.int32).astype(np.int64) for x in blobs), np.int64(0)).tobytes() for blobs in b.column(1)]
+            sums = [counts_added(x.as_py() for x in blobs).tobytes() for blobs in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.binary())], names=["slab", "counts"])
 
     table = rows.where("slab is not null").select("slab", F.floor(F.col("part") / 256).alias("lot"), "counts")
     # in two steps, so that no task holds the counts of all partitions
-    step = table.groupBy("slab", "lot").agg(F.collect_list("counts").alias("c")).select("slab", "c").mapInArrow(lean(add), "slab int, counts binary")
-    final = step.groupBy("slab").agg(F.collect_list("counts").alias("c")).select("slab", "c").mapInArrow(lean(add), "slab int, counts binary").collect()
+    tasks = max(SLABS // 4, rows.sparkSession.sparkContext.defaultParallelism)  # there are but so many slabs
+    step = table.groupBy("slab", "lot").agg(F.collect_list("counts").alias("c")).coalesce(tasks).select("slab", "c").mapInArrow(lean(add), "slab int, counts binary")
+    final = step.groupBy("slab").agg(F.collect_list("counts").alias("c")).coalesce(tasks).select("slab", "c").mapInArrow(lean(add), "slab int, counts binary").collect()
     # slab by slab, as whole tables of numbers would be the driver's peak
     counts = {r["slab"]: np.frombuffer(r["counts"], np.int64) for r in final}
     del final
     mean = max(sum(int(c.sum()) for c in counts.values()) / (1 << BITS), 0.5)
-    out = np.empty((SLABS, (1 << BITS) // SLABS), np.uint8)
+    out = np.empty((SLABS, SLAB), np.uint8)
     for k in range(SLABS):
         c = np.maximum(counts.pop(k, np.zeros(out.shape[1])), 0.5)
         out[k] = np.clip(np.round(8 * np.log2(c / mean)) + 128, 0, 255)
@@ -357,7 +383,8 @@ def mixed_lists(lists: DataFrame, groups: DataFrame, seed: int) -> DataFrame:
     sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min_by(_posting(), F.xxhash64("node", "token", F.lit(seed))).alias("p"))
     main = sizes.groupBy("token").agg(F.max_by(F.struct("comp", "p"), F.struct("c", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("c").alias("size")).where("comps > 1")
     main = main.select("token", "size", F.col("main.comp").alias("main"), "main.p")
-    mixed = materialise(placed.join(main, "token").withColumn("out", F.col("comp") != F.col("main")).drop("main"), "ngram-mixed")
+    mixed = placed.join(main, "token").withColumn("out", F.col("comp") != F.col("main")).drop("main")
+    mixed = materialise(gathered(mixed, placed.count()), "ngram-mixed")
     discard(placed)
     return mixed
 
@@ -433,6 +460,12 @@ def unseen(pairs: DataFrame, seen: DataFrame) -> DataFrame:
     return pairs.join(both, ["x", "y"], "left_anti")
 
 
+def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after some more links; those before are flat, so they settle in fewer rounds than all links would."""
+    flat = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(flat.unionByName(links), "ngram-components", rows=groups.count() + links.count())
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id reachable by links) of every row."""
     spark: SparkSession = docs.sparkSession
@@ -445,24 +478,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     pivots = lists.groupBy("token").agg(F.min_by(_posting(), F.xxhash64("node")).alias("p"))
     first = materialise(lists.join(pivots, "token"), "ngram-first")
     discard(lists)
-    seen = materialise(pivot_pairs(first, num, den), "ngram-pairs")
+    seen = materialise(gathered(pivot_pairs(first, num, den), first.count()), "ngram-pairs")
     links = materialise(verified(seen, sets, classes, num, den), "ngram-links")
-    groups = materialise(components(links, "ngram-components"), "ngram-groups")
+    groups = materialise(components(links, "ngram-components", rows=links.count()), "ngram-groups")
 
     # further rounds: rows outside the largest component of a list against a pivot in it, another in each list and round
     mixed = mixed_lists(settled(first).drop("p"), groups, 0)
     discard(first)
     left = mixed
     for seed in range(ROUNDS):
-        pairs = materialise(unseen(pivot_pairs(mixed.where("out"), num, den), seen), "ngram-pairs")
+        pairs = unseen(pivot_pairs(mixed.where("out"), num, den), seen)
+        pairs = materialise(gathered(pairs, mixed.count()), "ngram-pairs")
         more = materialise(verified(pairs, sets, classes, num, den), "ngram-links")
         seen = seen.unionByName(pairs)
         left = settled(mixed)
         if not more.limit(1).count():
             break
-        links = links.unionByName(more)
         old = groups, mixed
-        groups = materialise(components(links, "ngram-components"), "ngram-groups")
+        groups = materialise(joined_groups(groups, more), "ngram-groups")
         left = mixed = mixed_lists(left.select("token", "node", "n", "pos"), groups, seed + 1)
         discard(*old)
 
@@ -470,7 +503,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     rows, members = cross_blocks(left, num, den)
     cross = materialise(rows, "ngram-cross")
     more = materialise(compared(cross, members, sets, classes, num, den), "ngram-more")
-    groups = materialise(components(links.unionByName(more), "ngram-components"), "ngram-groups")
+    groups = materialise(joined_groups(groups, more), "ngram-groups")
     discard(cross, mixed, sets)
 
     rows = described.where("slab is null").select("doc_id", F.col("n").alias("n_shingles"), "node")
